@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineaudit.functions import text as T
+from lineaudit.functions.binding import let
 from lineaudit.operators import scorers as S
 
 
@@ -18,40 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _digit(x: Column, i: Column, at: int) -> Column:
-    return F.substring(F.sha1(F.encode(F.concat(x, F.lit("#"), i.cast("string")), "UTF-8")), at, 1)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rehash an input that has fewer splits than cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _decorate(x: Column, i: Column) -> Column:
-    d = _digit(x, i, 1)
-    body = (
-        F.when(d == "0", F.concat(F.lit("// "), x))
-        .when(d == "1", F.concat(F.lit("    assert "), x))
-        .when(d == "2", F.concat(F.lit("  ensures "), x))
-        .when(d == "3", F.concat(F.lit("invariant "), x, F.lit(" forall")))
-        .otherwise(x))
-    m = _digit(x, i, 2)
-    return F.when(x == "", x).otherwise(
-        F.when(m.isin("0", "1"), T.inject_marker(body, F.lit("// FAILS")))
-        .when(m == "2", T.inject_marker(body, F.lit("// TODO")))
-        .otherwise(body))
+    """struct(line, buggy) for one raw line, decided by two hex digits of its digest."""
+    digest = F.sha1(F.encode(F.concat(x, F.lit("#"), i.cast("string")), "UTF-8"))
+
+    def body(h):
+        d, m = F.substring(h, 1, 1), F.substring(h, 2, 1)
+        line = (
+            F.when(d == "0", F.concat(F.lit("// "), x))
+            .when(d == "1", F.concat(F.lit("    assert "), x))
+            .when(d == "2", F.concat(F.lit("  ensures "), x))
+            .when(d == "3", F.concat(F.lit("invariant "), x, F.lit(" forall")))
+            .otherwise(x))
+        marked = F.when(m.isin("0", "1"), F.lit("// FAILS")).when(m == "2", F.lit("// TODO"))
+        return F.struct(
+            F.when(x == "", x).when(marked.isNotNull(), let(line, lambda v: T.inject_marker(v, marked)))
+            .otherwise(line).alias("line"),
+            ((x != "") & m.isin("0", "1", "3")).alias("buggy"))
+
+    return let(digest, body)
 
 
 def impls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as implementations: quality is the status, source and language the spec."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    raw = T.splitlines(F.col("text"))
     rows = docs.join(labels, "doc_id", "left").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("impl_id"),
         F.concat_ws("-", "source", "lang").alias("spec_id"), "source",
         F.when(F.col("quality") == 1, "PASS").when(F.col("quality") == 0, "FAIL").otherwise("UNKNOWN").alias("status"),
-        F.substring_index("text", "\n", 1).alias("spec_text"), raw.alias("_raw"))
+        F.substring_index("text", "\n", 1).alias("spec_text"),
+        F.transform(T.splitlines(F.col("text")), _decorate).alias("_d"))
     return rows.select(
         "impl_id", "spec_id", "source", "status", "spec_text",
-        T.join_lines(F.transform("_raw", _decorate)).alias("impl_text"),
-        F.filter(F.transform("_raw", lambda x, i: F.when(
-            (x != "") & _digit(x, i, 2).isin("0", "1", "3"), i)), lambda i: i.isNotNull()).alias("buggy_lines"))
+        T.join_lines(F.col("_d.line")).alias("impl_text"),
+        T.indices_where(F.col("_d.buggy"), lambda b: b).alias("buggy_lines"))
 
 
 def records(spark: SparkSession, sf_dir: str, *runs: str) -> DataFrame:

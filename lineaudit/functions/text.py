@@ -40,8 +40,8 @@ _WS = r"[\s\x1C-\x1F]"
 
 def splitlines(text: Column) -> Column:
     """Lines of a text, without the empty piece after a final line end."""
-    parts = F.split(text, _EOL)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, _EOL), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def join_lines(lines: Column) -> Column:

@@ -14,7 +14,13 @@ from lineaudit.functions import ranking as R
 from lineaudit.functions import reducers as A
 from lineaudit.plans.ordered import running_sums, with_buckets
 
-E, B = F.col("per_line_energies"), F.col("buggy_line_indices")
+
+def _e() -> Column:
+    return F.col("per_line_energies")
+
+
+def _b() -> Column:
+    return F.col("buggy_line_indices")
 
 
 def _n(c: Column) -> Column:
@@ -22,20 +28,20 @@ def _n(c: Column) -> Column:
 
 
 def labelled_fail(records: DataFrame) -> DataFrame:
-    return records.filter((F.col("status") == "FAIL") & (_n(B) > 0) & (_n(E) > 0))
+    return records.filter((F.col("status") == "FAIL") & (_n(_b()) > 0) & (_n(_e()) > 0))
 
 
 def labelled_fail_loose(records: DataFrame) -> DataFrame:
     """Keeps records without energies: they count as misses."""
-    return records.filter((F.col("status") == "FAIL") & (_n(B) > 0))
+    return records.filter((F.col("status") == "FAIL") & (_n(_b()) > 0))
 
 
 def aligned(records: DataFrame) -> DataFrame:
-    return labelled_fail(records).filter(_n(F.col("scorable_line_texts")) == _n(E))
+    return labelled_fail(records).filter(_n(F.col("scorable_line_texts")) == _n(_e()))
 
 
 def with_order(records: DataFrame) -> DataFrame:
-    return records.withColumn("_order", R.rank_order(E))
+    return records.withColumn("_order", R.rank_order(_e()))
 
 
 # -- top-k recall -------------------------------------------------------------
@@ -45,11 +51,11 @@ def topk_recall(records: DataFrame, ks=(1, 3, 5), by: list[str] | None = None) -
     by = by or []
     # Records whose labels all fall outside the line range can still miss, but
     # carry no uniform expectation; the two averages have their own denominators.
-    rows = with_order(labelled_fail(records)).withColumn("_b", _n(R.in_range(B, F.size(E))))
+    rows = with_order(labelled_fail(records)).withColumn("_b", _n(R.in_range(_b(), F.size(_e()))))
     rows = rows.select(*by, F.inline(F.array(*[F.struct(
         F.lit(k).alias("k"),
-        R.hit(F.col("_order"), B, k).cast("int").alias("hit"),
-        F.when(F.col("_b") > 0, R.uniform_hit_probability(F.size(E), F.col("_b"), k)).alias("u"),
+        R.hit(F.col("_order"), _b(), k).cast("int").alias("hit"),
+        F.when(F.col("_b") > 0, R.uniform_hit_probability(F.size(_e()), F.col("_b"), k)).alias("u"),
     ) for k in ks])))
     out = rows.groupBy(*by, "k").agg(
         F.avg("hit").alias("recall"), F.count("hit").alias("n"), F.avg("u").alias("uniform"))
@@ -61,7 +67,7 @@ def audit_recall(records: DataFrame, ks=(1, 3, 5), by: list[str] | None = None)
     by = by or []
     rows = with_order(labelled_fail_loose(records))
     hits = rows.select(*by, F.inline(F.array(*[F.struct(
-        F.lit(k).alias("k"), F.coalesce(R.hit(F.col("_order"), B, k), F.lit(False)).cast("int").alias("hit"))
+        F.lit(k).alias("k"), F.coalesce(R.hit(F.col("_order"), _b(), k), F.lit(False)).cast("int").alias("hit"))
         for k in ks])))
     return hits.groupBy(*by, "k").agg((F.sum("hit") / F.count("*")).alias("recall"), F.count("*").alias("n_fail"))
 
@@ -152,14 +158,14 @@ def eval_bundle(records: DataFrame, by: list[str]) -> DataFrame:
 def reducer_sweep(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AUROC of every in-row reducer of the line energies."""
     by = by or []
-    long = _long(records, by, A.reducers(E))
+    long = _long(records, by, A.reducers(_e()))
     return auroc(long, "score", fail_label(), by + ["reducer"])
 
 
 def z_sweep(records: DataFrame, ks=(1, 2, 3, 5), by: list[str] | None = None) -> DataFrame:
     by = by or []
-    cols = {f"z_top{k}": A.z_top_mean(E, k) for k in ks}
-    cols["max"] = F.coalesce(F.array_max(E), F.lit(0.0))
+    cols = {f"z_top{k}": A.z_top_mean(_e(), k) for k in ks}
+    cols["max"] = F.coalesce(F.array_max(_e()), F.lit(0.0))
     return auroc(_long(records, by, cols), "score", fail_label(), by + ["reducer"])
 
 
@@ -200,7 +206,7 @@ def by_source(records: DataFrame, k: int = 3) -> DataFrame:
 def topk_curve(records: DataFrame, by: list[str], k_max: int = 10) -> DataFrame:
     """Recall for k = 1..k_max from the best rank of any labelled line."""
     rows = with_order(labelled_fail(records))
-    ranks = F.filter(F.transform(B, lambda b: F.array_position(F.col("_order"), b)), lambda p: p > 0)
+    ranks = F.filter(F.transform(_b(), lambda b: F.array_position(F.col("_order"), b)), lambda p: p > 0)
     best = rows.select(*by, F.array_min(ranks).alias("_best"))
     # A histogram of best ranks is all the curve needs: k_max+1 cells per group.
     hist = best.groupBy(*by, F.least(F.coalesce("_best", F.lit(k_max + 1)), F.lit(k_max + 1)).alias("_best")).agg(

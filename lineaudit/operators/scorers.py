@@ -62,17 +62,20 @@ def score(impls: DataFrame, scorers: dict[str, Scorer] | None = None, lines: Col
     """
     scorers = scorers or SCORERS
     lines = T.splitlines(F.col("impl_text")) if lines is None else lines
-    base = impls.withColumn("_lines", lines).withColumn("scorable_line_texts", T.scorable_texts(F.col("_lines")))
-    base = base.filter(F.size("scorable_line_texts") > 0)
-    base = base.withColumn("buggy_line_indices", T.to_sentinel_space(
-        F.col("buggy_lines"), T.scorable_line_indices(F.col("_lines"))))
-    runs = F.array(*[
-        F.struct(F.lit(name).alias("run"), fn(F.col("scorable_line_texts"), F.col("impl_id")).alias("e"))
-        for name, fn in scorers.items()])
     keep = [c for c in ("impl_id", "spec_id", "source", "status") if c in impls.columns]
-    out = base.select(*keep, "buggy_line_indices", "scorable_line_texts", F.inline(runs))
+    base = impls.select(*keep, "buggy_lines", lines.alias("_lines"))
+    base = base.select(*keep, T.scorable_texts(F.col("_lines")).alias("scorable_line_texts"), T.to_sentinel_space(
+        F.col("buggy_lines"), T.scorable_line_indices(F.col("_lines"))).alias("_labels"))
+    texts = F.col("scorable_line_texts")
+    # Labels travel through the generator so that filters on them stay above it
+    # and do not make the line work run twice; no lines, no rows.
+    runs = F.when(F.size(texts) > 0, F.array(*[
+        F.struct(F.lit(name).alias("run"), fn(texts, F.col("impl_id")).alias("per_line_energies"),
+                 F.col("_labels").alias("buggy_line_indices"))
+        for name, fn in scorers.items()]))
+    out = base.select(*keep, "scorable_line_texts", F.inline(runs))
     return out.select(
-        "run", *keep, F.array_max("e").alias("whole_impl_energy"), F.col("e").alias("per_line_energies"),
+        "run", *keep, F.array_max("per_line_energies").alias("whole_impl_energy"), "per_line_energies",
         "buggy_line_indices", "scorable_line_texts")
 
 
