@@ -269,13 +269,11 @@ def file_safe(name: Column) -> Column:
 
 def bigrams(s: Column) -> Column:
     """Set of character bigrams; a one-character string is its own token."""
-    n = F.char_length(s)
-    return (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n == 1, F.array(s))
-        .otherwise(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))))
-    )
+    def pairs(chars):
+        return F.when(F.size(chars) < 2, chars).otherwise(F.array_distinct(F.transform(
+            F.slice(chars, 2, F.size(chars)), lambda c, i: F.concat(F.get(chars, i), c))))
+
+    return let(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), pairs)
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
