@@ -87,3 +87,16 @@ def order_statistics(df: DataFrame, by: list[str], value: str, cuts: dict[str, C
         F.max(F.when((F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_c")), F.col(value))).alias(name)
         for name, pos in cuts.items()]
     return run.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+
+
+def halo_chunks(df: DataFrame, by: list[str], order: list[str], width: int, chunk: int = 100_000) -> DataFrame:
+    """Cut each group's order into chunks that overlap by ``width`` rows.
+
+    A window over (by, _chunk) then sees all ``width`` predecessors of every
+    row with ``_own`` set, while no task holds more than one chunk of a group.
+    """
+    chunk = max(chunk, width)
+    placed = row_positions(df, by, order).withColumn("_home", F.floor(F.col("position") / chunk))
+    near_end = F.col("position") % chunk >= chunk - width
+    copies = F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))
+    return placed.withColumn("_chunk", F.explode(copies)).withColumn("_own", F.col("_chunk") == F.col("_home"))
