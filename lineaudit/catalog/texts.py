@@ -189,12 +189,11 @@ def spec_impl_split(spark, d):
     rows = bridge.table(spark, d, "conversations").filter((t != "") & ~t.endswith("\n"))
     code = F.when(F.col("turn") % 3 == 0, _code(t)).when(
         F.col("turn") % 3 == 1, F.concat(F.lit("struct S {\n"), t)).otherwise(t)
-    rows = rows.select("conv_id", "turn", code.alias("code")).withColumn("_l", T.splitlines(F.col("code")))
-    rows = rows.withColumn("_b", T.spec_impl_bounds(F.col("_l")))
-    return rows.select(
-        "conv_id", "turn", T.spec_part(F.col("code"), F.col("_l"), F.col("_b")).alias("spec_text"),
-        _sha(T.impl_part(F.col("_l"), F.col("_b"))).alias("impl_digest"),
-        T.signature_line(F.col("_l")).isNotNull().alias("has_signature"))
+    rows = rows.select("conv_id", "turn", code.alias("code"))
+    parts = rows.select("conv_id", "turn", T.spec_impl(F.col("code")).alias("p"), T.signature_line(
+        T.splitlines(F.col("code"))).isNotNull().alias("has_signature"))
+    return parts.select("conv_id", "turn", F.col("p.spec").alias("spec_text"), _sha(F.col("p.impl")).alias("impl_digest"),
+                        "has_signature")
 
 
 @query("answer_code", """

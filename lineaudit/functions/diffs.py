@@ -39,10 +39,11 @@ def first_side():
     """Column function (array<string>, array<string>) -> array<int>."""
     def first(a: pd.Series, b: pd.Series) -> pd.Series:
         return _per_row(changed_in_first)(a, b)
-    return F.pandas_udf(first, "array<int>")
+    # "Nondeterministic" keeps filters on the result from running the diff twice.
+    return F.pandas_udf(first, "array<int>").asNondeterministic()
 
 
 def second_side():
     def second(a: pd.Series, b: pd.Series) -> pd.Series:
         return _per_row(changed_in_second)(a, b)
-    return F.pandas_udf(second, "array<int>")
+    return F.pandas_udf(second, "array<int>").asNondeterministic()

@@ -34,7 +34,7 @@ MARKER_KEYWORDS = (
 
 # Line ends and white space as Unicode knows them; Java's plain \s and Spark's
 # trim() are both narrower.
-_EOL = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+_EOL = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 _WS = r"[\s\x1C-\x1F]"
 
 
@@ -209,15 +209,25 @@ def spec_impl_bounds(lines: Column) -> Column:
     )
 
 
-def spec_part(text: Column, lines: Column, bounds: Column) -> Column:
-    lo, hi = bounds["spec_from"], bounds["spec_to"]
-    return F.when(bounds.isNull(), text).otherwise(join_lines(F.slice(lines, lo, hi - lo + 1)))
+def spec_impl(text: Column) -> Column:
+    """struct(spec, impl) of a source text, each input evaluated once."""
+    def parts(t, lines, b):
+        lo, hi = b["spec_from"], b["spec_to"]
+        return F.struct(
+            F.when(b.isNull(), t).otherwise(join_lines(F.slice(lines, lo, hi - lo + 1))).alias("spec"),
+            F.when(b.isNull(), F.lit("")).otherwise(join_lines(F.slice(lines, hi + 1, F.size(lines)))).alias("impl"))
 
+    return let(text, lambda t: let(splitlines(t), lambda ls: let(spec_impl_bounds(ls), lambda b: parts(t, ls, b))))
 
-def impl_part(lines: Column, bounds: Column) -> Column:
-    hi = bounds["spec_to"]
-    return F.when(bounds.isNull(), F.lit("")).otherwise(
-        join_lines(F.slice(lines, hi + 1, F.size(lines))))
+
+def heuristic_spec_impl(body: Column) -> Column:
+    """struct(spec, impl) cut before the first ``fn … {`` line; both are the body if there is none."""
+    def parts(t, lines, at):
+        return F.struct(
+            F.when(at == 0, t).otherwise(join_lines(F.slice(lines, 1, F.greatest(at - 1, F.lit(0))))).alias("spec"),
+            F.when(at == 0, t).otherwise(join_lines(F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)))).alias("impl"))
+
+    return let(body, lambda t: let(splitlines(t), lambda ls: let(first_exec_fn(ls), lambda at: parts(t, ls, at))))
 
 
 def first_exec_fn(lines: Column) -> Column:
@@ -227,27 +237,33 @@ def first_exec_fn(lines: Column) -> Column:
 
 # -- fenced blocks and verifier output -------------------------------------------
 
+def _block(text: Column, pattern: str, trim) -> Column:
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda found: trim(F.get(found, 0)))
+
+
 def rust_block(text: Column) -> Column:
     """First ```rust fenced block, right-stripped; NULL if there is none."""
-    pat = r"(?sU)```rust\s*\n(.*?)```"
-    return F.when(text.rlike(pat), rstrip(F.regexp_extract(text, pat, 1)))
+    return _block(text, r"(?sU)```rust\s*\n(.*?)```", rstrip)
 
 
 def error_block(text: Column) -> Column:
-    pat = r"(?sU)The error messages are[^\n]*\n+\s*```(?:rust)?\s*\n(.*?)```"
-    return F.when(text.rlike(pat), strip(F.regexp_extract(text, pat, 1)))
+    return _block(text, r"(?sU)The error messages are[^\n]*\n+\s*```(?:rust)?\s*\n(.*?)```", strip)
+
+
+def nonempty(s: Column) -> Column:
+    return let(s, lambda v: F.when(v != "", v))
 
 
 def response_code(content: Column) -> Column:
     """Code of a model answer with imports, wrapper macro and empty main removed."""
     fence = r"(?sU)```(?:rust|verus|rs)?\s*\n?(.*?)\n?```"
-    code = F.when(content.rlike(fence), strip(F.regexp_extract(content, fence, 1))).otherwise(
-        F.when(~strip(content).startswith("```"), strip(content)))
+    code = let(strip(content), lambda t: F.coalesce(
+        _block(t, fence, strip), F.when(~t.startswith("```"), t)))
     code = F.regexp_replace(code, r"(?mU)^\s*use\s+vstd[^;]*;\s*$", "")
     wrap = r"(?sU)verus!\s*\{\s*(.*?)\s*\}\s*(//[^\n]*)?\s*\z"
-    code = F.when(code.rlike(wrap), strip(F.regexp_extract(code, wrap, 1))).otherwise(code)
+    code = let(code, lambda t: F.coalesce(_block(t, wrap, strip), t))
     code = F.regexp_replace(code, r"(?mU)^\s*fn\s+main\s*\(\s*\)\s*\{\s*\}\s*$", "")
-    return F.nullif(strip(code), F.lit(""))
+    return nonempty(strip(code))
 
 
 def verifier_counts(output: Column) -> Column:

@@ -94,10 +94,11 @@ def trajectory_diff(rows: DataFrame) -> DataFrame:
 def pair_scan(raw: DataFrame) -> DataFrame:
     """How many raw pairs carry a code block, an error block, or make a debugging candidate."""
     inp, out = F.coalesce("input", F.lit("")), F.coalesce("output", F.lit(""))
-    block = F.coalesce(T.rust_block(inp), F.lit("")) != ""
-    err = T.error_block(inp).isNotNull()
-    fixed = F.coalesce(F.nullif(T.rust_block(out), F.lit("")), T.strip(out)) != ""
-    res = raw.agg(F.count("*").alias("n_seen"), F.count_if(block).alias("n_with_code"),
+    flags = raw.select(
+        T.nonempty(T.rust_block(inp)).isNotNull().alias("block"), T.error_block(inp).isNotNull().alias("err"),
+        (T.nonempty(T.rust_block(out)).isNotNull() | (T.strip(out) != "")).alias("fixed"))
+    block, err, fixed = F.col("block"), F.col("err"), F.col("fixed")
+    res = flags.agg(F.count("*").alias("n_seen"), F.count_if(block).alias("n_with_code"),
                   F.count_if(err).alias("n_with_error"), F.count_if(block & err & fixed).alias("n_candidates"))
     return res.withColumn("candidate_share", F.col("n_candidates") / F.col("n_seen"))
 
@@ -128,7 +129,7 @@ def line_count_percentiles(examples: DataFrame, by: list[str], ps=(10, 50, 90, 9
 
 
 def status_pivot(examples: DataFrame) -> DataFrame:
-    return examples.groupBy("source").pivot("status", ["PASS", "FAIL", "UNKNOWN"]).agg(F.count("*")).na.fill(0)
+    return examples.groupBy("source").pivot("status", ["PASS", "FAIL", "UNKNOWN"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def spec_mix(examples: DataFrame) -> DataFrame:

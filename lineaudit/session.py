@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", name: str = "lineaudit") -> SparkSession:
@@ -33,3 +33,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineaudit-"))
     else:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and read it back from the shared folder.
+
+    For results that several branches of a plan need and that are too costly to
+    compute in each of them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

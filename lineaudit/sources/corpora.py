@@ -9,7 +9,10 @@ from lineaudit import schemas
 from lineaudit.functions import diffs
 from lineaudit.functions import status as ST
 from lineaudit.functions import text as T
+from lineaudit.functions.binding import let
+from lineaudit.plans.emit import filter_map
 from lineaudit.plans.ordered import row_positions
+from lineaudit.session import stable
 from lineaudit.sources.records import with_file_order
 
 MAX_DIFF_LINES = 3
@@ -20,14 +23,6 @@ def read_trajectories(spark: SparkSession, path) -> DataFrame:
     return parse_trajectories(spark.read.schema(schemas.TRAJECTORY).json(path))
 
 
-def _with_spec_impl(df: DataFrame, code: str, prefix: str = "") -> DataFrame:
-    lines = T.splitlines(F.col(code))
-    cut = df.withColumn("_l", lines).withColumn("_b", T.spec_impl_bounds(F.col("_l")))
-    return cut.withColumns({
-        f"{prefix}spec_text": T.spec_part(F.col(code), F.col("_l"), F.col("_b")),
-        f"{prefix}impl_text": T.impl_part(F.col("_l"), F.col("_b"))}).drop("_l", "_b")
-
-
 def original_item(c: Column) -> Column:
     """struct(input, output) of a JSON text; unreadable text yields NULL fields."""
     return F.from_json(c, "input string, output string")
@@ -36,11 +31,12 @@ def original_item(c: Column) -> Column:
 def parse_trajectories(raw: DataFrame) -> DataFrame:
     """Attempts with a readable implementation; undecided attempts are dropped first."""
     rows = raw.withColumn("status", ST.trajectory(F.coalesce("status", F.lit("")))).filter("status <> 'UNKNOWN'")
-    item = original_item(F.col("original_item"))
-    failed = F.coalesce(
-        F.nullif(T.rust_block(item["output"]), F.lit("")), F.nullif(T.rust_block(item["input"]), F.lit("")))
-    rows = rows.withColumn("_code", F.when(F.col("status") == "PASS", F.nullif("verified_code", F.lit(""))).otherwise(failed))
-    rows = _with_spec_impl(rows.filter(F.col("_code").isNotNull()), "_code").filter(~T.is_blank(F.col("impl_text")))
+    failed = let(original_item(F.col("original_item")), lambda item: F.coalesce(
+        T.nonempty(T.rust_block(item["output"])), T.nonempty(T.rust_block(item["input"]))))
+    code = F.when(F.col("status") == "PASS", T.nonempty(F.col("verified_code"))).otherwise(failed)
+    parts = let(code, lambda c: F.when(c.isNotNull(), T.spec_impl(c)))
+    rows = filter_map(rows, parts, lambda p: p.isNotNull() & ~T.is_blank(p["impl"]))
+    rows = rows.withColumnsRenamed({"spec": "spec_text", "impl": "impl_text"})
     spec = F.concat(F.lit("traj-"), F.coalesce(F.col("original_index").cast("string"), F.lit("NA")))
     rep = F.coalesce(F.col("repetition").cast("string"), F.lit("NA"))
     return rows.select(
@@ -70,15 +66,17 @@ def read_repair_pairs(spark: SparkSession, path, tolerate_truncation: bool = Fal
 def debugging_candidates(raw: DataFrame) -> DataFrame:
     """Rows with a broken block and a fixed text; adds ``_broken`` and ``_fixed``."""
     inp, out = F.coalesce("input", F.lit("")), F.coalesce("output", F.lit(""))
-    rows = raw.withColumn("_broken", T.rust_block(inp)).filter("_broken <> ''")
-    return rows.withColumn("_fixed", F.coalesce(
-        F.nullif(T.rust_block(out), F.lit("")), F.nullif(T.strip(out), F.lit("")))).filter("_fixed IS NOT NULL")
+    fixed = F.coalesce(T.nonempty(T.rust_block(out)), T.nonempty(T.strip(out)))
+    both = F.struct(T.nonempty(T.rust_block(inp)).alias("_broken"), fixed.alias("_fixed"))
+    return filter_map(raw, both, lambda s: s["_broken"].isNotNull() & s["_fixed"].isNotNull())
 
 
 def with_diff(rows: DataFrame) -> DataFrame:
     """Split both sides and add ``buggy_lines``: changed lines of the broken side."""
-    rows = _with_spec_impl(_with_spec_impl(rows, "_broken", "b_"), "_fixed", "f_")
-    rows = rows.filter(~T.is_blank(F.col("b_impl_text")) & ~T.is_blank(F.col("f_impl_text")))
+    parts = let(T.spec_impl(F.col("_broken")), lambda b: let(T.spec_impl(F.col("_fixed")), lambda f: F.struct(
+        b["spec"].alias("b_spec_text"), b["impl"].alias("b_impl_text"), f["impl"].alias("f_impl_text"))))
+    rows = filter_map(
+        rows, parts, lambda p: ~T.is_blank(p["b_impl_text"]) & ~T.is_blank(p["f_impl_text"]))
     return rows.withColumn("buggy_lines", diffs.first_side()(
         T.splitlines(F.col("b_impl_text")), T.splitlines(F.col("f_impl_text"))))
 
@@ -88,7 +86,8 @@ def parse_repair_pairs(raw: DataFrame, order: list[str], max_diff_lines: int = M
     rows = with_diff(debugging_candidates(raw)).filter(F.size("buggy_lines").between(1, max_diff_lines))
     rows = rows.withColumn("_log", T.error_block(F.coalesce("input", F.lit("")))).select(
         *order, "_log", "b_spec_text", "b_impl_text", "f_impl_text", "buggy_lines")
-    rows = row_positions(rows, [], order, "_pair")
+    # Numbering looks at the kept pairs three times; the diffs behind them run once.
+    rows = row_positions(stable(rows), [], order, "_pair")
     spec = F.concat(F.lit("safe-"), T.text_hash(F.col("b_spec_text"), 16))
     number = F.col("_pair").cast("string")
     broken, fixed = F.concat(spec, F.lit("-broken-"), number), F.concat(spec, F.lit("-fixed-"), number)
@@ -126,8 +125,9 @@ def parse_tasks(tasks: DataFrame) -> DataFrame:
     """A passing and a failing example per task with both solutions present."""
     spec = task_spec(F.col("docstring"), F.col("declaration"))
     good, bad = F.coalesce("canonical_solution", F.lit("")), F.coalesce("buggy_solution", F.lit(""))
-    rows = tasks.withColumns({"spec_text": spec, "_good": good, "_bad": bad}).filter(
-        ~T.is_blank(F.col("_good")) & ~T.is_blank(F.col("_bad")))
+    sides = F.struct(good.alias("_good"), bad.alias("_bad"))
+    rows = filter_map(tasks.withColumn("spec_text", spec), sides,
+                      lambda s: ~T.is_blank(s["_good"]) & ~T.is_blank(s["_bad"]))
     rows = rows.withColumn("_diff", diffs.second_side()(T.splitlines(F.col("_good")), T.splitlines(F.col("_bad"))))
     stem = F.concat(F.lit("hep-"), F.replace("task_id", F.lit("/"), F.lit("-")))
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineaudit.functions import text as T
+from lineaudit.functions.binding import let
+from lineaudit.plans.emit import filter_map
 
 # Fixed value: the head of a test block.
 _HEAD = re.compile(
@@ -57,16 +59,6 @@ def parse_blocks(files: DataFrame) -> DataFrame:
     return found.withColumn("outcome", outcome).filter("outcome IS NOT NULL").drop("tail")
 
 
-def _with_parts(df: DataFrame, body: str, prefix: str) -> DataFrame:
-    df = df.withColumn("_l", T.splitlines(F.col(body))).withColumn("_at", T.first_exec_fn(F.col("_l")))
-    whole = F.col("_at") == 0
-    return df.withColumns({
-        f"{prefix}spec": F.when(whole, F.col(body)).otherwise(
-            T.join_lines(F.slice("_l", 1, F.greatest(F.col("_at") - 1, F.lit(0))))),
-        f"{prefix}impl": F.when(whole, F.col(body)).otherwise(
-            T.join_lines(F.slice("_l", F.greatest(F.col("_at"), F.lit(1)), F.size("_l"))))}).drop("_l", "_at")
-
-
 def pair_blocks(found: DataFrame) -> DataFrame:
     """First failing and first passing block per file and base name."""
     base = F.regexp_replace("name", "(_fails|_fail|_FAILS)$", "")
@@ -89,9 +81,14 @@ def examples(files: DataFrame) -> DataFrame:
     pairs = pair_blocks(parse_blocks(files)).select(
         "source_file", "ord", F.col("f.name").alias("f_name"), F.col("f.body").alias("f_body"),
         F.col("p.name").alias("p_name"), F.col("p.body").alias("p_body"))
-    rows = _with_parts(_with_parts(pairs, "f_body", "f_"), "p_body", "p_")
-    rows = rows.withColumn("_bugs", T.fails_line_indices(T.splitlines(F.col("f_impl")))).filter(
-        (F.size("_bugs") > 0) | ~T.is_blank(F.col("f_impl")))
+    def labelled(f, p):
+        return F.struct(
+            f["spec"].alias("f_spec"), f["impl"].alias("f_impl"), p["spec"].alias("p_spec"), p["impl"].alias("p_impl"),
+            T.fails_line_indices(T.splitlines(f["impl"])).alias("_bugs"))
+
+    cut = let(T.heuristic_spec_impl(F.col("f_body")), lambda f: let(
+        T.heuristic_spec_impl(F.col("p_body")), lambda p: labelled(f, p)))
+    rows = filter_map(pairs, cut, lambda s: (F.size(s["_bugs"]) > 0) | ~T.is_blank(s["f_impl"]))
     # Pairs of one file are numbered in order of first appearance; a file's
     # pairs came out of one text cell, so the array is bounded by it.
     numbered = rows.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(
