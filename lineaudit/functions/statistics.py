@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lineaudit.functions.binding import let
 
@@ -14,7 +15,7 @@ from lineaudit.functions.binding import let
 _EXACT_LIMIT = 1000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     """Complementary error function; applied to one-row results only."""
     return x.map(lambda v: math.erfc(v) if v is not None and v == v else None)

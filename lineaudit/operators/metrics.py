@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lineaudit.functions import ranking as R
 from lineaudit.functions import reducers as A
 from lineaudit.plans.ordered import running_sums, with_buckets
+from lineaudit.session import stable
 
 
 def _e() -> Column:
@@ -137,21 +138,31 @@ def within_spec_ranking(records: DataFrame, by: list[str] | None = None) -> Data
         F.avg((F.col("p") < F.col("f")).cast("int")).alias("accuracy"), F.count("*").alias("n_specs"))
 
 
+def slim(records: DataFrame, by: list[str], ks=(1, 3)) -> DataFrame:
+    """One narrow row per record, written once: the metrics below read it several
+    times, the texts and energy arrays behind it are read a single time."""
+    labelled = (F.col("status") == "FAIL") & (_n(_b()) > 0) & (_n(_e()) > 0)
+    order = F.when(labelled, R.rank_order(_e()))
+    rows = records.select(
+        *by, "spec_id", "status", "whole_impl_energy", F.col("buggy_line_indices").alias("_l"), order.alias("_o"))
+    return stable(rows.select(*by, "spec_id", "status", "whole_impl_energy", *[
+        R.hit(F.col("_o"), F.col("_l"), k).cast("int").alias(f"hit{k}") for k in ks]))
+
+
 def eval_bundle(records: DataFrame, by: list[str]) -> DataFrame:
     """All headline metrics, one row per group."""
+    rows = slim(records, by)
     w, s = F.col("whole_impl_energy"), F.col("status")
-    basic = records.groupBy(*by).agg(
+    basic = rows.groupBy(*by).agg(
         F.count("*").alias("n_impls"),
         F.avg(F.when(s == "PASS", w)).alias("mean_pass"),
         F.avg(F.when(s == "FAIL", w)).alias("mean_fail"),
-        F.stddev_pop(F.when(s.isin("PASS", "FAIL"), w)).alias("std_energy"))
-    area = auroc(records, "whole_impl_energy", fail_label(), by)
-    recall = topk_recall(records, (1, 3), by).groupBy(*by).agg(
-        F.max(F.when(F.col("k") == 1, F.col("recall"))).alias("per_line_top1"),
-        F.max(F.when(F.col("k") == 3, F.col("recall"))).alias("per_line_top3"),
-        F.max("n").alias("n_with_labels"))
-    rank = within_spec_ranking(records, by)
-    return (basic.join(area, by, "left").join(recall, by, "left").join(rank, by, "left")
+        F.stddev_pop(F.when(s.isin("PASS", "FAIL"), w)).alias("std_energy"),
+        F.avg("hit1").alias("per_line_top1"), F.avg("hit3").alias("per_line_top3"),
+        F.count("hit1").alias("n_with_labels"))
+    area = auroc(rows, "whole_impl_energy", fail_label(), by)
+    rank = within_spec_ranking(rows, by)
+    return (basic.join(area, by, "left").join(rank, by, "left")
             .withColumnRenamed("n_pos", "n_fail").withColumnRenamed("n_neg", "n_pass"))
 
 
@@ -194,13 +205,13 @@ def roc_curve(records: DataFrame, by: list[str], key: str = "impl_id", unknown_a
 def by_source(records: DataFrame, k: int = 3) -> DataFrame:
     """Counts, AUROC (UNKNOWN counts as PASS) and recall per record source."""
     src = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.substring_index("impl_id", "-", 1))
-    rows = records.withColumn("src", src)
+    rows = slim(records.withColumn("src", src), ["src"], (k,))
     s = F.col("status")
     counts = rows.groupBy("src").agg(
-        F.count("*").alias("n"), F.count_if(s == "PASS").alias("n_pass"), F.count_if(s == "FAIL").alias("n_fail"))
+        F.count("*").alias("n"), F.count_if(s == "PASS").alias("n_pass"), F.count_if(s == "FAIL").alias("n_fail"),
+        F.avg(f"hit{k}").alias("topk"))
     area = auroc(rows, "whole_impl_energy", fail_label(True), ["src"]).select("src", "auc")
-    rec = topk_recall(rows, (k,), ["src"]).select("src", F.col("recall").alias("topk"))
-    return counts.join(area, "src", "left").join(rec, "src", "left")
+    return counts.join(area, "src", "left")
 
 
 def topk_curve(records: DataFrame, by: list[str], k_max: int = 10) -> DataFrame:

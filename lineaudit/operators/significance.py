@@ -11,6 +11,7 @@ from lineaudit.functions import ranking as R
 from lineaudit.functions import statistics as S
 from lineaudit.operators import metrics as M
 from lineaudit.plans.ordered import running_sums
+from lineaudit.session import stable
 
 
 def row_hits(records: DataFrame, k: int) -> Column:
@@ -50,9 +51,11 @@ def mcnemar_table(pairs: DataFrame, by: list[str]) -> DataFrame:
         "p_mid": S.binomial_half_two_sided(n01, n10, mid_p=True)})
 
 
-def _placement(rows: DataFrame, score: str, by: list[str]) -> DataFrame:
+def _placement(cells: DataFrame, score: str, by: list[str]) -> DataFrame:
     """Per distinct score: its share of the other class below it, ties at one half."""
-    counted = rows.groupBy(*by, score).agg(F.count_if("y").alias("_p"), F.count_if(~F.col("y")).alias("_n"))
+    c = F.col("c")
+    counted = cells.groupBy(*by, score).agg(
+        F.sum(F.when(F.col("y"), c).otherwise(0)).alias("_p"), F.sum(F.when(F.col("y"), 0).otherwise(c)).alias("_n"))
     run = running_sums(counted, by, [score], {"_pb": "_p", "_nb": "_n"})
     return run.select(
         *by, score,
@@ -72,7 +75,8 @@ def delong(paired: DataFrame, by: list[str], a: str = "a", b: str = "b", y: Colu
     y = M.fail_label() if y is None else y
     rows = paired.withColumn("y", y).filter("y IS NOT NULL").select(*by, F.col(a).alias("a"), F.col(b).alias("b"), "y")
     cells = rows.groupBy(*by, "a", "b", "y").agg(F.count("*").alias("c"))
-    full = cells.join(_placement(rows, "a", by), [*by, "a"]).join(_placement(rows, "b", by), [*by, "b"])
+    # All three read the exchange behind `cells`, so the pairs are formed once.
+    full = cells.join(_placement(cells, "a", by), [*by, "a"]).join(_placement(cells, "b", by), [*by, "b"])
     va = F.when(F.col("y"), F.col("v10_a")).otherwise(F.col("v01_a"))
     vb = F.when(F.col("y"), F.col("v10_b")).otherwise(F.col("v01_b"))
     # Components lie in [0, 1] around the AUC; moments about 1/2 lose no digits that matter.
@@ -108,8 +112,14 @@ def paired_scores(target: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def significance_table(target: DataFrame, baselines: DataFrame, k: int = 1) -> DataFrame:
     """One row per baseline: paired recall test and paired AUROC test."""
-    recall = mcnemar_table(paired_hits(target, baselines, k), ["run"])
-    area = delong(paired_scores(target, baselines), ["run"])
+    def narrow(records, *extra):
+        return stable(records.select(*extra, "impl_id", "status", "whole_impl_energy", row_hits(records, k).alias("hit")))
+
+    t, b = narrow(target), narrow(baselines, "run")
+    pairs = t.select("impl_id", F.col("hit").alias("target_hit")).join(
+        b.select("impl_id", "run", F.col("hit").alias("baseline_hit")), "impl_id")
+    recall = mcnemar_table(pairs.filter("target_hit IS NOT NULL AND baseline_hit IS NOT NULL"), ["run"])
+    area = delong(paired_scores(t, b), ["run"])
     return recall.join(area.withColumnRenamed("var", "auc_var"), "run", "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineaudit.functions import ranking as R
 from lineaudit.operators import metrics as M
 from lineaudit.plans.ordered import order_statistics, row_positions
+from lineaudit.session import stable
 
 # Bug kinds by the first pattern found in the labelled line, in this order.
 BUG_PATTERNS = (
@@ -55,7 +56,8 @@ def by_label_count(records: DataFrame, k: int = 3) -> DataFrame:
 def by_length_tertile(records: DataFrame, by: list[str], key: str = "impl_id", k: int = 3) -> DataFrame:
     """Thirds of the records in length order, cut at n//3 and 2n//3."""
     n_lines = F.size("per_line_energies")
-    rows = _hits(M.labelled_fail(records), k).select(*by, key, n_lines.alias("n_lines"), "_hit")
+    # Narrow rows, written once: placing and summarizing read them several times.
+    rows = stable(_hits(M.labelled_fail(records), k).select(*by, key, n_lines.alias("n_lines"), "_hit"))
     placed = row_positions(rows, by, ["n_lines", key])
     n = F.col("position_total")
     third = (
