@@ -12,7 +12,7 @@ from lineaudit.functions import text as T
 from lineaudit.operators import corpus as C
 from lineaudit.operators import scorers as S
 from lineaudit.sources import corpora as K
-from lineaudit.sources import test_files as TF
+from lineaudit.sources import blocks as TF
 
 QUERIES, ORACLE = {}, {}
 

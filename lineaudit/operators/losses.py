@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lineaudit.functions import ranking as R
 from lineaudit.functions.binding import let
 from lineaudit.functions.reducers import log_sum_exp, softplus, total
+from lineaudit.plans.joins import join_groups
 from lineaudit.plans.skew import lookup
 
 
@@ -48,7 +49,7 @@ def spec_infonce(rows: DataFrame, by: list[str]) -> DataFrame:
     pool = pool.select(*by, low.cast("double").alias("_lo"), let(low, lambda lo: F.aggregate(
         "_cells", F.lit(0.0), lambda a, c: a + c["_s"] * F.exp((lo - c["_f"]).cast("double")))).alias("_z"))
     stats = fails.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(w).alias("_t"))
-    per = _anchors(rows, by).join(pool.join(stats, by), by)
+    per = join_groups(_anchors(rows, by), join_groups(pool, stats, by), by)
     m = F.least(F.col("_lo"), F.col("e_pos"))
     lse = -m + F.log(F.col("_z") * F.exp(m - F.col("_lo")) + F.exp(m - F.col("e_pos")))
     return per.groupBy(*by).agg(
@@ -89,11 +90,11 @@ def pair_epa(rows: DataFrame, by: list[str], margin: float = 0.0, weak_weight: f
     weak = weak.join(first, [*by, "spec_id"], "left")
     member = F.coalesce("_in", F.lit(False)) & ((F.col("status") == "FAIL") | (F.col("impl_id") == F.col("_first")))
     pool = weak.filter(~member).groupBy(*by).agg(F.collect_list("whole_impl_energy").alias("_pool"))
-    per = anchors.join(pool, by, "left").withColumn("_weak", let(F.col("e_pos"), lambda p: _mean(
+    per = join_groups(anchors, pool, by, "left").withColumn("_weak", let(F.col("e_pos"), lambda p: _mean(
         F.transform("_pool", lambda k: softplus(p - k + margin)))))
     weak_mean = per.groupBy(*by).agg(F.avg("_weak").alias("_weak"))
     strong = pair_logistic(rows, by, margin)
-    return strong.join(weak_mean, by, "left").withColumn(
+    return join_groups(strong, weak_mean, by, "left").withColumn(
         "loss", F.col("loss") + weak_weight * F.coalesce("_weak", F.lit(0.0))).drop("_weak")
 
 
@@ -234,9 +235,10 @@ def contrastive(rows: DataFrame, by: list[str], w_spec: float, w_line: float, ma
 
 
 def _combine(rows: DataFrame, by: list[str], parts: dict, weights: dict) -> DataFrame:
-    out = rows.select(*by).distinct()
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_rows"))
     total_ = F.lit(0.0)
     for name, df in parts.items():
-        out = out.join(df.select(*by, F.col("loss").alias(f"{name}_loss"), F.col("n").cast("long").alias(f"{name}_n")), by, "left")
+        part = df.select(*by, F.col("loss").alias(f"{name}_loss"), F.col("n").cast("long").alias(f"{name}_n"))
+        out = join_groups(out, part, by, "left")
         total_ = total_ + weights[name] * F.coalesce(f"{name}_loss", F.lit(0.0))
     return out.withColumn("loss", total_)

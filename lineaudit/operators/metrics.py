@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lineaudit.functions import ranking as R
 from lineaudit.functions import reducers as A
+from lineaudit.plans.joins import join_groups
 from lineaudit.plans.ordered import running_sums, with_buckets
 from lineaudit.session import stable
 
@@ -162,7 +163,7 @@ def eval_bundle(records: DataFrame, by: list[str]) -> DataFrame:
         F.count("hit1").alias("n_with_labels"))
     area = auroc(rows, "whole_impl_energy", fail_label(), by)
     rank = within_spec_ranking(rows, by)
-    return (basic.join(area, by, "left").join(rank, by, "left")
+    return (join_groups(join_groups(basic, area, by, "left"), rank, by, "left")
             .withColumnRenamed("n_pos", "n_fail").withColumnRenamed("n_neg", "n_pass"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineaudit.functions import ranking as R
 from lineaudit.functions.binding import let
 from lineaudit.operators import metrics as M
+from lineaudit.plans.joins import join_groups
 from lineaudit.plans.ordered import order_statistics
 
 
@@ -48,7 +49,7 @@ def position_density(positions: DataFrame, by: list[str], bins: int = 20) -> Dat
     counts = positions.groupBy(*by, cell.alias("bin")).agg(F.count("*").alias("c"))
     totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     # bins rows per group: both sides are small whatever the input.
-    return counts.join(totals, by).select(*by, "bin", "c", (F.col("c") / F.col("n") * bins).alias("density"))
+    return join_groups(counts, totals, by).select(*by, "bin", "c", (F.col("c") / F.col("n") * bins).alias("density"))
 
 
 def spearman(energies: Column) -> Column:
