@@ -68,7 +68,17 @@ def field_gradient(spark, d):
     return r6(D.gradient(D.energy_field(_points(spark, d), _G)).select("iy", "ix", "ex", "ey"), "ex", "ey")
 
 
-@query("field_arrows")
+_GRAD = """,
+g0 as (select *, lag(energy) over (partition by iy order by ix) as a, lead(energy) over (partition by iy order by ix) as b,
+   lag(energy) over (partition by ix order by iy) as c, lead(energy) over (partition by ix order by iy) as d from fl),
+g as (select iy, ix, gx, gy, case when a is null then b - energy when b is null then energy - a else (b - a) / 2 end as ex,
+  case when c is null then d - energy when d is null then energy - c else (d - c) / 2 end as ey from g0)"""
+
+
+@query("field_arrows", _FIELD + _GRAD + """,
+s as (select greatest(max(abs(ex)), max(abs(ey)), 1e-8) as top, 0.8 * greatest((max(gx) - min(gx)) / 8, (max(gy) - min(gy)) / 8) as len from g)
+select iy, ix, round(gx, 6) as x0, round(gy, 6) as y0, round(gx - ex / top * len, 6) as x1, round(gy - ey / top * len, 6) as y1
+from g, s where ix % 3 = 0 and iy % 3 = 0""")
 def field_arrows(spark, d):
     return r6(D.arrows(D.energy_field(_points(spark, d), _G), _G, 8), "x0", "y0", "x1", "y1")
 
@@ -79,14 +89,28 @@ def field_color_range(spark, d):
     return r6(D.color_range(D.energy_field(_points(spark, d), _G)), "energy_min", "energy_max")
 
 
-@query("field_bilinear")
+@query("field_bilinear", _FIELD + f""",
+bx as (select min(gx) as x0, max(gx) as x1, min(gy) as y0, max(gy) as y1 from fl),
+q0 as (select id, (x - x0) / (x1 - x0) * {_G - 1} as u, (y - y0) / (y1 - y0) * {_G - 1} as v from p, bx),
+q as (select *, greatest(0, least({_G - 2}, floor(u)))::int as u0, greatest(0, least({_G - 2}, floor(v)))::int as v0 from q0)
+select id as qid, round(sum(energy * (case when fl.ix = u0 then 1 - (u - u0) else u - u0 end)
+   * (case when fl.iy = v0 then 1 - (v - v0) else v - v0 end)), 6) as energy
+from q join fl on fl.ix in (u0, u0 + 1) and fl.iy in (v0, v0 + 1) group by id""")
 def field_bilinear(spark, d):
     pts = _points(spark, d)
     out = D.bilinear(D.energy_field(pts, _G), pts.select(F.col("id").alias("qid"), "x", "y"), _G)
     return r6(out, "energy")
 
 
-@query("field_blur")
+@query("field_blur", _FIELD + f""",
+kn as (select o, exp(-0.5 * o * o) as w from (select unnest(range(-4, 5)) as o)),
+kw as (select o, w / (select sum(w) from kn) as w from kn),
+sp as (select iy, ix, w, case when m < {_G} then m else {2 * _G - 1} - m end as t
+       from (select iy, ix, w, (ix + o + {2 * _G}) % {2 * _G} as m from fl, kw)),
+bx as (select sp.iy, sp.ix, sum(w * fl.energy) as energy from sp join fl on fl.iy = sp.iy and fl.ix = sp.t group by all),
+sy as (select iy, ix, w, case when m < {_G} then m else {2 * _G - 1} - m end as t
+       from (select iy, ix, w, (iy + o + {2 * _G}) % {2 * _G} as m from fl, kw))
+select sy.iy, sy.ix, round(sum(w * bx.energy), 6) as energy from sy join bx on bx.ix = sy.ix and bx.iy = sy.t group by all""")
 def field_blur(spark, d):
     return r6(D.gaussian_blur(D.energy_field(_points(spark, d), _G), _G, 1.0), "energy")
 
@@ -186,10 +210,23 @@ def corruption_variants(spark, d):
     return V.corruption_variants(rows).select("spec_id", "kind", F.sha1(F.encode("impl_text", "UTF-8")).alias("digest"))
 
 
-@query("variant_overlay")
+@query("variant_overlay", f"""with {bridge.SQL_LINES}, {_TXT},
+f as (select spec_id, arg_min(impl_id, (n, impl_id)) as id, arg_min(t, (n, impl_id)) as t, arg_min(c, (n, impl_id)) as c from t where status = 'FAIL' group by 1),
+p as (select spec_id, arg_min(t, (n, impl_id)) as t from t where status = 'PASS' group by 1),
+v as (select spec_id, 'fail_original' as kind, f.t as x from f join p using (spec_id)
+  union all select spec_id, 'fail_marker_stripped', f.c from f join p using (spec_id) where f.c <> f.t
+  union all select spec_id, 'pass_sibling', p.t from f join p using (spec_id)),
+n as (select *, len(string_split(x, chr(10))) as nl from v),
+ln as (select spec_id, kind, unnest(string_split(x, chr(10))) as text, generate_subscripts(string_split(x, chr(10)), 1) - 1 as i from v),
+lg as (select spec_id, arg_max(kind, (nl, kind)) as kind from n group by 1),
+tm as (select ln.spec_id, ln.i, ln.text from ln join lg using (spec_id, kind)),
+e as (select spec_id, kind, trim(text) as t, arg_max(length(trim(text))::double, i) as energy from ln
+      where trim(text) <> '' and not starts_with(trim(text), '//') and not starts_with(trim(text), '/*') and not starts_with(trim(text), '*') group by all)
+select tm.spec_id as example, tm.i::int as row, tm.text, e.kind, e.energy from tm left join e on e.spec_id = tm.spec_id and e.t = trim(tm.text)""")
 def variant_overlay(spark, d):
     from lineaudit.operators import scorers as S
-    v = V.corruption_variants(bridge.impls(spark, d)).select("spec_id", "kind", "impl_text").withColumn(
+    rows = bridge.impls(spark, d).filter(F.col("impl_text") != "")
+    v = V.corruption_variants(rows).select("spec_id", "kind", "impl_text").withColumn(
         "lines", T.splitlines(F.col("impl_text"))).withColumn("scorable_line_texts", T.scorable_texts(F.col("lines")))
     v = v.withColumn("per_line_energies", S.length(F.col("scorable_line_texts"), F.col("kind")))
     return V.overlay(v.withColumnRenamed("spec_id", "example"))
@@ -356,7 +393,21 @@ def sibling_twins(spark, d):
 
 # -- resampling, augmentation, batches ----------------------------------------------------------------
 
-@query("bootstrap_recall")
+def _draw_sql(key: str, rep: str) -> str:
+    return f"(('0x' || substr(sha1({key} || '|' || {rep} || '|0'), 1, 8))::bigint / 4294967296.0::double)"
+
+
+_COUNT = ("(u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int"
+          " + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int"
+          " + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int")
+
+
+@query("bootstrap_recall", f"""with {bridge.sql_scored('random', 'keyword')},
+f as (select run, impl_id, (best_rank <= 1)::int as hit from rec where status = 'FAIL' and n_bug > 0),
+u as (select *, {_draw_sql('impl_id', 'rep')} as u from f, (select unnest(range(50)) as rep)),
+m as (select run, rep, sum(hit * c) / sum(c) as m from (select *, {_COUNT} as c from u) group by all)
+select run, round(median(m), 6) as median, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi,
+  count(m) as n from m group by run""")
 def bootstrap_recall(spark, d):
     recs = bridge.records(spark, d, "random", "keyword")
     hits = M.labelled_fail(recs).select("run", "impl_id", G.row_hits(recs, 1).alias("hit"))
@@ -365,13 +416,10 @@ def bootstrap_recall(spark, d):
 
 _BOOT = f"""with {bridge.sql_scored('random')},
 y as (select impl_id, status = 'FAIL' as y, whole from rec where status <> 'UNKNOWN'),
-u as (select *, ('0x' || substr(sha1(impl_id || '|' || rep || '|0'), 1, 8))::bigint / 4294967296.0::double as u
-      from y, (select unnest(range(20)) as rep)),
-c as (select *, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int
-   + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int
-   + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int as c from u),
-s as (select rep, whole, sum(c) filter (where y) as p, sum(c) filter (where not y) as n from c where c > 0 group by all),
-q as (select rep, coalesce(p, 0) as p, coalesce(n, 0) as n, coalesce(sum(n) over (partition by rep order by whole rows between unbounded preceding and 1 preceding), 0) as b from s)
+u as (select *, {_draw_sql('impl_id', 'rep')} as u from y, (select unnest(range(20)) as rep)),
+s as (select rep, whole, coalesce(sum(c) filter (where y), 0) as p, coalesce(sum(c) filter (where not y), 0) as n
+      from (select *, {_COUNT} as c from u) where c > 0 group by all),
+q as (select rep, p, n, coalesce(sum(n) over (partition by rep order by whole rows between unbounded preceding and 1 preceding), 0) as b from s)
 select rep::int as rep, round(sum(p * (b + n / 2.0)) / (sum(p) * sum(n)), 6) as auc from q group by rep"""
 
 
@@ -389,7 +437,15 @@ def bootstrap_interval(spark, d):
     return Z.index_interval(out, "auc", []).select("n")
 
 
-@query("paired_auroc_interval")
+@query("paired_auroc_interval", f"""with {bridge.sql_scored('random', 'keyword')},
+y as (select run, impl_id, status = 'FAIL' as y, whole from rec where status <> 'UNKNOWN'),
+u as (select *, {_draw_sql('impl_id', 'rep')} as u from y, (select unnest(range(20)) as rep)),
+s as (select run, rep, whole, coalesce(sum(c) filter (where y), 0) as p, coalesce(sum(c) filter (where not y), 0) as n
+      from (select *, {_COUNT} as c from u) where c > 0 group by all),
+q as (select *, coalesce(sum(n) over (partition by run, rep order by whole rows between unbounded preceding and 1 preceding), 0) as b from s),
+a as (select run, rep, sum(p * (b + n / 2.0)) / (sum(p) * sum(n)) as auc from q group by all),
+d as (select rep, max(auc) filter (where run = 'random') - max(auc) filter (where run = 'keyword') as d from a group by rep)
+select round(median(d), 6) as median, round(quantile_cont(d, 0.025), 6) as lo, round(quantile_cont(d, 0.975), 6) as hi, count(d) as n from d""")
 def paired_auroc_interval(spark, d):
     recs = bridge.records(spark, d, "random", "keyword")
     rows = recs.groupBy("impl_id").agg(
@@ -442,12 +498,32 @@ def viable_specs(spark, d):
     return Z.viable_specs(_mixed(spark, d))
 
 
-@query("mixed_batches")
+_VIABLE = f"""with {bridge.sql_scored('random')},
+g as (select case when substr(source, 4)::int % 2 = 0 then 'system_trajectory' else 'sft_safe' end as source, spec_id,
+   bool_or(status = 'PASS') as p, bool_or(status = 'FAIL') as f, bool_or(status = 'FAIL' and n_bug > 0) as l from rec group by all),
+v as (select source, spec_id from g where (source = 'system_trajectory' and p and f) or (source = 'sft_safe' and l)),
+o as (select *, case when source = 'sft_safe' then 4 else 2 end as per, count(*) over (partition by source) as n,
+        row_number() over (partition by source order by ('0x' || substr(sha1(source || '|' || spec_id || '|0'), 1, 8))::bigint, spec_id) - 1 as i from v),
+mb as (select source, spec_id, i // per as batch from o where i < n // per * per)"""
+
+
+@query("mixed_batches", _VIABLE + " select source, spec_id, batch from mb")
 def mixed_batches(spark, d):
     return Z.mixed_batches(Z.viable_specs(_mixed(spark, d)))
 
 
-@query("collated_batches")
+@query("collated_batches", _VIABLE + """,
+rs as (select r.*, case when substr(source, 4)::int % 2 = 0 then 'system_trajectory' else 'sft_safe' end as src from rec r),
+w as (select impl_id, max(n_lines) as n_lines from sc group by 1),
+j as (select mb.batch, rs.*, row_number() over (partition by mb.batch order by rs.impl_id) as r
+      from rs join mb on mb.source = rs.src and mb.spec_id = rs.spec_id),
+k as (select * from j where r <= 16),
+gr as (select batch, spec_id from k where src = 'system_trajectory' group by all
+       having bool_or(status = 'PASS') and bool_or(status = 'FAIL')),
+gc as (select batch, count(*) as n from gr group by 1)
+select batch, count(*)::int as n, max(n_lines)::int as width, coalesce(any_value(gc.n), 0)::int as n_groups,
+  count(*) filter (where src = 'sft_safe' and status = 'FAIL' and n_bug > 0)::int as n_labelled
+from k left join gc using (batch) group by batch""")
 def collated_batches(spark, d):
     recs = _mixed(spark, d)
     planned = Z.mixed_batches(Z.viable_specs(recs))

@@ -135,12 +135,33 @@ def loss_line_bce(spark, d):
     return r6(L.line_bce(_recs(spark, d), ["run"]), "loss", "diff")
 
 
-@query("loss_hybrid")
+_ALL = _PAIRS + _ANCHOR + """,
+nr as (select run, count(*) as n_rows from rec group by run),
+sc1 as (select run, avg(ln(1 + exp(e_pos - e_neg))) as l, count(*) as n from pr group by run),
+lw as (select run, impl_id, buggy, energy, ln(sum(exp(energy)) over w) as lse, avg(energy) over w as mu
+      from scored where status = 'FAIL' and n_lines >= 2 window w as (partition by run, impl_id)),
+li as (select run, impl_id, avg(0.95 * (lse - energy) + 0.05 * (lse - mu)) as l from lw where buggy group by all),
+ls as (select run, avg(l) as l, count(*) as n from li group by run),
+hi as (select b.run, b.impl_id, avg(ln(1 + exp(1 + o.energy - b.energy))) as l from f b join q o using (run, impl_id) where b.buggy and o.h <= 3 group by all),
+hs as (select run, sum(l * nb) / sum(nb) as l, sum(nb)::bigint as n from hi join c using (run, impl_id) group by run),
+p1 as (select run, sum(exp(-whole)) as z from rec where status = 'FAIL' group by run),
+sp as (select run, avg(ln(z + exp(-e_pos)) + e_pos) as l, count(*) as n from g join p1 using (run) group by run),
+fi as (select b.run, b.impl_id, avg(greatest(0, 1 + o.energy - b.energy)) as l from f b join q o using (run, impl_id) where b.buggy group by all),
+fs as (select run, sum(l * least(4, nb * no)) / sum(least(4, nb * no)) as l, sum(least(4, nb * no))::bigint as n
+       from fi join c using (run, impl_id) group by run)"""
+
+
+@query("loss_hybrid", _ALL + """
+select run, n_rows, round(sc1.l, 6) as scalar_loss, sc1.n as scalar_n, round(ls.l, 6) as list_loss, ls.n as list_n,
+  round(hs.l, 6) as pair_loss, hs.n as pair_n, round(sc1.l + 0.5 * ls.l + 0.25 * hs.l, 6) as loss
+from nr join sc1 using (run) join ls using (run) join hs using (run)""")
 def loss_hybrid(spark, d):
     return r6(L.hybrid(_recs(spark, d), ["run"], 1.0, 0.5, 0.25), "loss", "scalar_loss", "list_loss", "pair_loss")
 
 
-@query("loss_contrastive")
+@query("loss_contrastive", _ALL + """
+select run, n_rows, round(sp.l, 6) as spec_loss, sp.n as spec_n, round(fs.l, 6) as line_loss, fs.n as line_n,
+  round(sp.l + 0.5 * fs.l, 6) as loss from nr join sp using (run) join fs using (run)""")
 def loss_contrastive(spark, d):
     return r6(L.contrastive(_recs(spark, d), ["run"], 1.0, 0.5), "loss", "spec_loss", "line_loss")
 

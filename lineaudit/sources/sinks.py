@@ -28,20 +28,23 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
+def _no_zeros(s: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def _significant(c: Column, digits: int) -> Column:
     """A number with so many significant digits and no trailing zeros, as C's %g prints it."""
     def body(x):
-        exponent = F.floor(F.log10(F.abs(x)) + 1e-12)
+        scientific = F.format_string(f"%.{digits - 1}e", x)
+        # The exponent after rounding to the wanted digits.
+        exponent = F.substring_index(scientific, "e", -1).try_cast("int")
         scale = F.pow(F.lit(10.0), F.lit(digits - 1) - exponent)
-        rounded = F.round(x * scale, 0) / scale
-        plain = F.regexp_replace(F.format_string(f"%.{digits + 4}f", rounded), r"\.?0+$", "")
-        mantissa = F.format_string(f"%.{digits - 1}e", x)
-        short = F.concat(
-            F.regexp_replace(F.substring_index(mantissa, "e", 1), r"\.?0+$", ""), F.lit("e"),
-            F.substring_index(mantissa, "e", -1))
+        plain = F.format_string(f"%.{digits + 4}f", F.round(x * scale, 0) / scale)
+        short = F.concat(_no_zeros(F.substring_index(scientific, "e", 1)), F.lit("e"),
+                         F.substring_index(scientific, "e", -1))
         return (
             F.when(F.isnan(x), F.lit("nan")).when(x == 0, F.lit("0"))
-            .when((exponent < -4) | (exponent >= digits), short).otherwise(plain))
+            .when((exponent < -4) | (exponent >= digits), short).otherwise(_no_zeros(plain)))
 
     return let(c.cast("double"), body)
 
