@@ -73,8 +73,8 @@ def bootstrap_auroc(rows: DataFrame, scores: list[str], positive: Column, key: s
                     seed: int = 0) -> DataFrame:
     """Resampled AUROC of each score, all scores of a row resampled together.
 
-    One pass orders the distinct scores once; the resamples then differ only in
-    weights, carried as two arrays, so the order is never recomputed.
+    Drawn records are counted per resample and distinct score on the map side;
+    each resample is then one group of the bucketed running sums.
     """
     base = rows.withColumn("_y", positive).filter("_y IS NOT NULL").select(
         *by, F.col("_y").cast("int").alias("_y"), poisson_weights(F.col(key), iters, seed).alias("_w"),

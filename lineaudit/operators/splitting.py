@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineaudit.functions import text as T
 from lineaudit.plans.ordered import row_positions
-from lineaudit.plans.skew import lookup
+from lineaudit.plans.skew import attach
 
 # The seeded shuffle needs one driver integer per trajectory spec.
 SHUFFLE_LIMIT = 5_000_000
@@ -65,7 +65,7 @@ def split(examples: DataFrame, n_trajectory: int = 30, pair_share: float = 0.10,
     held = held_groups(groups, n_trajectory, pair_share, seed, exact).withColumn("held", F.lit(True))
     rows = examples.withColumn("spec_hash", T.squeeze_hash(F.col("spec_text")))
     spread = [c for c in ("impl_id",) if c in examples.columns] or examples.columns
-    flagged = lookup(rows, held, ["spec_hash"], ["held"], spread)
+    flagged = attach(rows, held, ["spec_hash"], ["held"], spread)
     return flagged.withColumn(
         "side", F.when(F.coalesce("held", F.lit(False)), "held").otherwise("train")).drop("held")
 

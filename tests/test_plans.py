@@ -10,13 +10,14 @@ from lineaudit.functions import diffs
 from lineaudit.functions import text as T
 from lineaudit.operators import field as D
 from lineaudit.operators import leakage as L
+from lineaudit.operators import models
 from lineaudit.operators import repair as Q
 from lineaudit.operators import sampling as Z
 from lineaudit.operators import siblings as B
 from lineaudit.operators import splitting as X
 from lineaudit.plans import ordered as O
 from lineaudit.plans.lines import explode_records, implode_records
-from lineaudit.plans.skew import lookup
+from lineaudit.plans.skew import attach, lookup
 
 IMPL = "impl_id string, spec_id string, source string, status string, spec_text string, impl_text string, buggy_lines array<int>"
 
@@ -249,3 +250,37 @@ def test_collate(spark):
     df = spark.createDataFrame(rows, "batch string, ord int, source string, spec_id string, status string, buggy_line_indices array<int>, input_ids array<int>")
     r = Z.collate(df, 3).first()
     assert r["input_ids"] == [[1, 2, 0], [3, 0, 0], [4, 5, 6]] and r["groups"] == [[1, 0]] and r["labelled_failing"] == [2]
+
+
+def test_tokenizer_and_surprisal(spark):
+    ex = spark.createDataFrame([
+        ("a", "s", "x", "FAIL", "spec  ", "let a;\n\nlet b;", [2]), ("b", "s", "x", "PASS", "", "// c", []),
+        ("c", "s", "x", "PASS", "", "x" * 50, [])], IMPL)
+
+    def make():
+        return lambda t: [0 if w == "S" else len(w) for w in t.split()]
+
+    got = models.tokenize(ex, make, 0, 20, sentinel="S").collect()
+    assert [r["impl_id"] for r in got] == ["a", "c"]
+    a = got[0]
+    assert a["input_ids"] == [4, 3, 2, 0, 3, 2, 0] and a["sentinel_positions"] == [3, 6]
+    assert a["spec_token_count"] == 1 and a["buggy_line_indices"] == [1]
+    assert models.tokenize(ex, make, 0, 4, sentinel="S").count() == 1
+    lp = spark.createDataFrame([("a", [-9.0, -1.0, -2.0, -7.0, -4.0, -5.0, -7.0], [3, 6, 7], 1)],
+                               "impl_id string, log_probs array<double>, sentinel_positions array<int>, spec_token_count int")
+    r = models.surprisal_records(lp).first()
+    assert r["per_line_energies"] == [1.5, 4.5, 0.0] and r["whole_impl_energy"] == 2.0
+
+    def scorer():
+        return lambda s, t: ([float(len(x)) for x in t.splitlines()], 1.0)
+
+    out = {r["impl_id"]: r["per_line_energies"] for r in models.run_scorer(ex, scorer).collect()}
+    assert out["a"] == [6.0, 0.0, 6.0]
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_attach_either_way(spark, limit):
+    rows = spark.range(60).select(F.col("id"), (F.col("id") % 9).alias("k"))
+    table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") + 100).alias("v"))
+    got = {r["id"]: r["v"] for r in attach(rows, table, ["k"], ["v"], ["id"], limit=limit).collect()}
+    assert got == {i: (i % 9 + 100 if i % 9 < 5 else None) for i in range(60)}
