@@ -292,6 +292,16 @@ def bigrams(s: Column) -> Column:
     return let(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), pairs)
 
 
+def bigram_codes(s: Column) -> Column:
+    """The same set as numbers: both code points packed into one long."""
+    def pairs(codes):
+        return F.when(F.size(codes) < 2, codes).otherwise(F.array_distinct(F.transform(
+            F.slice(codes, 2, F.size(codes)), lambda c, i: F.get(codes, i) * F.lit(1 << 21).cast("long") + c)))
+
+    chars = F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    return let(F.transform(chars, lambda c: F.ascii(c).cast("long")), pairs)
+
+
 def char_jaccard(a: Column, b: Column) -> Column:
     ga, gb = bigrams(a), bigrams(b)
     return (
