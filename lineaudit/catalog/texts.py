@@ -10,6 +10,8 @@ from lineaudit.functions import ranking as R
 from lineaudit.functions import responses as A
 from lineaudit.functions import text as T
 from lineaudit.operators import corpus as C
+from lineaudit.operators import models
+from lineaudit.operators import repair as Q
 from lineaudit.operators import scorers as S
 from lineaudit.sources import corpora as K
 from lineaudit.sources import blocks as TF
@@ -182,11 +184,11 @@ def _code(text):
 @query("spec_impl_split", f"""
 select conv_id, turn, case turn % 3 when 0 then 'pub fn f(a: u64)' || chr(10) || '    requires a > 0,' || chr(10) || '{{'
     when 1 then 'struct S {{' else text end as spec_text,
-  sha1(case turn % 3 when 0 then text || chr(10) || '}}' when 1 then text else '' end) as impl_digest,
-  (turn % 3 = 0) as has_signature from conversations where text <> '' and right(text, 1) <> chr(10)""")
+  sha1(case turn % 3 when 0 then text || chr(10) || '}}' when 1 then regexp_replace(text, '\n$', '') else '' end) as impl_digest,
+  (turn % 3 = 0) as has_signature from conversations""")
 def spec_impl_split(spark, d):
     t = F.col("text")
-    rows = bridge.table(spark, d, "conversations").filter((t != "") & ~t.endswith("\n"))
+    rows = bridge.table(spark, d, "conversations")
     code = F.when(F.col("turn") % 3 == 0, _code(t)).when(
         F.col("turn") % 3 == 1, F.concat(F.lit("struct S {\n"), t)).otherwise(t)
     rows = rows.select("conv_id", "turn", code.alias("code"))
@@ -196,12 +198,11 @@ def spec_impl_split(spark, d):
                         "has_signature")
 
 
-@query("answer_code", """
-select conv_id, turn, sha1(text) as digest from conversations where trim(text) = text and text <> ''
- and not starts_with(text, chr(10)) and not ends_with(text, chr(10))""")
+@query("answer_code", r"""
+select conv_id, turn, sha1(nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')) as digest from conversations""")
 def answer_code(spark, d):
     t = F.col("text")
-    rows = bridge.table(spark, d, "conversations").filter((T.strip(t) == t) & (t != ""))
+    rows = bridge.table(spark, d, "conversations")
     answer = F.when(F.col("turn") % 3 == 0, F.concat(
         F.lit("Here:\n```rust\nuse vstd::prelude::*;\nverus! {\n"), t, F.lit("\n} // end\n```\nDone."))).when(
         F.col("turn") % 3 == 1, F.concat(F.lit("```\n"), t, F.lit("\nfn main() {}\n```"))).otherwise(t)
@@ -295,6 +296,56 @@ def status_dialects(spark, d):
     return C.status_census(bridge.table(spark, d, "events").select(raw.alias("raw")))
 
 
+@query("joined_spec_impl", f"""with {bridge.SQL_LINES},
+t as (select impl_id, string_agg(line_text, chr(10) order by src_idx) as t from lines group by 1)
+select impl_id, sha1(rtrim(spec_text) || chr(10) || regexp_replace(t, '^\\n+', '')) as digest from t join raw using (impl_id)""")
+def joined_spec_impl(spark, d):
+    rows = bridge.impls(spark, d).filter(F.col("impl_text") != "")
+    return rows.select("impl_id", _sha(T.join_spec_impl(F.col("spec_text"), F.col("impl_text"))).alias("digest"))
+
+
+_WORDS = "len(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+
+
+@query("tokenized_examples", f"""with {bridge.SQL_LINES},
+n as (select impl_id, count(*) as ns, count(*) filter (where buggy) as nb from sc group by 1),
+w as (select impl_id, sum({_WORDS.format('line_text')}) as nw from lines group by 1),
+k as (select impl_id, {_WORDS.format('spec_text')} as sw, nw + ns + sw as total, ns, nb from n join w using (impl_id) join raw using (impl_id))
+select impl_id, total::int as n_tokens, sw::int as spec_token_count, ns::int as n_sentinels, nb::int as n_labels from k where total <= 2048""")
+def tokenized_examples(spark, d):
+    """A word tokenizer stands in for the model's own."""
+    def make():
+        return lambda text: [0 if w == "<S>" else len(w) for w in text.split()]
+
+    rows = models.tokenize(bridge.impls(spark, d), make, 0, 2048, sentinel="<S>")
+    return rows.select("impl_id", F.size("input_ids").alias("n_tokens"), "spec_token_count",
+                       F.size("sentinel_positions").alias("n_sentinels"), F.size("buggy_line_indices").alias("n_labels"))
+
+
+@query("surprisal_lines", """
+with w as (select conv_id, turn, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) - 1 as i from conversations),
+s as (select *, ends_with(w, '.') as stop, count(*) filter (where ends_with(w, '.')) over (partition by conv_id, turn order by i) as k from w),
+g as (select conv_id, turn, case when stop then k - 1 else k end as line, stop, length(w) / 10.0::double as lp, i from s),
+c as (select conv_id, turn, line, avg(lp) filter (where not stop and i >= 1) as e, bool_or(stop) as closed from g group by all)
+select conv_id, turn, line::int as line, round(coalesce(e, 0), 6) as energy from c where closed""")
+def surprisal_lines(spark, d):
+    """Word lengths stand in for log-probabilities, full stops for sentinels."""
+    words = F.split("text", " ")
+    rows = bridge.table(spark, d, "conversations").select(
+        "conv_id", "turn", F.transform(words, lambda w: -F.char_length(w) / 10.0).alias("log_probs"),
+        T.indices_where(words, lambda w: w.endswith(".")).alias("sentinel_positions"), F.lit(1).alias("spec_token_count"))
+    out = models.surprisal_records(rows).select("conv_id", "turn", F.posexplode("per_line_energies").alias("line", "energy"))
+    return r6(out, "energy")
+
+
+@query("records_with_texts", f"""with {bridge.sql_scored('length')}
+select impl_id, n_lines::int as n_texts, round(whole, 6) as whole_impl_energy from rec""")
+def records_with_texts(spark, d):
+    recs = bridge.records(spark, d, "length")
+    out = Q.with_texts(recs.drop("scorable_line_texts"), recs.select("impl_id", "scorable_line_texts"))
+    return r6(out.select("impl_id", F.size("scorable_line_texts").alias("n_texts"), "whole_impl_energy"), "whole_impl_energy")
+
+
 # -- raw corpora --------------------------------------------------------------------------
 
 def _raw_trajectories(spark, d):
@@ -321,6 +372,13 @@ def trajectory_examples(spark, d):
         "spec_id", "impl_id", "status", _sha(F.col("impl_text")).alias("impl_digest"), "spec_text")
 
 
+@query("loaded_corpora")
+def loaded_corpora(spark, d):
+    """All corpora in one table; the repair side rests on difflib, so rows only."""
+    both = K.load_all([K.parse_trajectories(_raw_trajectories(spark, d))], [K.parse_repair_pairs(_raw_pairs(spark, d), ["ord"])])
+    return both.groupBy("src_ord", "source", "status").agg(F.count("*").alias("n"), F.count_distinct("spec_id").alias("n_specs"))
+
+
 @query("trajectory_classes", """
 with r as (select conv_id as spec, turn % 4 as m, turn % 2 as rc, case when turn % 4 = 1 then length(text) else 0 end as out from conversations),
 s as (select spec, bool_or(m = 0) as p, bool_or(m in (1, 2)) as f, bool_and(m = 0) as ap, bool_and(m in (1, 2)) as af,

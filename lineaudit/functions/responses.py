@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from lineaudit.functions import text as T
 from lineaudit.functions.binding import let
 
+# How answers are searched when they are not one JSON object.
+LISTED_LINES = r"(?s)\{[^{}]*?top_lines[^{}]*?\[([^\]]*)\][^{}]*?\}"
+INTEGER = r"-?\d+"
+VERDICT = r'(?i)"verdict"\s*:\s*"(pass|fail)"'
+FAIL_PROBABILITY = r'"p_fail"\s*:\s*([0-9.]+)'
+
 
 def _ints(s: Column) -> Column:
-    return F.transform(F.regexp_extract_all(s, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+    return F.transform(F.regexp_extract_all(s, F.lit(INTEGER), F.lit(0)), lambda x: x.try_cast("bigint"))
 
 
 def _object(content: Column) -> Column:
@@ -28,8 +34,7 @@ def ranked_lines(content: Column, n_lines: Column, k: int = 5) -> Column:
     listed = F.transform(
         F.try_variant_get(_object(content), "$.top_lines", "array<string>"),
         lambda x: x.try_cast("double").try_cast("bigint"))
-    pattern = r"(?s)\{[^{}]*?top_lines[^{}]*?\[([^\]]*)\][^{}]*?\}"
-    loose = F.when(content.rlike(pattern), _ints(F.regexp_extract(content, pattern, 1))).otherwise(
+    loose = F.when(content.rlike(LISTED_LINES), _ints(F.regexp_extract(content, LISTED_LINES, 1))).otherwise(
         F.slice(_ints(content), 1, k))
     found = F.when(_object(content).isNotNull(), F.coalesce(listed, F.array().cast("array<bigint>"))).otherwise(loose)
     kept = let(n_lines, lambda n: F.filter(found, lambda i: (i >= 0) & (i < n)))
@@ -43,9 +48,8 @@ def verdict(content: Column) -> Column:
     number = F.when(
         F.schema_of_variant(F.try_variant_get(obj, "$.p_fail", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
         F.try_variant_get(obj, "$.p_fail", "double"))
-    vp, pp = r'(?i)"verdict"\s*:\s*"(pass|fail)"', r'"p_fail"\s*:\s*([0-9.]+)'
-    loose_v = F.nullif(F.lower(F.regexp_extract(content, vp, 1)), F.lit(""))
-    loose_p = F.regexp_extract(content, pp, 1).try_cast("double")
+    loose_v = F.nullif(F.lower(F.regexp_extract(content, VERDICT, 1)), F.lit(""))
+    loose_p = F.regexp_extract(content, FAIL_PROBABILITY, 1).try_cast("double")
     is_obj = obj.isNotNull()
     return F.struct(
         F.when(is_obj, F.when(said.isin("pass", "fail"), said)).otherwise(loose_v).alias("verdict"),

@@ -30,6 +30,18 @@ MARKER_KEYWORDS = (
     "panic!", "unwrap", "unsafe", "// FAILS", "// TODO", "// FIXME",
     "assert!", "todo!", "unimplemented!",
 )
+RUST_BLOCK = r"(?sU)```rust\s*\n(.*?)```"
+ERROR_BLOCK = r"(?sU)The error messages are[^\n]*\n+\s*```(?:rust)?\s*\n(.*?)```"
+CODE_FENCE = r"(?sU)```(?:rust|verus|rs)?\s*\n?(.*?)\n?```"
+IMPORT_LINE = r"(?mU)^\s*use\s+vstd[^;]*;\s*$"
+MACRO_WRAP = r"(?sU)verus!\s*\{\s*(.*?)\s*\}\s*(//[^\n]*)?\s*\z"
+EMPTY_MAIN = r"(?mU)^\s*fn\s+main\s*\(\s*\)\s*\{\s*\}\s*$"
+MAIN_SIGNATURE = r"(?U)^\s*(pub\s+)?fn\s+main\s*\("
+BODY_OPENS = r"(?U)\{\s*$"
+VERIFIER_RESULT = r"verification results::\s*(\d+)\s*verified,\s*(\d+)\s*errors"
+VERIFIER_ERROR = r"(?m)^error:"
+TEXT_MARKER = rf"(?im)(?U)\s*//\s*(?:{MARKER_WORDS})\b.*?$"
+LINE_MARKER = r"(?iU)\s*//\s*(FAILS|FIXME|fails[-_].*|expected[-_]fail.*)\b.*$"
 # ------------------------------------------------------------------------
 
 # Line ends and white space as Unicode knows them; Java's plain \s and Spark's
@@ -141,13 +153,12 @@ def strip_markers(text: Column) -> Column:
     White space before the marker goes too, line ends included, so lines may
     be joined and line numbers may shift.
     """
-    return F.regexp_replace(text, rf"(?im)(?U)\s*//\s*(?:{MARKER_WORDS})\b.*?$", "")
+    return F.regexp_replace(text, TEXT_MARKER, "")
 
 
 def strip_line_markers(lines: Column) -> Column:
     """Per-line removal of FAILS, FIXME, fails-… and expected-fail… comments."""
-    return F.transform(lines, lambda x: F.regexp_replace(
-        x, r"(?iU)\s*//\s*(FAILS|FIXME|fails[-_].*|expected[-_]fail.*)\b.*$", ""))
+    return F.transform(lines, lambda x: F.regexp_replace(x, LINE_MARKER, ""))
 
 
 def fails_line_indices(lines: Column) -> Column:
@@ -185,7 +196,7 @@ def signature_line(lines: Column, skip_main: bool = True) -> Column:
 
     def pred(x):
         hit = x.rlike(rf"(?U)^{_WS}*({alt})")
-        return hit & ~x.rlike(r"(?U)^\s*(pub\s+)?fn\s+main\s*\(") if skip_main else hit
+        return hit & ~x.rlike(MAIN_SIGNATURE) if skip_main else hit
 
     return F.nullif(_first(lines, pred), F.lit(0)) - 1
 
@@ -199,7 +210,7 @@ def spec_impl_bounds(lines: Column) -> Column:
     """
     sig = signature_line(lines) + 1
     opening = let(sig, lambda first: F.array_position(F.transform(
-        lines, lambda x, i: x.rlike(r"(?U)\{\s*$") & (i + 1 >= first)), F.lit(True)).cast("int"))
+        lines, lambda x, i: x.rlike(BODY_OPENS) & (i + 1 >= first)), F.lit(True)).cast("int"))
     brace = _first(lines, lambda x: x.contains("{"))
     return (
         F.when(sig.isNotNull(), F.struct(
@@ -243,11 +254,11 @@ def _block(text: Column, pattern: str, trim) -> Column:
 
 def rust_block(text: Column) -> Column:
     """First ```rust fenced block, right-stripped; NULL if there is none."""
-    return _block(text, r"(?sU)```rust\s*\n(.*?)```", rstrip)
+    return _block(text, RUST_BLOCK, rstrip)
 
 
 def error_block(text: Column) -> Column:
-    return _block(text, r"(?sU)The error messages are[^\n]*\n+\s*```(?:rust)?\s*\n(.*?)```", strip)
+    return _block(text, ERROR_BLOCK, strip)
 
 
 def nonempty(s: Column) -> Column:
@@ -256,24 +267,22 @@ def nonempty(s: Column) -> Column:
 
 def response_code(content: Column) -> Column:
     """Code of a model answer with imports, wrapper macro and empty main removed."""
-    fence = r"(?sU)```(?:rust|verus|rs)?\s*\n?(.*?)\n?```"
     code = let(strip(content), lambda t: F.coalesce(
-        _block(t, fence, strip), F.when(~t.startswith("```"), t)))
-    code = F.regexp_replace(code, r"(?mU)^\s*use\s+vstd[^;]*;\s*$", "")
-    wrap = r"(?sU)verus!\s*\{\s*(.*?)\s*\}\s*(//[^\n]*)?\s*\z"
-    code = let(code, lambda t: F.coalesce(_block(t, wrap, strip), t))
-    code = F.regexp_replace(code, r"(?mU)^\s*fn\s+main\s*\(\s*\)\s*\{\s*\}\s*$", "")
+        _block(t, CODE_FENCE, strip), F.when(~t.startswith("```"), t)))
+    code = F.regexp_replace(code, IMPORT_LINE, "")
+    code = let(code, lambda t: F.coalesce(_block(t, MACRO_WRAP, strip), t))
+    code = F.regexp_replace(code, EMPTY_MAIN, "")
     return nonempty(strip(code))
 
 
 def verifier_counts(output: Column) -> Column:
     """struct(n_verified, n_errors) read from a verifier's combined output."""
-    pat = r"verification results::\s*(\d+)\s*verified,\s*(\d+)\s*errors"
+    pat = VERIFIER_RESULT
     seen = output.rlike(pat)
     return F.struct(
         F.when(seen, F.regexp_extract(output, pat, 1).cast("int")).otherwise(F.lit(0)).alias("n_verified"),
         F.when(seen, F.regexp_extract(output, pat, 2).cast("int")).otherwise(
-            F.size(F.regexp_extract_all(output, F.lit(r"(?m)^error:"), 0))).alias("n_errors"),
+            F.size(F.regexp_extract_all(output, F.lit(VERIFIER_ERROR), 0))).alias("n_errors"),
     )
 
 

@@ -13,10 +13,12 @@ from lineaudit.functions import text as T
 from lineaudit.functions.binding import let
 from lineaudit.plans.emit import filter_map
 
-# Fixed value: the head of a test block.
+# The head of a test block, tag and id prefix of its examples.
 _HEAD = re.compile(
     r"test_verify_one_file!\s*\{\s*(?:#\[(?:test|cfg|ignore)[^\]]*\]\s*)*(?:#\[test\]\s*)?"
     r"(?P<name>[A-Za-z_][A-Za-z0-9_]*)\s+verus_code!\s*\{", re.DOTALL)
+SOURCE, ID_PREFIX = "verus_real", "verus-real-"
+
 _BRACE = re.compile(r"[{}]")
 
 
@@ -95,7 +97,7 @@ def examples(files: DataFrame) -> DataFrame:
         "ord", "f_name", "f_spec", "f_impl", "p_name", "p_spec", "p_impl", "_bugs"))).alias("_all"))
     rows = numbered.select("source_file", F.posexplode("_all").alias("_n", "x")).select("source_file", "_n", "x.*")
     spec_id = F.concat(
-        F.lit("verus-real-"), F.regexp_replace("source_file", r"\.rs$", ""), F.lit("-"),
+        F.lit(ID_PREFIX), F.regexp_replace("source_file", r"\.rs$", ""), F.lit("-"),
         T.squeeze_hash(F.col("f_spec"), 12))
 
     def side(kind, p, labels, outcome):
@@ -108,7 +110,7 @@ def examples(files: DataFrame) -> DataFrame:
     both = F.array(
         side("fail", "f_", F.col("_bugs"), "Err"), side("pass", "p_", F.array().cast("array<int>"), "Ok"))
     kept = F.filter(both, lambda s: s["test_name"].isNotNull())
-    return rows.select(F.lit("verus_real").alias("source"), "source_file", spec_id.alias("spec_id"), F.inline(kept))
+    return rows.select(F.lit(SOURCE).alias("source"), "source_file", spec_id.alias("spec_id"), F.inline(kept))
 
 
 def read_test_files(spark: SparkSession, path) -> DataFrame:

@@ -15,7 +15,11 @@ from lineaudit.plans.ordered import row_positions
 from lineaudit.session import stable
 from lineaudit.sources.records import with_file_order
 
+# The label limit, the macro a corpus file must open, tags and id prefixes of the corpora.
 MAX_DIFF_LINES = 3
+MACRO_LINE = r"(?m)^[ \t]*verus!"
+TRAJECTORY, REPAIR, TASK = "system_trajectory", "sft_safe", "humanevalpack_rust"
+TRAJECTORY_ID, REPAIR_ID, TASK_ID = "traj-", "safe-", "hep-"
 _NO_LABELS = "array<int>"
 
 
@@ -37,10 +41,10 @@ def parse_trajectories(raw: DataFrame) -> DataFrame:
     parts = let(code, lambda c: F.when(c.isNotNull(), T.spec_impl(c)))
     rows = filter_map(rows, parts, lambda p: p.isNotNull() & ~T.is_blank(p["impl"]))
     rows = rows.withColumnsRenamed({"spec": "spec_text", "impl": "impl_text"})
-    spec = F.concat(F.lit("traj-"), F.coalesce(F.col("original_index").cast("string"), F.lit("NA")))
+    spec = F.concat(F.lit(TRAJECTORY_ID), F.coalesce(F.col("original_index").cast("string"), F.lit("NA")))
     rep = F.coalesce(F.col("repetition").cast("string"), F.lit("NA"))
     return rows.select(
-        F.lit("system_trajectory").alias("source"), spec.alias("spec_id"),
+        F.lit(TRAJECTORY).alias("source"), spec.alias("spec_id"),
         F.concat(spec, F.lit("-rep"), rep).alias("impl_id"), "spec_text", "impl_text", "status",
         F.array().cast(_NO_LABELS).alias("buggy_lines"), F.col("repetition").alias("rep_index"),
         F.col("log").alias("verifier_log"), F.lit(None).cast("string").alias("sibling_impl_id"))
@@ -88,7 +92,7 @@ def parse_repair_pairs(raw: DataFrame, order: list[str], max_diff_lines: int = M
         *order, "_log", "b_spec_text", "b_impl_text", "f_impl_text", "buggy_lines")
     # Numbering looks at the kept pairs three times; the diffs behind them run once.
     rows = row_positions(stable(rows), [], order, "_pair")
-    spec = F.concat(F.lit("safe-"), T.text_hash(F.col("b_spec_text"), 16))
+    spec = F.concat(F.lit(REPAIR_ID), T.text_hash(F.col("b_spec_text"), 16))
     number = F.col("_pair").cast("string")
     broken, fixed = F.concat(spec, F.lit("-broken-"), number), F.concat(spec, F.lit("-fixed-"), number)
     twins = F.array(
@@ -98,7 +102,7 @@ def parse_repair_pairs(raw: DataFrame, order: list[str], max_diff_lines: int = M
                  F.array().cast(_NO_LABELS).alias("buggy_lines"), F.lit(None).cast("string").alias("verifier_log"),
                  broken.alias("sibling_impl_id")))
     return rows.select(
-        F.lit("sft_safe").alias("source"), spec.alias("spec_id"), F.col("b_spec_text").alias("spec_text"),
+        F.lit(REPAIR).alias("source"), spec.alias("spec_id"), F.col("b_spec_text").alias("spec_text"),
         F.inline(twins))
 
 
@@ -129,7 +133,7 @@ def parse_tasks(tasks: DataFrame) -> DataFrame:
     rows = filter_map(tasks.withColumn("spec_text", spec), sides,
                       lambda s: ~T.is_blank(s["_good"]) & ~T.is_blank(s["_bad"]))
     rows = rows.withColumn("_diff", diffs.second_side()(T.splitlines(F.col("_good")), T.splitlines(F.col("_bad"))))
-    stem = F.concat(F.lit("hep-"), F.replace("task_id", F.lit("/"), F.lit("-")))
+    stem = F.concat(F.lit(TASK_ID), F.replace("task_id", F.lit("/"), F.lit("-")))
 
     def short(kind, c):
         return F.concat(stem, F.lit(f"-{kind}-"), T.text_hash(c, 12))
@@ -145,14 +149,14 @@ def parse_tasks(tasks: DataFrame) -> DataFrame:
         side("pass", "_good", F.array().cast(_NO_LABELS), none, none),
         side("fail", "_bad", F.col("_diff"), F.col("bug_type"), F.col("failure_symptoms")))
     return rows.select(
-        F.lit("humanevalpack_rust").alias("source"), F.col("task_id").alias("source_file"),
+        F.lit(TASK).alias("source"), F.col("task_id").alias("source_file"),
         F.coalesce("entry_point", F.lit("")).alias("test_name"), short("spec", F.col("spec_text")).alias("spec_id"),
         "spec_text", F.inline(both))
 
 
 # -- corpus size ---------------------------------------------------------------------------
 
-def corpus_size(files: DataFrame, pattern: str = r"(?m)^[ \t]*verus!") -> DataFrame:
+def corpus_size(files: DataFrame, pattern: str = MACRO_LINE) -> DataFrame:
     """Files (repo, content) holding the macro: count and bytes per repository."""
     hit = F.col("content").rlike(pattern)
     return files.groupBy("repo").agg(
