@@ -360,15 +360,16 @@ def verdict_accuracy(spark, d):
 
 
 @query("scored_with_text", """
-with o as (select user_id, event_type, row_number() over (partition by user_id order by event_id desc) as r from events),
-l as (select user_id, event_type from o where r = 1)
-select l.user_id::varchar as impl_id, event_type as spec_text, c_name as impl_text from customer join l on l.user_id = c_custkey""")
+with o as (select user_id, event_type, props, row_number() over (partition by user_id order by event_id desc) as r from events)
+select user_id::varchar as impl_id, event_type as spec_text, props as impl_text, c_name as name
+from customer join o on user_id = c_custkey where r = 1 and event_type <> '' and props <> ''""")
 def scored_with_text(spark, d):
     raw = bridge.table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("impl_id"), F.col("event_type").alias("spec_text"), F.col("event_id").alias("ord"))
-    cust = bridge.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("impl_id"), F.col("c_name").alias("impl_text"))
-    last = last_per_key(raw, "impl_id", F.col("ord")).drop("ord")
-    return cust.join(last, "impl_id").select("impl_id", "spec_text", "impl_text")
+        F.col("user_id").cast("string").alias("impl_id"), F.col("event_type").alias("spec_text"),
+        F.col("props").alias("impl_text"), F.col("event_id").alias("ord"))
+    scored = bridge.table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("impl_id"), F.col("c_name").alias("name"))
+    return Q.scored_with_text(scored, raw)
 
 
 @query("last_record_per_key", """

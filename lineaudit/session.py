@@ -20,26 +20,25 @@ def local_session(cores: str = "8", name: str = "lineaudit") -> SparkSession:
         .getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local session gets its own."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return
+def ensure_checkpoint_dir(spark: SparkSession) -> bool:
+    """Is there a folder for checkpoints? The cluster's setting counts; only a local
+    session gets a folder of its own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return True
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and sc.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="lineaudit-")
     if named:
-        spark.sparkContext.setCheckpointDir(named)
-    elif conf.get("spark.master", "").startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineaudit-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        sc.setCheckpointDir(named)
+    return bool(named)
 
 
 def stable(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back from the shared folder.
 
     For results that several branches of a plan need and that are too costly to
-    compute in each of them.
+    compute in each of them. Without a shared folder the plan stays as it is
+    and the branches compute it anew; the result is the same.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint() if ensure_checkpoint_dir(df.sparkSession) else df
