@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineaudit.functions import ranking as R
 from lineaudit.functions import text as T
+from lineaudit.functions.binding import let
 from lineaudit.operators import metrics as M
 from lineaudit.plans.skew import lookup
 
@@ -48,11 +49,9 @@ def _line_overlap(train: DataFrame, target: DataFrame) -> DataFrame:
     """Per implementation with scorable lines: how many lines and labelled lines are known."""
     ls = _lines(target)
     buggy = F.when(F.col("status") == "FAIL", F.col("buggy_lines"))
-    # Equal lines of one implementation travel once, with their multiplicities.
-    rows = target.select("impl_id", buggy.alias("b"), F.posexplode(ls).alias("i", "l"))
-    rows = rows.select(
-        "impl_id", "l", T.is_scorable(F.col("l")).alias("s"),
-        F.coalesce(F.array_contains("b", F.col("i")), F.lit(False)).alias("site")).filter("s OR site")
+    flags = let(buggy, lambda b: F.transform(ls, lambda x, i: F.struct(
+        x.alias("l"), T.is_scorable(x).alias("s"), F.coalesce(F.array_contains(b, i), F.lit(False)).alias("site"))))
+    rows = target.select("impl_id", F.inline(F.filter(flags, lambda x: x["s"] | x["site"])))
     kinds = F.array(
         F.struct(F.lit("raw").alias("kind"), line_key(T.strip(F.col("l"))).alias("key")),
         F.struct(F.lit("code").alias("kind"), line_key(T.normalize_line(F.col("l"))).alias("key")))

@@ -6,29 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineaudit.functions import text as T
+from lineaudit.functions.binding import let
 
 
 def explode_lines(impls: DataFrame) -> DataFrame:
     """One row per source line with both index spaces; ``sent_idx`` is NULL where not scorable."""
-    lines = T.splitlines(F.col("impl_text"))
-    rows = impls.select("impl_id", "spec_id", "status", "buggy_lines", lines.alias("_l")).withColumn(
-        "_sc", T.scorable_line_indices(F.col("_l")))
-    rows = rows.select("impl_id", "spec_id", "status", "buggy_lines", "_sc", F.posexplode("_l").alias("src_idx", "line_text"))
-    at = F.array_position("_sc", F.col("src_idx")).cast("int")
-    return rows.select(
-        "impl_id", "spec_id", "status", "src_idx", F.nullif(at, F.lit(0)).alias("_at"), "line_text",
-        F.array_contains("buggy_lines", F.col("src_idx")).alias("buggy")).withColumn(
-        "sent_idx", F.col("_at") - 1).drop("_at")
+    def rows_of(lines):
+        def row(src, sent):
+            return F.struct(
+                src.alias("src_idx"), sent.cast("int").alias("sent_idx"), F.get(lines, src).alias("line_text"),
+                F.array_contains("buggy_lines", src).alias("buggy"))
+
+        scored = F.transform(T.scorable_line_indices(lines), lambda src, k: row(src, k))
+        other = T.indices_where(lines, lambda x: ~T.is_scorable(x))
+        # The row's arrays stay behind: each line leaves with its own values only.
+        return F.concat(scored, F.transform(other, lambda src: row(src, F.lit(None))))
+
+    return impls.select("impl_id", "spec_id", "status", F.inline(let(T.splitlines(F.col("impl_text")), rows_of)))
 
 
 def explode_records(records: DataFrame, keep=("run", "impl_id", "spec_id", "status")) -> DataFrame:
     """One row per scored line of each record."""
     cols = [c for c in keep if c in records.columns]
-    zipped = F.arrays_zip(F.col("per_line_energies").alias("energy"), F.col("scorable_line_texts").alias("line_text"))
-    rows = records.select(*cols, "buggy_line_indices", F.posexplode(zipped).alias("sent_idx", "_z"))
-    return rows.select(
-        *cols, "sent_idx", "_z.energy", "_z.line_text",
-        F.array_contains("buggy_line_indices", F.col("sent_idx")).alias("is_buggy"))
+    rows = F.transform("per_line_energies", lambda e, i: F.struct(
+        i.alias("sent_idx"), e.alias("energy"), F.get("scorable_line_texts", i).alias("line_text"),
+        F.array_contains("buggy_line_indices", i).alias("is_buggy")))
+    return records.select(*cols, F.inline(rows))
 
 
 def implode_records(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,5 @@
 import json
 
-import pytest
-from pyspark.sql import functions as F
 
 from lineaudit.operators import corpus as C
 from lineaudit.sources import corpora as K
