@@ -1,6 +1,6 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
-* Features of a token are the word and its substrings of 3 to 6 characters, so that
+* Features of a token are the word and its substrings of 3 to 8 characters, so that
   inflected words share evidence. Their log-odds between toxic and other labelled
   texts carry an informative Dirichlet prior (the feature's overall rate); features
   below ``Z_LEAST`` standard errors are left out. A token scores its best feature, or
@@ -13,7 +13,8 @@
   them, turned into a probability by logistic calibration.
 
 Labels are learned from a sample of ``LABELLED`` rows at most in expectation, chosen by
-digest of the id; half of it gives the log-odds, the other half the calibration.
+digest of the id. Near copies within the sample (equal smallest shingle hash) count once.
+The calibration is cross-fitted: either half is scored by the log-odds of the other.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineaudit.llm.common import settle, shingle_set
+
 LABELLED = 40_000
 FEATURES = 50_000
 PRIOR = 10.0
@@ -50,7 +54,7 @@ class Model:
 
 def features(word: str) -> set[str]:
     """The word itself (marked, so that it differs from a substring) and its substrings."""
-    return {"=" + word} | {word[i:i + n] for n in range(3, 7) for i in range(len(word) - n + 1)}
+    return {"=" + word} | {word[i:i + n] for n in range(3, 9) for i in range(len(word) - n + 1)}
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -135,33 +139,45 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, bound / max(1, rows.count()))
     digest = F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(4))
-    picked = rows.where(F.pmod(digest, F.lit(1_000_000)) < int(share * 1_000_000)).select(
-        "doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"))
-    # At most `bound` rows of three numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "half")
+    picked = rows.where(F.pmod(digest, F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "toxic")
+
+    @F.arrow_udf("bigint")
+    def key(texts: pa.Array) -> pa.Array:
+        sets = (shingle_set(t.as_py(), 5) for t in texts)
+        return pa.array([int(s[0] >> np.uint64(1)) if len(s) else None for s in sets], pa.int64())
+
+    # At most `bound` rows of two numbers.
+    base = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    base = settle(base.select("doc_id", "text", "toxic", key("text").alias("key")))
+    first = base.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return base.join(F.broadcast(first), ["key", "doc_id"]).select("text", "toxic", F.pmod("key", F.lit(2)).cast("int").alias("half"))
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
+    """(feature, n00, n01, n10, n11): texts that hold the feature, by half and label."""
+    names = ["n00", "n01", "n10", "n11"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts = [Counter() for _ in names]
 
         def flush():
-            names = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(
-                pa.array([c[n] for n in names], pa.int64()) for c in counts)], ["feature", "other", "toxic"])
-            counts[0].clear(), counts[1].clear()
+            found = list(set().union(*counts))
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(
+                pa.array([c[n] for n in found], pa.int64()) for c in counts)], ["feature", *names])
+            for c in counts:
+                c.clear()
             return out
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1)):
+            for text, toxic, half in zip(*batch.columns):
                 words = set(_WORD.findall((text.as_py() or "").lower()))
-                counts[toxic.as_py()].update(set().union(*map(features, words)) if words else ())
-                if len(counts[0]) + len(counts[1]) > 1_000_000:
+                counts[2 * half.as_py() + toxic.as_py()].update(set().union(*map(features, words)) if words else ())
+                if sum(map(len, counts)) > 1_000_000:
                     yield flush()
         yield flush()
 
-    parts = rows.select("text", "toxic").mapInArrow(run, "feature string, other bigint, toxic bigint")
-    return parts.groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    parts = rows.select("text", "toxic", "half").mapInArrow(run, "feature string, n00 bigint, n01 bigint, n10 bigint, n11 bigint")
+    return parts.groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -185,31 +201,37 @@ def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
-    """Learn a model from ``labels(doc_id, toxic)``. Without labels of both kinds no token counts."""
-    rows = _sample(docs, labels, bound)
-    learn, check = rows.where("half = 0"), rows.where("half = 1")
-    sizes = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+def _log_odds(counts: DataFrame, other: Column, toxic: Column, n0: int, n1: int) -> dict[str, float]:
+    """The strongest features, at most FEATURES; document frequencies with the prior PRIOR * overall rate on either side."""
     if not n0 or not n1:
-        return Model({})
-    # Document frequencies with the prior PRIOR * overall rate on either side.
-    prior = F.lit(PRIOR) * (F.col("other") + F.col("toxic")) / (n0 + n1)
-    hi, lo = F.col("toxic") + prior, F.col("other") + prior
+        return {}
+    prior = F.lit(PRIOR) * (other + toxic) / (n0 + n1)
+    hi, lo = toxic + prior, other + prior
     odds = F.log(hi / (n1 + PRIOR - hi)) - F.log(lo / (n0 + PRIOR - lo))
-    kept = (_feature_counts(learn).where("toxic >= 3")
-            .withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / hi + 1 / lo))
+    kept = (counts.where(toxic >= 3).select("feature", odds.alias("odds"), (odds / F.sqrt(1 / hi + 1 / lo)).alias("z"))
             .where((F.col("z") >= Z_LEAST) & (F.col("odds") >= 1)).orderBy(F.desc("z"), "feature").limit(FEATURES))
-    model = Model({r["feature"]: r["odds"] for r in kept.select("feature", "odds").collect()})
-
-    scale, k = _extreme_values(check.where("toxic = 0"), model)
-    model = Model(model.odds, scale, k)
-    value = F.round(F.log1p(score_column(model, F.col("text"))["evidence"]), 2)
-    # Rounded values: a few hundred rows whatever the sample.
-    cells = check.select(value.alias("x"), "toxic").groupBy("x").agg(
-        F.sum(1 - F.col("toxic")).alias("n"), F.sum("toxic").alias("p")).collect()
-    a, b = _logistic([(r["x"], r["n"], r["p"]) for r in cells])
-    return Model(model.odds, scale, k, a, max(b, 1e-3))
+    return {r["feature"]: r["odds"] for r in kept.select("feature", "odds").collect()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
+    """Learn a model from ``labels(doc_id, toxic)``. Without labels of both kinds no token counts."""
+    rows = _sample(docs, labels, bound)
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    n = [sizes.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    counts = settle(_feature_counts(rows).where("n01 + n11 >= 3"))
+    c = [F.col(x) for x in ("n00", "n01", "n10", "n11")]
+    whole = _log_odds(counts, c[0] + c[2], c[1] + c[3], n[0] + n[2], n[1] + n[3])
+    scale, k = _extreme_values(rows.where("toxic = 0"), Model(whole))
+    cells: Counter = Counter()
+    for half in (0, 1):
+        i = 2 * (1 - half)
+        model = Model(_log_odds(counts, c[i], c[i + 1], n[i], n[i + 1]), scale, k)
+        value = F.round(F.log1p(score_column(model, F.col("text"))["evidence"]), 2)
+        # Rounded values: a few hundred rows whatever the sample.
+        for r in rows.where(F.col("half") == half).select(value.alias("x"), "toxic").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect():
+            cells[r["x"], r["toxic"]] += r["n"]
+    a, b = _logistic([(x, cells[x, 0], cells[x, 1]) for x in {x for x, _ in cells}])
+    return Model(whole, scale, k, a, max(b, 1e-3))
 
 
 def _extreme_values(clean: DataFrame, model: Model) -> tuple[float, float]:
