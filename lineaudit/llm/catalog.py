@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lineaudit.llm import decontamination, near_dedup, pieces, pii, toxicity
-from lineaudit.llm.common import table
+from lineaudit.llm import decontamination, fingerprints, near_dedup, pieces, pii, toxicity, warc
+from lineaudit.llm.common import shared_folder, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -43,6 +43,26 @@ def op9_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
+ORACLE["op10_warc_salvage"] = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+     q as (select *, min(page_id) over (partition by html) as first from p)
+select page_id, strlen(html)::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((
+           ('0x' || substr(h, ((i // 4) * 5 + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from q"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
