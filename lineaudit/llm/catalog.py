@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lineaudit.llm import decontamination, fingerprints, near_dedup, pieces, pii, toxicity, warc
-from lineaudit.llm.common import shared_folder, table
+from lineaudit.llm import decontamination, fingerprints, near_dedup, pieces, pii, quality, rollups, sharding, toxicity, warc
+from lineaudit.llm.common import settle, shared_folder, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +64,57 @@ select page_id, strlen(html)::bigint as payload_bytes,
        case when page_id <> first then first end as refers_to
 from q"""
 
+@query
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_extendible_shards"] = f"""
+with r as (select doc_id, coalesce(strlen(text), 0)::bigint as bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 12))::bigint as h from documents),
+     d as (select r.*, depth, h >> (48 - depth)::int as prefix from r, range(49) t(depth)),
+     s as (select depth, prefix, sum(bytes) as shard_bytes, count(distinct h) as keys from d group by all),
+     f as (select d.doc_id, d.bytes, d.h, d.depth, d.prefix, s.shard_bytes,
+                  row_number() over (partition by d.doc_id order by d.depth) as k
+           from d join s using (depth, prefix) where s.shard_bytes <= {sharding.LIMIT} or s.keys = 1)
+select doc_id, bytes, case when depth = 0 then '' else lpad(bin(prefix), depth::int, '0') end as shard,
+       depth::int as depth, shard_bytes::bigint as shard_bytes, shard_bytes > {sharding.LIMIT} as oversized
+from f where k = 1"""
+
+
+@query
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are loaded under two tokenizer versions, words without a letter or digit are then taken out of the
+    first version's counts, exact copies of a smaller id are deleted, and the first batch comes twice."""
+    docs = table(spark, sf_dir, "documents")
+    store = rollups.Store(spark, shared_folder(spark, "rollups"))
+    text = F.col("text")
+    load = rollups.changes(docs, "insert", "words-1", rollups.blank_words(text))
+    store.commit("load-words", load)
+    store.commit("load-runs", rollups.changes(docs, "insert", "runs-1", rollups.letter_runs(text)))
+    noisy = docs.where(text.rlike(r"[#$%&*|]"))
+    store.commit("clean-words", rollups.changes(noisy, "revise", "words-1", rollups.blank_words(F.regexp_replace(text, r"[#$%&*|]+", ""))))
+    keyed = docs.select("doc_id", "source", "lang", F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("k"))
+    firsts = keyed.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    copies = settle(keyed.join(firsts.select("k", "first"), "k").where("doc_id <> first"))
+    store.commit("drop-copies", rollups.changes(copies, "delete", "words-1", F.lit(0)).unionByName(
+        rollups.changes(copies, "delete", "runs-1", F.lit(0))))
+    store.commit("load-words", load)
+    return store.totals()
+
+
+ORACLE["op6_token_rollups"] = r"""
+with d as (select doc_id, source, lang, coalesce(text, '') as t from documents),
+     k as (select *, doc_id = min(doc_id) over (partition by t) as first from d),
+     c as (select source, lang, 'words-1' as version, len(regexp_extract_all(regexp_replace(t, '[#$%&*|]+', '', 'g'), '[^\x20\x09-\x0D]+')) as n from k where first
+           union all
+           select source, lang, 'runs-1', len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) from k where first)
+select source, lang, version, count(*)::bigint as documents, sum(n)::bigint as tokens from c group by all"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
