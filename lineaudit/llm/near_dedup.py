@@ -34,7 +34,7 @@ ROWS = 6
 BITS = 4
 MISS = 1e-7
 SIGMAS = 5.0
-BLOCK = 256
+BLOCK = 1024
 _ORDERS = (0, -1, 0x5555555555555555, 0x3333333333333333)
 _SCHEMA = "id bigint, n_shingles bigint, digest binary, signature binary, bands array<bigint>"
 
@@ -199,11 +199,11 @@ def _residual(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, docs: Dat
     rows = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     tiles = (rows.join(mixed, "key")
+             .join(nodes.select("id", "signature"), "id")
              .withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label")
-             .join(nodes.select("id", "signature"), "id"))
+             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "signature"))
     names = ["key", "i", "j", "block", "id", "label", "signature"]
 
     def flag(t: pa.Table) -> pa.Table:
