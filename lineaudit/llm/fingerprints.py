@@ -63,13 +63,13 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): every document beside the next one by ascending id, the last beside the first.
+def ranged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, range, guest): the ascending order of ids cut into ranges, and in each range the row that follows it.
 
     The order is cut by splitters, ids of the table chosen by digest. A splitter opens its range, so
-    the only row a range needs from elsewhere is the next splitter's: that row goes to both ranges, and
-    texts move once. Rows with equal ids follow each other by text. Rows without an id have no
-    place in the order and an empty next text.
+    the only row a range needs from elsewhere is the next splitter's: that row goes to both ranges
+    (``guest`` 1), the smallest id also behind the last range (``guest`` 2), and texts move once.
+    Rows without an id have no place in the order; they get ranges below 0 by digest.
     """
     n = splitter_count(docs)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
@@ -91,32 +91,32 @@ def in_order(docs: DataFrame) -> DataFrame:
                     F.array(F.struct((F.col("_home") - 1).alias("range"), F.lit(1).alias("guest"))))
     around = F.when(F.col("doc_id") == F.col("_first"), F.array(F.struct(F.size("_cuts").alias("range"), F.lit(2).alias("guest"))))
     none = F.expr("cast(array() as array<struct<range: int, guest: int>>)")
-    rows = rows.withColumn("_home", F.when(F.col("doc_id").isNull(), -1).otherwise(home(F.col("doc_id"))))
+    rows = rows.withColumn("_home", F.when(
+        F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(4096)).cast("int")).otherwise(home(F.col("doc_id"))))
     rows = rows.withColumn("_at", F.explode(F.concat(F.array(own), F.coalesce(before, none), F.coalesce(around, none))))
-    rows = rows.select("doc_id", "text", F.col("_at.range").alias("range"), F.col("_at.guest").alias("guest"))
-    lost = rows.where("doc_id is null").select("doc_id", "text", "range", "guest", F.lit("").alias("next_text"))
-    by = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
-    return rows.where("doc_id is not null").withColumn("next_text", F.lead("text").over(by)).unionByName(lost)
+    return rows.select("doc_id", "text", F.col("_at.range").alias("range"), F.col("_at.guest").alias("guest"))
 
 
 def edited_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles) per row.
 
-    The edited text has its last floor(n / 2) code points replaced by as many first ones
-    of the next document, or all if it has fewer.
+    The next document is that of the next id, after the last the first; rows with equal ids follow each other by
+    text; a row without an id has an empty next text. The edited text has its last floor(n / 2) code points replaced
+    by as many first ones of the next document, or all if it has fewer.
     """
+    by = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
+    placed = F.col("doc_id").isNotNull()
+    rows = ranged(docs).withColumn("next_text", F.when(placed, F.lead("text").over(by)))
     text, after = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("next_text"), F.lit(""))
     n = F.char_length(text)
     half = F.floor(n / 2).cast("int")
-    rows = in_order(docs).select(
-        "doc_id", "range", "guest", text.alias("text"), n.cast("bigint").alias("n_chars"),
-        F.concat(F.substring(text, F.lit(1), n - half), F.substring(after, F.lit(1), half)).alias("edited"))
+    edited = F.concat(F.substring(text, F.lit(1), n - half), F.substring(after, F.lit(1), half))
+    rows = rows.select("doc_id", "range", "guest", "text", n.cast("bigint").alias("n_chars"), edited.alias("edited"))
     rows = rows.select("doc_id", "range", "guest", "n_chars", "text", F.sha2("edited", 256).alias("edited_sha256"),
                        sketch(F.col("text"), k).alias("s"), F.when(F.col("guest") == 0, sketch(F.col("edited"), k)).alias("e"))
     # The same ranges in the same order: no further exchange.
-    by = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
-    placed = rows.withColumn("t", F.when(F.col("doc_id").isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(F.lead("s").over(by)))
-    return placed.where("guest = 0").select(
+    rows = rows.withColumn("t", F.when(placed, F.lead("s").over(by)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    return rows.where("guest = 0").select(
         "doc_id", "n_chars", "edited_sha256", printed(F.col("s")).alias("fingerprint"), printed(F.col("e")).alias("edited_fingerprint"),
         resemblance(F.col("s"), F.col("e"), k).alias("near_edited"), resemblance(F.col("s"), F.col("t"), k).alias("near_next"),
         F.round(distinct_shingles(F.col("s"), k)).cast("bigint").alias("n_shingles"))
