@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineaudit.llm.common import settle
+from lineaudit.plans.skew import lookup
 
 ORDER = 5
 CLASSES = 4096
@@ -217,7 +218,8 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
     are not kept; a language without trusted texts has the threshold of all. Null languages are a language.
     """
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    model = train(docs.select("doc_id", "text").join(trusted, "doc_id").select("text"))
+    # Always by merging: the ids of trusted texts grow with the corpus.
+    model = train(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id").select("text"))
     n = F.char_length("text")
     rows = docs.select("doc_id", "lang", n.alias("n"), log_likelihood(model, F.col("text"), shard_rows).alias("ll"))
     rows = settle(rows.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("ll") / F.col("n"))).alias("perplexity")))
@@ -225,7 +227,8 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = known.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(cut.alias("_own"))
     whole = known.agg(cut.alias("_all"))
-    out = rows.withColumn("_lang", F.coalesce("lang", F.lit(""))).join(by_lang, "_lang", "left").crossJoin(F.broadcast(whole))
+    rows = rows.withColumn("_lang", F.coalesce("lang", F.lit("")))
+    out = lookup(rows, by_lang, ["_lang"], ["_own"], ["doc_id"]).crossJoin(F.broadcast(whole))
     out = out.withColumn("threshold", F.coalesce("_own", "_all"))
     return out.select("doc_id", "lang", "perplexity", "threshold",
                       F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

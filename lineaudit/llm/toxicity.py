@@ -218,6 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     rows = _sample(docs, labels, bound)
     sizes = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))]
+    if not n[0] + n[2] or not n[1] + n[3]:
+        return Model({})
     counts = settle(_feature_counts(rows).where("n01 + n11 >= 3"))
     c = [F.col(x) for x in ("n00", "n01", "n10", "n11")]
     whole = _log_odds(counts, c[0] + c[2], c[1] + c[3], n[0] + n[2], n[1] + n[3])
