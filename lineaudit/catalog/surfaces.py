@@ -115,14 +115,6 @@ def field_blur(spark, d):
     return r6(D.gaussian_blur(D.energy_field(_points(spark, d), _G), _G, 1.0), "energy")
 
 
-@query("descent_path")
-def descent_path(spark, d):
-    pts = _points(spark, d)
-    start = pts.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
-    path = D.descend(pts, [(start["x"], start["y"])], steps=3)
-    return r6(spark.createDataFrame(path, "start int, step int, x double, y double, energy double"), "x", "y", "energy")
-
-
 @query("point_thinning", """
 with o as (select vec_id as id, row_number() over (order by vec_id) - 1 as p, count(*) over () as n from embeddings),
 s as (select distinct floor(i * (select max(n) - 1 from o) / 99.0)::bigint as p from (select unnest(range(100)) as i))
@@ -479,12 +471,6 @@ def marker_augmentation(spark, d):
     return rows.select("impl_id", "copy", F.sha1(F.encode("impl_text", "UTF-8")).alias("digest"))
 
 
-@query("marker_augmentation_seeded")
-def marker_augmentation_seeded(spark, d):
-    rows = Z.augment_seeded(bridge.impls(spark, d), 3, adversarial=True)
-    return rows.select("impl_id", "copy", F.sha1(F.encode("impl_text", "UTF-8")).alias("digest"))
-
-
 def _mixed(spark, d):
     recs = bridge.records(spark, d, "random")
     even = F.substring("source", 4, 10).cast("int") % 2 == 0

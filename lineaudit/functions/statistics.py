@@ -9,11 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lineaudit.functions.binding import let
-
-# Below this many draws the binomial(1/2) terms are far from underflow.
-_EXACT_LIMIT = 1000
-
 
 @F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
@@ -29,34 +24,27 @@ def chi2_1df_p(x: Column) -> Column:
     return erfc(F.sqrt(x / 2.0))
 
 
-def _walk(n: Column, k: Column) -> Column:
-    """struct(term, acc): pmf(k) and the lower tail P(X<=k) for X ~ Bin(n, 1/2)."""
-    def body(p):
-        start = F.struct(F.pow(F.lit(0.5), p["n"]).alias("term"), F.pow(F.lit(0.5), p["n"]).alias("acc"))
-
-        def step(s, i):
-            t = s["term"] * (p["n"] - i + 1) / i
-            return F.struct(t.alias("term"), (s["acc"] + t).alias("acc"))
-
-        return F.when(p["k"] <= 0, start).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.greatest(p["k"], F.lit(1))), start, step))
-
-    return let(F.struct(n.cast("double").alias("n"), k.cast("int").alias("k")), body)
-
-
-def _large_tail(n: Column, k: Column, shift: float) -> Column:
-    """Continuity-corrected normal tail for counts beyond the exact range."""
-    z = (k + F.lit(shift) - n / 2.0) / (F.sqrt(n) / 2.0)
-    return erfc(-z / math.sqrt(2.0)) / 2.0
+def _half_tail(n: float, k: float, last: float) -> float:
+    """P(X < k) + last * P(X = k) for X ~ Bin(n, 1/2), k <= n/2: from the largest term down, in any size."""
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total, i = last * term, k
+    while i > 0:
+        term *= i / (n - i + 1)
+        total += term
+        if term <= 1e-17 * total:
+            break
+        i -= 1
+    return total
 
 
 def binomial_half_two_sided(b: Column, c: Column, mid_p: bool = False) -> Column:
-    """Two-sided exact test of b against c discordant pairs; 1 when there are none."""
-    n, lo = b + c, F.least(b, c)
-    walk = F.when(n <= _EXACT_LIMIT, _walk(n, lo))
-    tail = walk["acc"] - (F.lit(0.5) * walk["term"] if mid_p else F.lit(0.0))
-    tail = F.when(n <= _EXACT_LIMIT, tail).otherwise(_large_tail(n, lo, 0.0 if mid_p else 0.5))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+    """Two-sided exact test of b against c discordant pairs; 1 when there are none. Applied to one-row results only."""
+    @F.pandas_udf(DoubleType())
+    def tail(n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([_half_tail(x, y, 0.5 if mid_p else 1.0) if x == x and y == y else None for x, y in zip(n, k)], dtype="float64")
+
+    n, lo = (b + c).cast("double"), F.least(b, c).cast("double")
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * tail(n, lo)))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineaudit.functions.binding import let
+from lineaudit.plans.joins import join_null_safe
 
 
 def splitter_count(df: DataFrame) -> int:
@@ -62,7 +63,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
         *by, "_bucket",
         *[(F.sum(f"_s_{k}").over(upto) - F.col(f"_s_{k}")).alias(f"_o_{k}") for k in sums],
         *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_total") for k in sums])
-    joined = cut.join(offsets, by + ["_bucket"])
+    joined = join_null_safe(cut, offsets, by + ["_bucket"])
     out = joined
     for k, c in sums.items():
         out = out.withColumn(k, F.col(f"_o_{k}") + F.sum(c).over(in_bucket) - F.col(c))

@@ -216,25 +216,12 @@ def test_seeded_sample_and_augmentation(spark):
     got = sorted(r["id"] for r in Z.seeded_sample(df, ["id"], 8, 3, exact=True).collect())
     assert got == sorted(random.Random(3).sample(range(50), 8))
     ex = spark.createDataFrame([(f"i{k}", "s", "x", "FAIL", "", "a\nb // c\nd", [1]) for k in range(30)], IMPL)
-    for rows in (Z.augment(ex, 3, adversarial=True), Z.augment_seeded(ex, 3, adversarial=True)):
+    for rows in (Z.augment(ex, 3, adversarial=True),):
         out = rows.collect()
         assert len(out) == 90 and all(r["impl_text"] == "a\nb // c\nd" for r in out if r["copy"] == 0)
         assert all(r["impl_text"].split("\n")[1] == "b // c" for r in out)
         assert any(r["impl_text"] != "a\nb // c\nd" for r in out)
-    r = {(r["impl_id"], r["copy"]): r["impl_text"] for r in Z.augment_seeded(ex, 2).collect()}
-    rng = random.Random("0-i4-1")
-    lines = ["a", "b // c", "d"]
 
-    def put(i, m):
-        lines[i] = lines[i].rstrip() + (" " if "//" in lines[i] else "  ") + m
-
-    if rng.random() < 0.5:
-        i = rng.randrange(3)
-        put(i, rng.choice(list(T.NEGATIVE_MARKERS + T.POSITIVE_MARKERS)))
-    if rng.random() < 0.3:
-        i = rng.randrange(3)
-        put(i, rng.choice(list(T.POSITIVE_MARKERS)))
-    assert r["i4", 1] == "\n".join(lines)
 
 
 def test_record_round_trip(records):
@@ -284,3 +271,29 @@ def test_attach_either_way(spark, limit):
     table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") + 100).alias("v"))
     got = {r["id"]: r["v"] for r in attach(rows, table, ["k"], ["v"], ["id"], limit=limit).collect()}
     assert got == {i: (i % 9 + 100 if i % 9 < 5 else None) for i in range(60)}
+
+
+def test_running_sums_keep_the_null_group(spark):
+    from lineaudit.plans.ordered import order_statistics, running_sums
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), (None, 1, 5), (None, 3, 7)], "g string, o int, v long")
+    got = {(r["g"], r["o"]): (r["before"], r["before_total"]) for r in running_sums(df, ["g"], ["o"], {"before": "v"}, 4).collect()}
+    assert got == {("a", 1): (0, 5), ("a", 2): (2, 5), (None, 1): (0, 12), (None, 3): (5, 12)}
+    top = {r["g"]: r["hi"] for r in order_statistics(df, ["g"], "v", {"hi": F.col("n") - 1}).collect()}
+    assert top == {"a": 3, None: 7}
+
+
+def test_binomial_tail_is_exact_for_any_count(spark):
+    from fractions import Fraction
+    from math import comb
+
+    from lineaudit.functions.statistics import binomial_half_two_sided
+    pairs = [(10, 991), (200, 801), (440, 561), (4900, 5101), (4_998_000, 5_002_000), (3, 3), (0, 0), (0, 1)]
+    df = spark.createDataFrame(pairs, "b long, c long")
+    got = {(r["b"], r["c"]): r for r in df.withColumn("p", binomial_half_two_sided(F.col("b"), F.col("c"))).withColumn(
+        "m", binomial_half_two_sided(F.col("b"), F.col("c"), mid_p=True)).collect()}
+    for b, c in [p for p in pairs if sum(p) <= 10_001]:
+        n, k = b + c, min(b, c)
+        tail = Fraction(sum(comb(n, i) for i in range(k + 1)), 2 ** n)
+        want, mid = min(1, 2 * tail), min(1, 2 * tail - Fraction(comb(n, k), 2 ** n)) if n else 1
+        assert abs(got[b, c]["p"] / float(want) - 1) < 1e-9 and abs(got[b, c]["m"] / float(mid) - 1) < 1e-9
+    assert abs(got[4_998_000, 5_002_000]["p"] - 0.2060) < 1e-3
