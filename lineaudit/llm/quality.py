@@ -169,7 +169,7 @@ def _probabilities(tables: dict[int, _Lookup], codes: np.ndarray) -> np.ndarray:
 
 
 def _shard_of(pair, shards: int):
-    return pair * 2654435761 % 4294967296 // 65536 % shards
+    return pair * 40503 % 65521 % shards
 
 
 def log_likelihood(model: DataFrame, text: Column, shard_rows: int = SHARD_ROWS) -> Column:
