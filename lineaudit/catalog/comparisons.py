@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineaudit import bridge
 from lineaudit.catalog.ranking import r6, sql_auc
+from lineaudit.catalog.surfaces import COUNT_SQL, draw_sql
 from lineaudit.operators import metrics as M
 from lineaudit.operators import positions as P
 from lineaudit.operators import scorers as S
@@ -94,16 +95,20 @@ def by_length_tertile(spark, d):
     return r6(U.by_length_tertile(bridge.records(spark, d, "random", "length"), ["run"]), "topk")
 
 
-_PAIR = f"""with {bridge.sql_scored()},
+def _pairs(ks: str) -> str:
+    return f"""with {bridge.sql_scored()},
 f as (select run, impl_id, best_rank from rec where status = 'FAIL' and n_bug > 0),
-p as (select b.run, (t.best_rank <= 1)::int as t, (b.best_rank <= 1)::int as b
-      from f t join f b using (impl_id) where t.run = 'random' and b.run <> 'random'),
-c as (select run, count(*) as n_paired, count(*) filter (where t = 1 and b = 1) as n11, count(*) filter (where t = 1 and b = 0) as n01,
+p as (select b.run, k, (t.best_rank <= k)::int as t, (b.best_rank <= k)::int as b
+      from f t join f b using (impl_id), (select unnest({ks}) as k) where t.run = 'random' and b.run <> 'random'),
+c as (select run, k, count(*) as n_paired, count(*) filter (where t = 1 and b = 1) as n11, count(*) filter (where t = 1 and b = 0) as n01,
         count(*) filter (where t = 0 and b = 1) as n10, count(*) filter (where t = 0 and b = 0) as n00,
-        avg(t) as tt, avg(b) as bb from p group by run),
+        avg(t) as tt, avg(b) as bb from p group by run, k),
 e as (select *, n01 + n10 as nd, least(n01, n10) as lo,
         list_transform(range(least(n01, n10) + 1), lambda i:
           exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2))) as pmf from c)"""
+
+
+_PAIR = _pairs("[1]")
 _P_EXACT = "case when nd = 0 then 1.0 else least(1.0, 2 * list_sum(pmf)) end"
 _P_MID = "case when nd = 0 then 1.0 else least(1.0, 2 * (list_sum(pmf) - 0.5 * pmf[-1])) end"
 
@@ -171,6 +176,54 @@ def significance_table(spark, d):
     return out.withColumns({"auc_var": F.round("auc_var", 9), "z": F.round("z", 5)})
 
 
+_KS = (1, 3, 5)
+
+
+def _resampled(rows: str) -> str:
+    """Resampled AUROC ``ra(run, side, rep, auc)`` of ``rows(run, impl_id, y, side, score)``."""
+    return f"""
+ru as (select *, {draw_sql('impl_id', 'rep')} as u from {rows}, (select unnest(range(20)) as rep)),
+rs as (select run, side, rep, score, coalesce(sum(c) filter (where y), 0) as p, coalesce(sum(c) filter (where not y), 0) as n
+       from (select *, {COUNT_SQL} as c from ru) where c > 0 group by all),
+rq as (select *, coalesce(sum(n) over (partition by run, side, rep order by score rows between unbounded preceding and 1 preceding), 0) as below from rs),
+ra as (select run, side, rep, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) as auc from rq group by all)"""
+
+
+@query("significance_by_k", _pairs(str(list(_KS))) + f", {_DELONG}," + """
+bs as (select run, impl_id, y, s.side, s.score from (
+         select b.run, impl_id, t.status = 'FAIL' as y, unnest([{'side': 'a', 'score': t.whole}, {'side': 'b', 'score': b.whole}]) as s
+         from rec t join rec b using (impl_id) where t.run = 'random' and b.run <> 'random' and t.status <> 'UNKNOWN')),""" + _resampled("bs") + f""",
+ci as (select run, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from (
+         select run, rep, max(auc) filter (where side = 'a') - max(auc) filter (where side = 'b') as d from ra group by all) group by run),
+w as (select run, k, n_paired, tt, bb, {_P_EXACT} as pe, case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end as pm
+      from (select *, {_CHI} as cx from e))
+select w.run, max(n_paired) as n_paired, """ + ", ".join(
+    f"round(max(tt) filter (where k = {k}), 6) as target_top{k}, round(max(bb) filter (where k = {k}), 6) as baseline_top{k}, "
+    f"round(max(pm) filter (where k = {k}), 6) as p_mcnemar_top{k}, round(log10(max(pe) filter (where k = {k})), 6) as log10_p_exact_top{k}"
+    for k in _KS) + f""",
+  round(any_value(auc_a), 6) as auc_a, round(any_value(auc_b), 6) as auc_b, any_value(n_pos) as n_pos, any_value(n_neg) as n_neg,
+  round(any_value({_erfc('az')}), 6) as p, round(any_value(lo), 6) as diff_lo, round(any_value(hi), 6) as diff_hi
+from w join (select *, abs(auc_a - auc_b) / sqrt(var) / sqrt(2) as az from dl) using (run) join ci using (run) group by w.run""")
+def significance_by_k(spark, d):
+    out = G.significance_by_k(*_target_and_baselines(spark, d), ks=_KS, iters=20)
+    logs = {f"p_exact_top{k}": f"log10_p_exact_top{k}" for k in _KS}
+    out = out.withColumns({c: F.log10(c) for c in logs}).withColumnsRenamed(logs)
+    return r6(out, *[c for c in out.columns if c not in ("run", "n_paired", "n_pos", "n_neg")])
+
+
+@query("bootstrap_report", f"""with {bridge.sql_scored('random', 'keyword')},
+bs as (select run, impl_id, status = 'FAIL' as y, 'w' as side, whole as score from rec where status <> 'UNKNOWN'),{_resampled('bs')},
+h as (select run, impl_id, k, (best_rank <= k)::int as hit from rec, (select unnest([1, 3]) as k) where status = 'FAIL' and n_bug > 0),
+hu as (select *, {draw_sql('impl_id', 'rep')} as u from h, (select unnest(range(20)) as rep)),
+hm as (select run, k, rep, sum(hit * c) / sum(c) as m from (select *, {COUNT_SQL} as c from hu) group by all),
+v as (select run, 'auroc' as metric, auc as value from ra union all select run, 'top' || k, m from hm),
+o as (select run, metric, count(value) as n, list_sort(list(value)) as a from v where value is not null group by all)
+select run, metric, n, round(a[n // 2 + 1], 6) as median, round(a[floor(0.025 * n)::int + 1], 6) as lo,
+  round(a[floor(0.975 * n)::int + 1], 6) as hi from o""")
+def bootstrap_report(spark, d):
+    return r6(G.bootstrap_report(bridge.records(spark, d, "random", "keyword"), ["run"], iters=20), "median", "lo", "hi")
+
+
 @query("length_baseline_pair", f"""with {bridge.SQL_LINES},
 e as (select *, row_number() over (partition by impl_id order by length(line_text) desc, sent_idx) as rl,
         row_number() over (partition by impl_id order by {bridge.SQL_ENERGY['keyword']} desc, sent_idx) as rm from sc where status = 'FAIL'),

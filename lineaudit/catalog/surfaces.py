@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lineaudit import bridge
@@ -386,19 +388,17 @@ def sibling_twins(spark, d):
 
 # -- resampling, augmentation, batches ----------------------------------------------------------------
 
-def _draw_sql(key: str, rep: str) -> str:
+def draw_sql(key: str, rep: str) -> str:
     return f"(('0x' || substr(sha1({key} || '|' || {rep} || '|0'), 1, 8))::bigint / 4294967296.0::double)"
 
 
-_COUNT = ("(u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int"
-          " + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int"
-          " + (u >= 0.9999167588507119)::int + (u >= 0.9999897508033253)::int")
+COUNT_SQL = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(j) for j in range(i))!r})::int" for i in range(1, 16))
 
 
 @query("bootstrap_recall", f"""with {bridge.sql_scored('random', 'keyword')},
 f as (select run, impl_id, (best_rank <= 1)::int as hit from rec where status = 'FAIL' and n_bug > 0),
-u as (select *, {_draw_sql('impl_id', 'rep')} as u from f, (select unnest(range(50)) as rep)),
-m as (select run, rep, sum(hit * c) / sum(c) as m from (select *, {_COUNT} as c from u) group by all)
+u as (select *, {draw_sql('impl_id', 'rep')} as u from f, (select unnest(range(50)) as rep)),
+m as (select run, rep, sum(hit * c) / sum(c) as m from (select *, {COUNT_SQL} as c from u) group by all)
 select run, round(median(m), 6) as median, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi,
   count(m) as n from m group by run""")
 def bootstrap_recall(spark, d):
@@ -409,9 +409,9 @@ def bootstrap_recall(spark, d):
 
 _BOOT = f"""with {bridge.sql_scored('random')},
 y as (select impl_id, status = 'FAIL' as y, whole from rec where status <> 'UNKNOWN'),
-u as (select *, {_draw_sql('impl_id', 'rep')} as u from y, (select unnest(range(20)) as rep)),
+u as (select *, {draw_sql('impl_id', 'rep')} as u from y, (select unnest(range(20)) as rep)),
 s as (select rep, whole, coalesce(sum(c) filter (where y), 0) as p, coalesce(sum(c) filter (where not y), 0) as n
-      from (select *, {_COUNT} as c from u) where c > 0 group by all),
+      from (select *, {COUNT_SQL} as c from u) where c > 0 group by all),
 q as (select rep, p, n, coalesce(sum(n) over (partition by rep order by whole rows between unbounded preceding and 1 preceding), 0) as b from s)
 select rep::int as rep, round(sum(p * (b + n / 2.0)) / (sum(p) * sum(n)), 6) as auc from q group by rep"""
 
@@ -423,18 +423,20 @@ def bootstrap_auroc(spark, d):
     return r6(out.select("rep", "auc"), "auc")
 
 
-@query("bootstrap_interval", f"select count(*) as n from ({_BOOT})")
+@query("bootstrap_interval", f"""
+select n, round(a[n // 2 + 1], 6) as median, round(a[floor(0.025 * n)::int + 1], 6) as lo, round(a[floor(0.975 * n)::int + 1], 6) as hi
+from (select count(auc) as n, list_sort(list(auc)) as a from ({_BOOT}))""")
 def bootstrap_interval(spark, d):
     recs = bridge.records(spark, d, "random")
     out = Z.bootstrap_auroc(recs, ["whole_impl_energy"], M.fail_label(), "impl_id", [], 20)
-    return Z.index_interval(out, "auc", []).select("n")
+    return r6(Z.index_interval(out, "auc", []), "median", "lo", "hi")
 
 
 @query("paired_auroc_interval", f"""with {bridge.sql_scored('random', 'keyword')},
 y as (select run, impl_id, status = 'FAIL' as y, whole from rec where status <> 'UNKNOWN'),
-u as (select *, {_draw_sql('impl_id', 'rep')} as u from y, (select unnest(range(20)) as rep)),
+u as (select *, {draw_sql('impl_id', 'rep')} as u from y, (select unnest(range(20)) as rep)),
 s as (select run, rep, whole, coalesce(sum(c) filter (where y), 0) as p, coalesce(sum(c) filter (where not y), 0) as n
-      from (select *, {_COUNT} as c from u) where c > 0 group by all),
+      from (select *, {COUNT_SQL} as c from u) where c > 0 group by all),
 q as (select *, coalesce(sum(n) over (partition by run, rep order by whole rows between unbounded preceding and 1 preceding), 0) as b from s),
 a as (select run, rep, sum(p * (b + n / 2.0)) / (sum(p) * sum(n)) as auc from q group by all),
 d as (select rep, max(auc) filter (where run = 'random') - max(auc) filter (where run = 'keyword') as d from a group by rep)

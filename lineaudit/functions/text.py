@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from lineaudit.functions.binding import let
 
 # Fixed values -----------------------------------------------------------
-COMMENT_PREFIXES = ("//", "/*", "*/", "*", "///")
 SIGNATURE_PREFIXES = ("fn ", "pub fn ", "spec fn ", "proof fn ", "exec fn ")
 NEGATIVE_MARKERS = (
     "// FAILS", "// FIXME", "// TODO", "// BUG", "// XXX", "// HACK", "// broken", "// wrong",
 )
 POSITIVE_MARKERS = ("// ok", "// verified", "// passes")
-MARKER_WORDS = "FAILS?|FIXME|TODO|BUG|XXX|HACK|broken|wrong|ok|verified|passes"
 SENTINEL = "<|fim_pad|>"
 SUSPICIOUS_SUFFIX = "  // <-- SUSPICIOUS"
 DSL_KEYWORDS = (
@@ -40,7 +38,7 @@ MAIN_SIGNATURE = r"(?U)^\s*(pub\s+)?fn\s+main\s*\("
 BODY_OPENS = r"(?U)\{\s*$"
 VERIFIER_RESULT = r"verification results::\s*(\d+)\s*verified,\s*(\d+)\s*errors"
 VERIFIER_ERROR = r"(?m)^error:"
-TEXT_MARKER = rf"(?im)(?U)\s*//\s*(?:{MARKER_WORDS})\b.*?$"
+TEXT_MARKER = r"(?im)(?U)\s*//\s*(?:FAILS?|FIXME|TODO|BUG|XXX|HACK|broken|wrong|ok|verified|passes)\b.*?$"
 LINE_MARKER = r"(?iU)\s*//\s*(FAILS|FIXME|fails[-_].*|expected[-_]fail.*)\b.*$"
 # ------------------------------------------------------------------------
 

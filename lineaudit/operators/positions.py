@@ -66,5 +66,6 @@ def spearman(energies: Column) -> Column:
 
 
 def spearman_position(records: DataFrame, by: list[str]) -> DataFrame:
-    rows = records.withColumn("_rho", spearman(_e())).filter("_rho IS NOT NULL")
-    return rows.groupBy(*by).agg(F.avg("_rho").alias("rho"), F.count("*").alias("n"))
+    # The size tells which records have a value, so the ranking is computed once.
+    rows = records.filter(F.size(_e()) >= 3).withColumn("_rho", spearman(_e()))
+    return rows.groupBy(*by).agg(F.avg("_rho").alias("rho"), F.count("_rho").alias("n"))

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from lineaudit.functions import ranking as R
 from lineaudit.functions import statistics as S
+from lineaudit.functions.binding import let
 from lineaudit.operators import metrics as M
+from lineaudit.operators import sampling as Z
+from lineaudit.plans.emit import filter_map
 from lineaudit.plans.ordered import running_sums
+from lineaudit.plans.skew import lookup
 from lineaudit.session import stable
 
 
@@ -23,9 +27,11 @@ def row_hits(records: DataFrame, k: int) -> Column:
 
 def paired_hits(target: DataFrame, baselines: DataFrame, k: int) -> DataFrame:
     """One row per baseline run and record id both sides cover."""
-    t = target.select("impl_id", row_hits(target, k).alias("target_hit")).filter("target_hit IS NOT NULL")
-    b = baselines.select("impl_id", "run", row_hits(baselines, k).alias("baseline_hit"))
-    return t.join(b.filter("baseline_hit IS NOT NULL"), "impl_id")
+    def known(records, name, *keys):
+        hit = F.struct(row_hits(records, k).alias(name))
+        return filter_map(records, hit, lambda s: s[name].isNotNull()).select(*keys, "impl_id", name)
+
+    return known(target, "target_hit").join(known(baselines, "baseline_hit", "run"), "impl_id")
 
 
 def length_pairs(records: DataFrame, k: int) -> DataFrame:
@@ -67,16 +73,25 @@ def _placement(cells: DataFrame, score: str, by: list[str]) -> DataFrame:
 def delong(paired: DataFrame, by: list[str], a: str = "a", b: str = "b", y: Column | None = None) -> DataFrame:
     """Paired comparison of two AUROCs.
 
-    ``paired`` holds one row per record with both scores. Rows are counted per
-    (a, b, class) first; structural components are looked up per distinct score
-    and the covariances are count-weighted moments of those counts, so neither
-    ties nor class size ever concentrate work.
+    ``paired`` holds one row per record with both scores; a record without a
+    class or without one of the scores is left out. Rows are counted per
+    (a, b, class) first; structural components are looked up per distinct score,
+    frequent scores from a broadcast of bounded size, and the covariances are
+    count-weighted moments of those counts, so neither ties nor class size ever
+    concentrate work. NULL is a group.
     """
     y = M.fail_label() if y is None else y
-    rows = paired.withColumn("y", y).filter("y IS NOT NULL").select(*by, F.col(a).alias("a"), F.col(b).alias("b"), "y")
+    rows = paired.withColumn("y", y).select(*by, F.col(a).alias("a"), F.col(b).alias("b"), "y").filter(
+        "y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
     cells = rows.groupBy(*by, "a", "b", "y").agg(F.count("*").alias("c"))
     # All three read the exchange behind `cells`, so the pairs are formed once.
-    full = cells.join(_placement(cells, "a", by), [*by, "a"]).join(_placement(cells, "b", by), [*by, "b"])
+    full = cells
+    for score in ("a", "b"):
+        # Fields of a struct that are NULL on both sides are equal, so NULL groups find their scores.
+        key, other = F.struct(*by, score).alias("_key"), "b" if score == "a" else "a"
+        parts = [f"v10_{score}", f"v01_{score}"]
+        full = lookup(full.select("*", key), _placement(cells, score, by).select(key, *parts), ["_key"], parts,
+                      [other, "y"], hot_from=cells.select(key)).drop("_key")
     va = F.when(F.col("y"), F.col("v10_a")).otherwise(F.col("v01_a"))
     vb = F.when(F.col("y"), F.col("v10_b")).otherwise(F.col("v01_b"))
     # Components lie in [0, 1] around the AUC; moments about 1/2 lose no digits that matter.
@@ -123,3 +138,45 @@ def significance_table(target: DataFrame, baselines: DataFrame, k: int = 1) -> D
     return recall.join(area.withColumnRenamed("var", "auc_var"), "run", "left")
 
 
+def hits_at(ks: tuple[int, ...]) -> Column:
+    """``row_hits`` for several k from one ranking: an array, NULL where ``row_hits`` is."""
+    b = F.col("buggy_line_indices")
+    hits = let(R.rank_order(F.col("per_line_energies")), lambda order: F.array(*[R.hit(order, b, k).cast("int") for k in ks]))
+    return F.when((F.col("status") == "FAIL") & (F.size(b) > 0) & (F.size("per_line_energies") > 0), hits)
+
+
+def significance_by_k(target: DataFrame, baselines: DataFrame, ks: tuple[int, ...] = (1, 3, 5), iters: int = 500,
+                      seed: int = 0) -> DataFrame:
+    """One row per baseline: recall and paired test for every k, both AUROCs, their paired test, and a resampled
+    95 % interval of their difference. Ids are unique within a run; a run without both classes has NULL areas."""
+    def narrow(records, hit, *extra):
+        return records.select(*extra, "impl_id", "status", "whole_impl_energy", hits_at(ks).alias(hit))
+
+    t, b = narrow(target, "t"), narrow(baselines, "b", "run")
+    pairs = t.select("impl_id", "t").join(b.select("impl_id", "run", "b"), "impl_id")
+    per_k = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.get("t", F.lit(i)).alias("target_hit"),
+                                        F.get("b", F.lit(i)).alias("baseline_hit")) for i, k in enumerate(ks)]),
+                     lambda x: x["target_hit"].isNotNull() & x["baseline_hit"].isNotNull())
+    table = mcnemar_table(pairs.select("run", F.inline(per_k)), ["run", "k"])
+    named = {"target_topk": "target_top", "baseline_topk": "baseline_top", "p_mcnemar": "p_mcnemar_top", "p_exact": "p_exact_top"}
+    recall = table.groupBy("run").agg(F.max("n_paired").alias("n_paired"), *[
+        F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{name}{k}") for k in ks for c, name in named.items()])
+    scores = paired_scores(t, b)
+    area = delong(scores, ["run"]).select("run", "auc_a", "auc_b", "n_pos", "n_neg", "p")
+    auc = Z.bootstrap_auroc(scores.filter("a IS NOT NULL AND b IS NOT NULL"), ["a", "b"], M.fail_label(), "impl_id", ["run"], iters, seed)
+    delta = auc.groupBy("run", "rep").agg((F.max(F.when(F.col("score") == "a", F.col("auc")))
+                                           - F.max(F.when(F.col("score") == "b", F.col("auc")))).alias("delta"))
+    interval = Z.linear_interval(delta, "delta", ["run"]).select("run", F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"))
+    return recall.join(area, "run", "left").join(interval, "run", "left")
+
+
+def bootstrap_report(records: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3), iters: int = 1000, seed: int = 0) -> DataFrame:
+    """Median and 95 % interval of AUROC and of top-k recall per group, all from the same resamples of the records."""
+    area = Z.bootstrap_auroc(records, ["whole_impl_energy"], M.fail_label(), "impl_id", by, iters, seed).select(
+        *by, F.lit("auroc").alias("metric"), F.col("auc").alias("value"))
+    hits = filter_map(records, F.struct(hits_at(ks).alias("_hits")), lambda s: s["_hits"].isNotNull()).select(
+        *by, "impl_id", F.inline(F.array(*[F.struct(F.lit(f"top{k}").alias("metric"), F.get("_hits", F.lit(i)).alias("hit"))
+                                           for i, k in enumerate(ks)])))
+    recall = Z.bootstrap_means(hits, "hit", "impl_id", [*by, "metric"], iters, seed).select(
+        *by, "metric", F.col("mean").alias("value"))
+    return Z.index_interval(area.unionByName(recall), "value", [*by, "metric"])

@@ -11,9 +11,6 @@ from lineaudit.functions import text as T
 from lineaudit.plans.ordered import row_positions
 from lineaudit.plans.skew import attach
 
-# The seeded shuffle needs one driver integer per trajectory spec.
-SHUFFLE_LIMIT = 5_000_000
-
 
 def hex_mod(digest: Column, modulus: int) -> Column:
     """A long hexadecimal number modulo a small one, four digits at a time."""
@@ -39,10 +36,7 @@ def held_groups(groups: DataFrame, n_trajectory: int, pair_share: float, seed: i
     if exact:
         # The shuffle permutes positions only; which hash sits where is looked
         # up by distributed row numbers, so no hash reaches the driver.
-        n = traj.count()
-        if n > SHUFFLE_LIMIT:
-            raise ValueError(f"{n} trajectory specs: use exact=False beyond {SHUFFLE_LIMIT}")
-        places = list(range(n))
+        places = list(range(traj.count()))
         random.Random(seed).shuffle(places)
         chosen = row_positions(traj, [], ["spec_hash"]).filter(F.col("position").isin(places[:n_trajectory]))
     else:
@@ -54,18 +48,17 @@ def held_groups(groups: DataFrame, n_trajectory: int, pair_share: float, seed: i
 
 
 def split(examples: DataFrame, n_trajectory: int = 30, pair_share: float = 0.10, seed: int = 42,
-          trajectory: str = "system_trajectory", pairs: str = "sft_safe", exact: bool = True) -> DataFrame:
+          trajectory: str = "system_trajectory", pairs: str = "sft_safe", exact: bool = False) -> DataFrame:
     """Add ``spec_hash`` and ``side`` (train or held); a spec's examples never part.
 
-    ``exact`` reproduces the seeded shuffle of the sorted trajectory hashes;
-    otherwise the trajectory specs with the smallest seeded digest are held,
-    which needs no driver state at all.
+    The trajectory specs with the smallest seeded digest are held, which needs
+    no driver state at all. ``exact`` reproduces the seeded shuffle of the sorted
+    trajectory hashes instead, for which the driver permutes one integer per spec.
     """
     groups = spec_groups(examples, trajectory, pairs)
     held = held_groups(groups, n_trajectory, pair_share, seed, exact).withColumn("held", F.lit(True))
     rows = examples.withColumn("spec_hash", T.squeeze_hash(F.col("spec_text")))
-    spread = [c for c in ("impl_id",) if c in examples.columns] or examples.columns
-    flagged = attach(rows, held, ["spec_hash"], ["held"], spread)
+    flagged = attach(rows, held, ["spec_hash"], ["held"])
     return flagged.withColumn(
         "side", F.when(F.coalesce("held", F.lit(False)), "held").otherwise("train")).drop("held")
 

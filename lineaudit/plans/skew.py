@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineaudit.session import stable
-
 HOT_KEYS = 1024
-BROADCAST_ROWS = 200_000
 _SALTS = 4096
 
 
@@ -35,14 +32,10 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
     return out.withColumns({v: picked[v] for v in values}).select(*rows.columns, *values)
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], spread_on: list[str],
-           hot_from: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``lookup`` for wide rows and a table that is usually small.
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Left join of wide rows with a table (unique on ``keys``) that is usually small, adding ``values``.
 
-    The table is written once and counted; up to ``limit`` rows it is broadcast
-    and the wide rows stay where they are, beyond that they go through ``lookup``.
+    A plain join: the planner measures the table while the query runs, broadcasts a small one so that the wide rows
+    stay where they are, and splits skewed partitions of the rows otherwise.
     """
-    table = stable(table.select(*keys, *values))
-    if table.limit(limit + 1).count() <= limit:
-        return rows.join(F.broadcast(table), keys, "left").select(*rows.columns, *values)
-    return lookup(rows, table, keys, values, spread_on, hot_from)
+    return rows.join(table.select(*keys, *values), keys, "left").select(*rows.columns, *values)

@@ -33,11 +33,13 @@ def closing_brace(text: str, start: int) -> int | None:
 
 
 def blocks(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """(ordinal, name, body, tail) of each balanced block; tail is the text after it."""
-    for n, m in enumerate(_HEAD.finditer(text)):
+    """(ordinal, name, body, tail) of each balanced block; tail is the text between it and the next block."""
+    heads = list(_HEAD.finditer(text))
+    for n, m in enumerate(heads):
         end = closing_brace(text, m.end())
         if end is not None:
-            yield n, m["name"], text[m.end():end], text[end + 1:]
+            following = next((h.start() for h in heads[n + 1:] if h.start() > end), len(text))
+            yield n, m["name"], text[m.end():end], text[end + 1:following]
 
 
 def _blocks_udf():
@@ -49,8 +51,8 @@ def _blocks_udf():
 
 
 def _outcome_window(tail: str) -> str:
-    """What follows the first arrow, looked for in the next 400 characters."""
-    arrow = re.search(r"=>\s*", tail[:400])
+    """What follows the first arrow."""
+    arrow = re.search(r"=>\s*", tail)
     return tail[arrow.end():].lstrip()[:3] if arrow else ""
 
 

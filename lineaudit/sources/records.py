@@ -52,9 +52,10 @@ def read_points(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.IMPL_POINT).parquet(path)
 
 
-def key_census(spark: SparkSession, path, n: int = 100) -> DataFrame:
-    """How many of the first n rows carry each JSON key (a preview, hence the limit)."""
-    return census(spark.read.text(path).limit(n), "value")
+def key_census(spark: SparkSession, path, n: int | None = None) -> DataFrame:
+    """How many rows carry each JSON key; with ``n`` a preview of the first n rows."""
+    rows = spark.read.text(path)
+    return census(rows if n is None else rows.limit(n), "value")
 
 
 def census(rows: DataFrame, column: str) -> DataFrame:

@@ -172,3 +172,32 @@ def test_listmle_against_definition(records):
     order = [1, 3, 0, 2]
     want = statistics.fmean(math.log(sum(math.exp(e[j]) for j in order[i:])) - e[order[i]] for i in range(2))
     assert r["loss"] == pytest.approx(want)
+
+
+def test_delong_leaves_out_missing_scores_and_keeps_the_null_group(spark):
+    rows = [("FAIL", 3.0, 1.0), ("FAIL", 2.0, 2.0), ("FAIL", 0.0, 2.0), ("PASS", 1.0, 2.0), ("PASS", 0.0, 0.0), ("PASS", 0.0, 1.0)]
+    extra = [("FAIL", 9.0, None), ("PASS", None, 9.0), ("UNKNOWN", 5.0, 5.0)]
+    schema = "run string, status string, a double, b double"
+    want = G.delong(spark.createDataFrame(rows, schema.partition(", ")[2]), []).first()
+    got = {r["run"]: r for r in G.delong(spark.createDataFrame([(g, *r) for g in (None, "x") for r in rows + extra], schema), ["run"]).collect()}
+    assert set(got) == {None, "x"}
+    for r in got.values():
+        assert (r["n_pos"], r["n_neg"]) == (3, 3)
+        assert all(r[c] == pytest.approx(want[c]) for c in ("auc_a", "auc_b", "var", "p"))
+
+
+def test_poisson_weights_have_no_lower_top_than_their_draws():
+    from math import exp, factorial
+
+    from lineaudit.operators.sampling import poisson_cuts
+    cuts = poisson_cuts()
+    assert cuts == pytest.approx([sum(exp(-1) / factorial(j) for j in range(i + 1)) for i in range(len(cuts))])
+    assert 1 - cuts[-1] >= 2.0 ** -32 > 1 - cuts[-1] - exp(-1) / factorial(len(cuts))
+
+
+def test_one_ranking_gives_the_hits_of_every_k(spark):
+    df = spark.createDataFrame([("FAIL", [1], [0.5, 0.1, 0.9]), ("FAIL", [2], [0.5, 0.1, 0.9]), ("PASS", [1], [1.0]), ("FAIL", [], [1.0])],
+                               "status string, buggy_line_indices array<int>, per_line_energies array<double>")
+    got = df.select(G.hits_at((1, 2, 3)).alias("h"), *[G.row_hits(df, k).alias(f"h{k}") for k in (1, 2, 3)]).collect()
+    assert [r["h"] for r in got] == [[0, 0, 1], [1, 1, 1], None, None]
+    assert all(r["h"] == (None if r["h1"] is None else [r["h1"], r["h2"], r["h3"]]) for r in got)

@@ -77,7 +77,7 @@ def test_lookup_with_hot_keys(spark, hot):
 def test_split_matches_seeded_shuffle(spark):
     rows = [(f"t{s}-{r}", f"t{s}", "system_trajectory", "PASS", f"spec  {s}", "x", []) for s in range(5) for r in range(3)]
     rows += [(f"s{s}-{r}", f"s{s}", "sft_safe", "FAIL", f"safe {s}\n", "x", []) for s in range(10) for r in range(2)]
-    sides = X.split(spark.createDataFrame(rows, IMPL), 2, 0.2, 42)
+    sides = X.split(spark.createDataFrame(rows, IMPL), 2, 0.2, 42, exact=True)
     got = {r["impl_id"]: r["side"] for r in sides.collect()}
 
     def squeeze(s):
@@ -265,11 +265,10 @@ def test_tokenizer_and_surprisal(spark):
     assert out["a"] == [6.0, 0.0, 6.0]
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_attach_either_way(spark, limit):
+def test_attach(spark):
     rows = spark.range(60).select(F.col("id"), (F.col("id") % 9).alias("k"))
     table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") + 100).alias("v"))
-    got = {r["id"]: r["v"] for r in attach(rows, table, ["k"], ["v"], ["id"], limit=limit).collect()}
+    got = {r["id"]: r["v"] for r in attach(rows, table, ["k"], ["v"]).collect()}
     assert got == {i: (i % 9 + 100 if i % 9 < 5 else None) for i in range(60)}
 
 

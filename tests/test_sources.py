@@ -155,3 +155,18 @@ def test_corpus_size(spark, tmp_path):
         (tmp_path / repo / name).write_text(text, encoding="utf-8")
     got = {r["repo"]: (r["n_files"], r["n_bytes"]) for r in K.corpus_size(K.read_source_files(spark, f"file:{tmp_path}")).collect()}
     assert got == {"r1": (1, 8), "r2": (1, len("a\n\tverus! é".encode()))}
+
+
+def test_outcome_is_found_at_any_distance_but_not_in_the_next_block(spark):
+    def block(name, gap, outcome):
+        return f"test_verify_one_file! {{ #[test] {name} verus_code! {{ fn f() {{}} }} {gap}{outcome} }}\n"
+
+    text = block("far", "// " + "x" * 5000 + "\n", "=> Err(e)") + block("none", "", "") + block("near", "", "=> Ok(())")
+    got = TF.parse_blocks(spark.createDataFrame([("a.rs", text)], "source_file string, content string")).collect()
+    assert {r["name"]: r["outcome"] for r in got} == {"far": "Err", "near": "Ok"}
+
+
+def test_key_census_reads_all_rows_unless_told(spark, tmp_path):
+    path = write(tmp_path / "k.jsonl", [{"x": 1}] * 150)
+    assert [r["n"] for r in R.key_census(spark, path).collect()] == [150]
+    assert [r["n"] for r in R.key_census(spark, path, 100).collect()] == [100]
