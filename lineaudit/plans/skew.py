@@ -26,7 +26,10 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
     known = frequent.join(F.broadcast(answers), keys, "left").withColumn("_hot", F.lit(True))
     tagged = rows.join(F.broadcast(known), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on), F.lit(_SALTS))).otherwise(F.lit(-1)))
-    cold = table.select(*keys, F.struct(*values).alias("_cold_value")).withColumn("_salt", F.lit(-1).cast("long"))
+    # Always -1, but no literal: the optimizer turns equality with a literal into a side condition, and
+    # the rows would then be dealt by the keys alone.
+    cold = table.select(*keys, F.struct(*values).alias("_cold_value")).withColumn(
+        "_salt", F.pmod(F.xxhash64(*keys), F.lit(1).cast("long")) - 1)
     out = tagged.join(cold, [*keys, "_salt"], "left")
     picked = F.when(F.col("_hot"), F.col("_hot_value")).otherwise(F.col("_cold_value"))
     return out.withColumns({v: picked[v] for v in values}).select(*rows.columns, *values)

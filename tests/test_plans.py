@@ -1,6 +1,7 @@
 import difflib
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,6 +75,23 @@ def test_lookup_with_hot_keys(spark, hot):
     assert got == {i: (0 if i % 3 == 0 else (i % 50) * 10 if i % 50 < 40 else None) for i in range(900)}
 
 
+def test_lookup_deals_rows_by_salt(spark):
+    """No partition of the join holds a hot key's rows together."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    table = spark.range(400).groupBy((F.col("id") % 40).alias("k")).agg(F.max("id").alias("v"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = lookup(rows, table, ["k"], ["v"], ["id"])
+        placed = out.select("v", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    sizes = Counter(r["p"] for r in placed)
+    assert len(placed) == 4000 and len(sizes) > 1 and max(sizes.values()) < 2 * 4000 / len(sizes)
+
+
 def test_split_matches_seeded_shuffle(spark):
     rows = [(f"t{s}-{r}", f"t{s}", "system_trajectory", "PASS", f"spec  {s}", "x", []) for s in range(5) for r in range(3)]
     rows += [(f"s{s}-{r}", f"s{s}", "sft_safe", "FAIL", f"safe {s}\n", "x", []) for s in range(10) for r in range(2)]
