@@ -43,9 +43,8 @@ _G = 24
 _FIELD = f"""with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, label::double as energy from embeddings),
 b as (select min(x) - 0.05 * (max(x) - min(x)) as x0, max(x) + 0.05 * (max(x) - min(x)) as x1,
         min(y) - 0.05 * (max(y) - min(y)) as y0, max(y) + 0.05 * (max(y) - min(y)) as y1 from p),
-f as (select * from p order by id limit 2000),
 nn as (select f.id, sqrt((f.x - p.x) ** 2 + (f.y - p.y) ** 2) as dist,
-         row_number() over (partition by f.id order by sqrt((f.x - p.x) ** 2 + (f.y - p.y) ** 2), p.id) as r from f, p),
+         row_number() over (partition by f.id order by sqrt((f.x - p.x) ** 2 + (f.y - p.y) ** 2), p.id) as r from p f, p),
 h as (select median(dist) * 1.2 as h from nn where r between 2 and 6),
 c as (select iy, ix, x0 + (x1 - x0) * ix / {_G - 1} as gx, y0 + (y1 - y0) * iy / {_G - 1} as gy
       from b, (select unnest(range({_G})) as iy), (select unnest(range({_G})) as ix)),

@@ -75,14 +75,15 @@ def row_positions(df: DataFrame, by: list[str], order: list[str], name: str = "p
     return running_sums(df.withColumn("_one", F.lit(1).cast("long")), by, order, {name: "_one"}).drop("_one")
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, cuts: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], value: str, cuts: dict[str, Column], weight: str | None = None) -> DataFrame:
     """Exact order statistics: one row per group, one column per cut.
 
     A cut is a 0-based position given as a function of ``n`` (the group's row
     count), e.g. ``floor(n/2)``. Values are counted before they are ordered, so
-    a value shared by most rows is one row here.
+    a value shared by most rows is one row here. With ``weight`` a row stands for that many rows.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    many = F.count("*") if weight is None else F.sum(weight)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(many.alias("_c"))
     run = running_sums(counted, by, [value], {"_before": "_c"}).withColumnRenamed("_before_total", "n")
     picks = [
         F.max(F.when((F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_c")), F.col(value))).alias(name)

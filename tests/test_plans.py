@@ -207,11 +207,35 @@ def test_nearest_by_brute_force(spark):
     qs = rng.uniform(-3.2, 3.2, (40, 2))
     q = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(qs)], "qid long, gx double, gy double")
     got = {}
-    for r in D.nearest(df, q, 7, bins=16).collect():
+    for r in D.nearest(df, q, 7, strips=20).collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["dist"]))
     for i, p in enumerate(qs):
         want = np.sort(np.hypot(*(pts - p).T))[:7]
         assert [d for _, d in sorted(got[i])] == pytest.approx(list(want), abs=1e-9)
+    all_pairs = np.sort(np.hypot(*(pts[:, None] - pts[None]).transpose(2, 0, 1)), axis=1)[:, 1:6]
+    h = D.bandwidth(df, D.leaves(df, 6)).first()["h"]
+    assert h == pytest.approx(1.2 * np.median(all_pairs))
+
+
+def test_nearest_of_few_points_and_none(spark):
+    q = spark.createDataFrame([(0, 0.0, 0.0)], "qid long, gx double, gy double")
+    schema = "id long, x double, y double, energy double"
+    df = spark.createDataFrame([(1, 3.0, 4.0, 1.0), (2, None, 1.0, 1.0), (3, float("nan"), 1.0, 1.0)], schema)
+    assert [(r["rank"], r["dist"]) for r in D.nearest(df, q, 3).collect()] == [(1, 5.0)]
+    none = spark.createDataFrame([], schema)
+    assert D.nearest(none, q, 3).count() == 0
+    assert D.bandwidth(none, D.leaves(none, 6)).first()["h"] == 0.1
+
+
+def test_nearest_visits_few_points_of_a_cluster(spark):
+    rng = np.random.default_rng(1)
+    n, grid, k = 20_000, 16, 5
+    pts = np.concatenate([rng.normal(0, 1e-6, (n - 4000, 2)), np.full((4000, 2), 1e-7), [[-3, -3], [3, 3]]])
+    df = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate(pts)], "id long, x double, y double, energy double")
+    cells = D.grid_cells(D.bounds(df), grid).select("qid", "gx", "gy")
+    placed = D.leaves(df, k)
+    met = placed.groupBy("leaf").count().join(D.visits(placed, cells, k), "leaf").agg(F.sum("count")).first()[0]
+    assert met < 20 * k * grid * grid, met
 
 
 def test_field_tools(spark):
