@@ -12,6 +12,7 @@ from lineaudit.operators import positions as P
 from lineaudit.operators import scorers as S
 from lineaudit.operators import significance as G
 from lineaudit.operators import subgroups as U
+from lineaudit.sources import sinks as W
 
 QUERIES, ORACLE = {}, {}
 
@@ -162,9 +163,12 @@ def _erfc(x: str) -> str:
 _CHI = "sqrt((abs(n01 - n10) - 1) ** 2 / nullif(n01 + n10, 0) / 2.0)"
 
 
-@query("significance_table", _PAIR + f", {_DELONG}, " + f"""
+_JOINT = _PAIR + f", {_DELONG}, " + f"""
 x as (select *, (auc_a - auc_b) / sqrt(var) as z from dl),
-j as (select e.*, x.auc_a, x.auc_b, x.n_pos, x.n_neg, x.var, x.z, abs(x.z) / sqrt(2) as az, {_CHI} as cx from e join x using (run))
+j as (select e.*, x.auc_a, x.auc_b, x.n_pos, x.n_neg, x.var, x.z, abs(x.z) / sqrt(2) as az, {_CHI} as cx from e join x using (run))"""
+
+
+@query("significance_table", _JOINT + f"""
 select run, n_paired, n11, n01, n10, n00, round(tt, 6) as target_topk, round(bb, 6) as baseline_topk,
   round(case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end, 6) as p_mcnemar,
   round({_P_EXACT}, 6) as p_exact, round({_P_MID}, 6) as p_mid, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b,
@@ -176,6 +180,27 @@ def significance_table(spark, d):
     return out.withColumns({"auc_var": F.round("auc_var", 9), "z": F.round("z", 5)})
 
 
+def _latex_p(x: str) -> str:
+    digits = f"format('{{:.2e}}', {x})"
+    return (f"case when {x} is null or isnan({x}) then '---' when {x} < 1e-4 then '$<10^{{-4}}$' when {x} < 1e-3 then '$' || "
+            f"split_part({digits}, 'e', 1) || '\\times 10^{{' || split_part({digits}, 'e', 2)::int || '}}$' "
+            f"else '$' || printf('%.3f', round({x}, 3)) || '$' end")
+
+
+def _latex_pair(base: str, target: str) -> str:
+    t = f"printf('%.3f', round({target}, 3))"
+    return (f"printf('%.3f', round({base}, 3)) || ' vs ' || "
+            f"case when {target} > {base} then '\\textbf{{' || {t} || '}}' else {t} end")
+
+
+@query("latex_table", _JOINT + f""",
+q as (select *, case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end as pm, {_erfc('az')} as pa from j)
+select run, run || ' & ' || n_paired || ' & ' || {_latex_pair('bb', 'tt')} || ' & ' || {_latex_p('pm')} || ' & '
+  || {_latex_pair('auc_b', 'auc_a')} || ' & ' || {_latex_p('pa')} || ' \\\\' as line from q""")
+def latex_table(spark, d):
+    return W.latex_rows(G.significance_table(*_target_and_baselines(spark, d)))
+
+
 _KS = (1, 3, 5)
 
 

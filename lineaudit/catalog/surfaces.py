@@ -275,13 +275,6 @@ def csv_numbers(spark, d):
     return W.csv_table(bridge.table(spark, d, "events").select("event_id", "value"))
 
 
-@query("latex_table")
-def latex_table(spark, d):
-    recs = bridge.records(spark, d)
-    t = G.significance_table(recs.filter("run = 'random'"), recs.filter("run <> 'random'"))
-    return W.latex_rows(t)
-
-
 @query("summary_json")
 def summary_json(spark, d):
     return W.summary_json(Q.arm_summary(_arms(spark, d), _ARMS, "original"))
@@ -309,6 +302,12 @@ a as (select impl_id, substr(h, 1, 1) in ('0', '1', '2', '3') as a,
    substr(h, 3, 1) in ('0', '1', '2', '3', '4', '5') as c, substr(h, 4, 1) = '0' as o from h)"""
 
 
+ORACLE["summary_json"] = _ARM_SQL + """
+select to_json({'n': count(*), 'arm_a_n': count(*) filter (where a), 'arm_a_rate': avg(a::int), 'arm_b_n': count(*) filter (where b),
+  'arm_b_rate': avg(b::int), 'arm_c_n': count(*) filter (where c), 'arm_c_rate': avg(c::int), 'original_n': count(*) filter (where o),
+  'original_rate': avg(o::int), 'union_rate': avg((a or b or c)::int), 'intersection_rate': avg((a and b and c)::int)})::varchar as summary from a"""
+
+
 @query("repair_summary", _ARM_SQL + """
 select count(*) as n, count(*) filter (where a) as arm_a_n, round(avg(a::int), 6) as arm_a_rate, count(*) filter (where b) as arm_b_n,
   round(avg(b::int), 6) as arm_b_rate, count(*) filter (where c) as arm_c_n, round(avg(c::int), 6) as arm_c_rate,
@@ -466,7 +465,27 @@ def random_energies(spark, d):
     return r6(rows, "e")
 
 
-@query("marker_augmentation")
+def _draw(name: str) -> str:
+    return f"('0x' || substr(sha1('0|' || impl_id || '|' || copy || '|{name}'), 1, 8))::bigint / 4294967296.0::double"
+
+
+def _placed(lines: str, go: str, share: float, at: str, markers: tuple[str, ...], name: str) -> str:
+    """One marker behind one drawn line, in SQL."""
+    pool = "[" + ", ".join(f"'{m}'" for m in markers) + "]"
+    put = (f"rtrim(x) || case when contains(rtrim(x), '//') then ' ' else '  ' end || {pool}[floor({_draw(name)} * {len(markers)})::bigint + 1]")
+    return (f"case when {_draw(go)} < {share} then list_transform({lines}, lambda x, i: "
+            f"case when i - 1 = floor({_draw(at)} * len({lines})) then {put} else x end) else {lines} end")
+
+
+@query("marker_augmentation", f"""with {bridge.SQL_LINES},
+t as (select impl_id, string_agg(line_text, chr(10) order by src_idx) as txt from lines group by impl_id),
+p as (select impl_id, copy, case when parts is not null then coalesce(txt, '') end as txt
+      from raw left join t using (impl_id), (select unnest(range(3)) as copy)),
+s as (select *, string_split(txt, chr(10)) as c from p),
+l as (select *, case when c[-1] = '' then c[:-2] else c end as l0 from s),
+m as (select *, {_placed('l0', 'go', 0.5, 'line', T.NEGATIVE_MARKERS + T.POSITIVE_MARKERS, 'marker')} as l1 from l),
+n as (select *, {_placed('l1', 'go2', 0.3, 'line2', T.POSITIVE_MARKERS, 'marker2')} as l2 from m)
+select impl_id, copy::int as copy, sha1(case when copy > 0 and txt <> '' then array_to_string(l2, chr(10)) else txt end) as digest from n""")
 def marker_augmentation(spark, d):
     rows = Z.augment(bridge.impls(spark, d), 3)
     return rows.select("impl_id", "copy", F.sha1(F.encode("impl_text", "UTF-8")).alias("digest"))
