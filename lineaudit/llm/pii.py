@@ -257,11 +257,14 @@ def found(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one.
 
-    ``count_col``, where present, is set to the new length of changed texts. Null texts stay null.
+    ``count_col``, where present, is set to the new length of changed texts. Null texts stay null. Other
+    columns, whatever their names, stay as they are.
     """
     model = fit(with_candidates(docs.select(text_col), text_col))
-    rows = decided(with_candidates(docs, text_col), model)
-    text = F.col(text_col)
+    # The row rests in one column, so that no column of ``docs`` meets one of the steps'.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = decided(with_candidates(docs.select(row, F.col(f"`{text_col}`").alias("text"))), model)
+    text = F.col("text")
     start = F.expr("named_struct('at', 0, 'out', '')")
     by_place = F.array_sort(F.transform("_spans", lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("e"), c["kind"].alias("kind"))))
 
@@ -274,8 +277,10 @@ def masked(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
         acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.char_length(text) - acc["at"], F.lit(0)))))
     hit = F.size("_spans") > 0
     rows = rows.withColumn("_new", F.when(hit, new).otherwise(text))
-    out = rows.withColumn(text_col, F.col("_new"))
-    if count_col and count_col in docs.columns:
-        kind = dict(docs.dtypes)[count_col]
-        out = out.withColumn(count_col, F.when(hit, F.char_length("_new").cast(kind)).otherwise(F.col(count_col)))
-    return out.select(*docs.columns)
+
+    def column(c: str, kind: str) -> Column:
+        if c == text_col:
+            return F.col("_new")
+        return F.when(hit, F.char_length("_new").cast(kind)).otherwise(F.col("row")[c]) if c == count_col else F.col("row")[c]
+
+    return rows.select(*(column(c, kind).alias(c) for c, kind in docs.dtypes))

@@ -164,6 +164,11 @@ def test_personal_data(spark, empty):
     assert masked[0]["text"] is None and masked[1]["text"] == "" and "4111 1111" not in masked[3]["text"]
     assert masked[3]["text"].startswith("card [CARD], ") and masked[3]["n_chars"] == len(masked[3]["text"])
     assert pii.found(empty).count() == 0 and pii.masked(empty).columns == empty.columns
+    names = ["_text", "_cand", "_spans", "_new", "_b_email", "row", "kind", "a.b"]
+    clash = pii.masked(df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names))))
+    assert clash.columns == df.columns + names
+    assert {tuple(r)[-len(names):] for r in clash.collect()} == {tuple(range(len(names)))}
+    assert {r["doc_id"]: r["text"] for r in clash.collect()} == {i: r["text"] for i, r in masked.items()}
 
 
 def best_segments(scores):
