@@ -4,7 +4,9 @@ Every record is a gzip member of its own. Spark's text writer puts the members i
 file system it can reach; between two members it writes ``_EMPTY``, a valid member of no bytes,
 so the file is an ordinary ``.warc.gz``. The reader checks member checksums, version
 lines, lengths and block digests; after a failed check it looks for the next valid member or
-version line and logs the bytes in between as a quarantined gap.
+version line, inside a member too, and logs the bytes in between as a quarantined gap. ``start`` and ``end``
+are places in the archive; what lies in a member has its place in the inflated content besides (``content_start``,
+``content_end``). Of a broken member the records before the damage are kept.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 FIELDS = [("kind", pa.string()), ("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
           ("record_type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("refers_to", pa.string()),
-          ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+          ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()),
+          ("content_start", pa.int64()), ("content_end", pa.int64())]
 _DDL = ("kind string, archive string, start bigint, end bigint, reason string, record_type string, record_id string, "
-        "target string, refers_to string, payload_digest string, payload_bytes bigint, payload binary")
+        "target string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, content_start bigint, content_end bigint")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -85,19 +88,45 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: i
         "encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _member_at(data: memoryview, pos: int) -> tuple[bytes, int] | None:
-    """Content and end of the gzip member at ``pos``, None if it is broken or cut off."""
+def _member_at(data: memoryview, pos: int) -> tuple[bytes, int, bool]:
+    """Content of the gzip member at ``pos``, its end and True; of a broken one what can be inflated, and False."""
     z = zlib.decompressobj(31)
     out = []
-    try:
-        for at in range(pos, len(data), 65536):
-            part = data[at:at + 65536]
+    for at in range(pos, len(data), 65536):
+        part = data[at:at + 65536]
+        before = z.copy()
+        try:
             out.append(z.decompress(part))
-            if z.eof:
-                return b"".join(out), at + len(part) - len(z.unused_data)
-    except zlib.error:
-        pass
-    return None
+        except zlib.error:
+            # Byte by byte, so that nothing before the damage is lost.
+            try:
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i:i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at, False
+        if z.eof:
+            return b"".join(out), at + len(part) - len(z.unused_data), True
+    return b"".join(out), len(data), False
+
+
+def _place_of(data: memoryview, pos: int, size: int) -> int:
+    """Place in the archive, never too far, by which the member at ``pos`` has yielded ``size`` bytes."""
+    z, at = zlib.decompressobj(31), pos
+    while size > 0 and at < len(data):
+        part = data[at:at + 65536]
+        before = z.copy()
+        try:
+            size -= len(z.decompress(part, size))
+            at += len(part) - len(z.unconsumed_tail)
+        except zlib.error:
+            # The damage lies behind the last byte asked for, but in its part.
+            for i in range(len(part)):
+                size -= len(before.decompress(part[i:i + 1]))
+                if size <= 0:
+                    return at + i
+            break
+    return at
 
 
 def _record_at(data: bytes, pos: int) -> tuple[dict | None, int, str]:
@@ -111,7 +140,7 @@ def _record_at(data: bytes, pos: int) -> tuple[dict | None, int, str]:
         if not colon:
             return None, pos, "bad header line"
         fields[name.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit():
+    if not fields.get("content-length", "").isdecimal():
         return None, pos, "no length"
     start = stop + 4
     end = start + int(fields["content-length"])
@@ -139,53 +168,79 @@ def _row(fields: dict) -> dict:
             "payload_bytes": len(payload) if full else int(size[1]) if size else None, "payload": payload if full else None}
 
 
+def _parsed(content: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
+    """Records (fields, start, end, "") of a member's content, and the gaps (None, start, end, reason) between them."""
+    at, gap, reason = 0, None, ""
+    while at < len(content):
+        fields, end, why = _record_at(content, at)
+        if fields is None:
+            if gap is None:
+                gap, reason = at, why
+            at = content.find(b"WARC/1.", at + 1)
+            at = len(content) if at < 0 else at
+            continue
+        if gap is not None:
+            yield None, gap, at, reason
+            gap = None
+        yield fields, at, end, ""
+        at = end
+    if gap is not None:
+        yield None, gap, len(content), reason
+
+
 def salvage(archive: str, data: bytes) -> Iterator[dict]:
-    """All records of one archive (compressed by member or plain), and the gaps between them."""
+    """All records of one archive (compressed or plain), and the gaps between them."""
     view = memoryview(data)
     pos, gap, reason = 0, None, ""
 
-    def quarantined(end: int) -> dict:
-        return {"kind": "gap", "archive": archive, "start": gap, "end": end, "reason": reason}
+    def row(fields: dict | None, start: int, end: int, why: str, inner=(None, None)) -> dict:
+        rest = {"kind": "gap", "reason": why} if fields is None else {"kind": "record"} | _row(fields)
+        return {"archive": archive, "start": start, "end": end, "content_start": inner[0], "content_end": inner[1]} | rest
 
     while pos < len(data):
-        rows, end, why = [], pos, "no member or version line"
+        why = "no member or version line"
         if data.startswith(_MAGIC, pos):
-            got = _member_at(view, pos)
-            why = "broken member"
-            if got is not None:
-                content, after = got
-                at = 0
-                while at < len(content):
-                    fields, upto, why = _record_at(content, at)
-                    if fields is None:
-                        break
-                    rows.append(_row(fields))
-                    at = upto
-                end = after if at == len(content) else pos
-                if end == pos:
-                    # A sound member with an unsound record: its sound records stay, the rest is a gap.
-                    yield from ({"kind": "record", "archive": archive, "start": pos, "end": after} | r for r in rows)
-                    if gap is None:
-                        gap, reason = pos, why
-                    yield quarantined(after)
-                    pos, gap = after, None
+            content, after, sound = _member_at(view, pos)
+            if sound and gap is not None:
+                yield row(None, gap, pos, reason)
+                gap = None
+            kept, hole = 0, None
+            for fields, start, end, cause in _parsed(content):
+                if fields is None and not sound:
+                    hole = start, end, cause
                     continue
+                if fields is not None:
+                    if gap is not None:
+                        yield row(None, gap, pos, reason)
+                        gap = None
+                    if hole is not None:
+                        yield row(None, pos, after, hole[2], hole[:2])
+                        hole = None
+                    kept = end
+                yield row(fields, pos, after, cause, (start, end))
+            if sound:
+                pos = after
+                continue
+            why = "broken member"
+            if kept:
+                # The rest of a broken member is a gap from the end of its last record on.
+                pos = gap = max(pos + 1, _place_of(view, pos, kept))
+                reason = why
         elif data.startswith(b"WARC/1.", pos):
             fields, end, why = _record_at(data, pos)
-            rows = [_row(fields)] if fields is not None else []
-        if end > pos:
-            if gap is not None:
-                yield quarantined(pos)
-                gap = None
-            yield from ({"kind": "record", "archive": archive, "start": pos, "end": end} | r for r in rows)
-            pos = end
-            continue
+            if fields is not None:
+                if gap is not None:
+                    yield row(None, gap, pos, reason)
+                    gap = None
+                yield row(fields, pos, end, "")
+                pos = end
+                continue
         if gap is None:
             gap, reason = pos, why
         following = [x for x in (data.find(_MAGIC, pos + 1), data.find(b"WARC/1.", pos + 1)) if x >= 0]
         pos = min(following, default=len(data))
     if gap is not None:
-        yield quarantined(len(data))
+        yield row(None, gap, len(data), reason)
 
 
 def read(archives: DataFrame) -> DataFrame:

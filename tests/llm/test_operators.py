@@ -260,6 +260,32 @@ def test_archives_and_salvage(spark):
     assert list(warc.salvage("c", b"")) == []
 
 
+def test_salvage_inside_members():
+    parts = [warc.record(i, "u", b"p%d" % i) for i in range(5)]
+    payloads = lambda found: [r["payload"] for r in found if r["kind"] == "record"]
+    hurt = list(parts)
+    hurt[1] = hurt[1].replace(b"p1\r\n", b"px\r\n")
+    found = list(warc.salvage("a", warc.member(b"".join(hurt)) + warc.member(parts[0])))
+    assert payloads(found) == [b"p0", b"p2", b"p3", b"p4", b"p0"]
+    gaps = [r for r in found if r["kind"] == "gap"]
+    assert [(r["content_start"], r["content_end"]) for r in gaps] == [(len(parts[0]), len(parts[0]) + len(parts[1]))]
+    # A wrong checksum, a cut and a damaged middle: what was inflated before stays, a sound member behind too.
+    rng = random.Random(6)
+    big = [warc.record(i, "u", rng.randbytes(40_000)) for i in range(6)]
+    whole = warc.member(b"".join(big))
+    crc = bytearray(whole)
+    crc[-6] ^= 0xFF
+    tail = warc.member(parts[4])
+    want = payloads(warc.salvage("w", whole))
+    found = list(warc.salvage("b", bytes(crc) + tail))
+    assert len(want) == 6 and payloads(found) == want + [b"p4"]
+    assert [(r["end"], r["reason"]) for r in found if r["kind"] == "gap"] == [(len(whole), "broken member")]
+    assert found[6]["start"] >= len(whole) - 16
+    for cut in (len(whole) // 2, 100_000):
+        assert payloads(warc.salvage("c", whole[:cut])) == want[:cut // 40_400]
+        assert payloads(warc.salvage("d", whole[:cut] + tail)) == want[:cut // 40_400] + [b"p4"]
+
+
 def test_shards_fit(docs, empty):
     limit = 2000
     got = sharding.assigned(docs, limit=limit).collect()
