@@ -6,7 +6,8 @@ so the file is an ordinary ``.warc.gz``. The reader checks member checksums, ver
 lines, lengths and block digests; after a failed check it looks for the next valid member or
 version line, inside a member too, and logs the bytes in between as a quarantined gap. ``start`` and ``end``
 are places in the archive; what lies in a member has its place in the inflated content besides (``content_start``,
-``content_end``). Of a broken member the records before the damage are kept.
+``content_end``). Of a broken member the records before the damage are kept. A record whose block digest is missing
+or of an unknown algorithm is kept with ``verified`` false.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_ALGORITHMS = {re.sub("[-_]", "", a): a for a in hashlib.algorithms_guaranteed if not a.startswith("shake")}
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 FIELDS = [("kind", pa.string()), ("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
           ("record_type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("refers_to", pa.string()),
           ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()),
-          ("content_start", pa.int64()), ("content_end", pa.int64())]
+          ("content_start", pa.int64()), ("content_end", pa.int64()), ("verified", pa.bool_())]
 _DDL = ("kind string, archive string, start bigint, end bigint, reason string, record_type string, record_id string, "
-        "target string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, content_start bigint, content_end bigint")
+        "target string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, content_start bigint, content_end bigint, "
+        "verified boolean")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -129,13 +132,37 @@ def _place_of(data: memoryview, pos: int, size: int) -> int:
     return at
 
 
+def _fits(digest: str, block: bytes) -> bool | None:
+    """Whether a digest field ``algorithm:value`` (hexadecimal, base32 or base64) is that of the block; None if unknown."""
+    name, _, value = digest.partition(":")
+    name = _ALGORITHMS.get(re.sub("[-_]", "", name.strip().lower()))
+    if name is None:
+        return None
+    want, value = hashlib.new(name, block, usedforsecurity=False).digest(), value.strip().rstrip("=")
+    bare = lambda encoded: encoded.decode().rstrip("=")
+    return (value.lower() == want.hex() or value.upper() == bare(base64.b32encode(want))
+            or value in (bare(base64.b64encode(want)), bare(base64.urlsafe_b64encode(want))))
+
+
+def _sha1_text(digest: str | None) -> str | None:
+    """A sha1 digest field as upper-case base32, like ``base32_sha1``; any other as it is."""
+    name, _, value = (digest or "").partition(":")
+    if name.strip().lower().replace("-", "") != "sha1":
+        return digest or None
+    value = value.strip()
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return base64.b32encode(bytes.fromhex(value)).decode()
+    return (value.upper() if re.fullmatch("[2-7A-Za-z]{32}", value) else value) or None
+
+
 def _record_at(data: bytes, pos: int) -> tuple[dict | None, int, str]:
     """Record at a version line: (fields, end, reason of failure)."""
     stop = data.find(b"\r\n\r\n", pos)
     if not _VERSION.match(data, pos) or stop < 0:
         return None, pos, "no header"
-    fields: dict[str, str] = {}
-    for line in data[pos:stop].decode("utf-8", "replace").split("\r\n")[1:]:
+    fields: dict = {}
+    # A line that starts with a blank goes on with the line before.
+    for line in re.sub("\r\n[ \t]+", " ", data[pos:stop].decode("utf-8", "replace")).split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             return None, pos, "bad header line"
@@ -147,10 +174,10 @@ def _record_at(data: bytes, pos: int) -> tuple[dict | None, int, str]:
     if data[end:end + 4] != b"\r\n\r\n":
         return None, pos, "wrong length"
     block = bytes(data[start:end])
-    digest = fields.get("warc-block-digest")
-    if digest and digest != f"sha1:{base32_sha1(block)}":
+    fits = _fits(fields.get("warc-block-digest", ""), block)
+    if fits is False:
         return None, pos, "wrong digest"
-    return fields | {"": block}, end + 4, ""
+    return fields | {"": block, "verified": fits is True}, end + 4, ""
 
 
 def _row(fields: dict) -> dict:
@@ -164,8 +191,9 @@ def _row(fields: dict) -> dict:
     bare = lambda s: s[1:-1] if s and s.startswith("<") else s
     return {"record_type": kind, "record_id": bare(fields.get("warc-record-id")), "target": fields.get("warc-target-uri"),
             "refers_to": bare(fields.get("warc-refers-to")),
-            "payload_digest": base32_sha1(payload) if full else (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-            "payload_bytes": len(payload) if full else int(size[1]) if size else None, "payload": payload if full else None}
+            "payload_digest": base32_sha1(payload) if full else _sha1_text(fields.get("warc-payload-digest")),
+            "payload_bytes": len(payload) if full else int(size[1]) if size else None, "payload": payload if full else None,
+            "verified": fields["verified"]}
 
 
 def _parsed(content: bytes) -> Iterator[tuple[dict | None, int, int, str]]:

@@ -286,6 +286,28 @@ def test_salvage_inside_members():
         assert payloads(warc.salvage("d", whole[:cut] + tail)) == want[:cut // 40_400] + [b"p4"]
 
 
+def test_salvage_reads_other_digests_and_folded_lines(spark):
+    import base64
+
+    raw = warc.record(7, "u", b"text")
+    block = raw[raw.index(b"\r\n\r\n") + 4:-4]
+    own = b"sha1:" + warc.base32_sha1(block).encode()
+    sha1, sha256 = hashlib.sha1(block), hashlib.sha256(block)
+    good = [f"sha1:{sha1.hexdigest()}", f"SHA-1:{sha1.hexdigest().upper()}", own.decode().lower(), f"sha256:{sha256.hexdigest()}",
+            "sha256:" + base64.b32encode(sha256.digest()).decode(), "sha-256:" + base64.b64encode(sha256.digest()).decode(), f"md5:{hashlib.md5(block).hexdigest()}"]
+    swap = lambda new: raw.replace(b"WARC-Block-Digest: " + own, b"WARC-Block-Digest:" + new)
+    cases = [(swap(b" " + g.encode()), True) for g in good]
+    cases += [(swap(b" crc99:12"), False), (swap(b"\r\n  " + own), True), (swap(b" "), False)]
+    cases.append((raw.replace(b"Content-Type: application", b"X-Note: two\r\n\tlines: here\r\nContent-Type: application"), True))
+    data = b"".join(warc.member(r) for r, _ in cases)
+    got = warc.read(spark.createDataFrame([("a", data)], "path string, content binary")).collect()
+    assert [(r["kind"], bytes(r["payload"]), r["verified"]) for r in got] == [("record", b"text", v) for _, v in cases]
+    for bad in (f"sha256:{sha1.hexdigest()}", "sha1:" + "0" * 40, f"md5:{hashlib.md5(b'').hexdigest()}"):
+        assert [r["reason"] for r in warc.salvage("b", swap(b" " + bad.encode()))] == ["wrong digest"]
+    back = warc.record(8, "u", b"text", 7).replace(warc.base32_sha1(b"text").encode(), hashlib.sha1(b"text").hexdigest().encode())
+    assert [r["payload_digest"] for r in warc.salvage("c", back)] == [warc.base32_sha1(b"text")]
+
+
 def test_shards_fit(docs, empty):
     limit = 2000
     got = sharding.assigned(docs, limit=limit).collect()
