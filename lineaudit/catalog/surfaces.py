@@ -516,7 +516,8 @@ mb as (select source, spec_id, i // per as batch from o where i < n // per * per
 
 @query("mixed_batches", _VIABLE + " select source, spec_id, batch from mb")
 def mixed_batches(spark, d):
-    return Z.mixed_batches(Z.viable_specs(_mixed(spark, d)))
+    # The SQL has whole blocks only.
+    return Z.mixed_batches(Z.viable_specs(_mixed(spark, d))).where("not short").drop("short")
 
 
 @query("collated_batches", _VIABLE + """,
@@ -533,11 +534,12 @@ select batch, count(*)::int as n, max(n_lines)::int as width, coalesce(any_value
 from k left join gc using (batch) group by batch""")
 def collated_batches(spark, d):
     recs = _mixed(spark, d)
-    planned = Z.mixed_batches(Z.viable_specs(recs))
+    # The SQL has whole blocks only, and of a batch the first part.
+    planned = Z.mixed_batches(Z.viable_specs(recs)).where("not short").drop("short")
     rows = recs.join(planned, ["source", "spec_id"]).select(
         "batch", F.col("impl_id").alias("ord"), "source", "spec_id", "status", "buggy_line_indices",
         F.transform("scorable_line_texts", lambda t: F.char_length(t)).alias("input_ids"))
-    out = Z.collate(rows, 16)
+    out = Z.collate(rows, 16).where("part = 0")
     return out.select("batch", "n", F.size(F.get("input_ids", F.lit(0))).alias("width"),
                       F.size("groups").alias("n_groups"), F.size("labelled_failing").alias("n_labelled"))
 

@@ -174,27 +174,28 @@ def mixed_batches(specs: DataFrame, n_trajectory: int = 2, n_pairs: int = 4, epo
     """Assign each viable spec to a batch of its epoch: ``n_trajectory`` and ``n_pairs`` specs each.
 
     One epoch is one shuffled pass over either pool; the shorter pool bounds
-    the batches both pools fill, and its next epoch is its next shuffle.
+    the batches both pools fill, and its next epoch is its next shuffle. Every spec of either pool has a
+    batch; the specs left over after the whole blocks of a pool form its last one, marked ``short``.
     """
     shuffled = specs.withColumn("_h", digest_unit(F.col("source"), F.col("spec_id"), F.lit(seed + 1000 * epoch)))
     placed = row_positions(shuffled, ["source"], ["_h", "spec_id"])
     per = F.when(F.col("source") == trajectory, n_trajectory).when(F.col("source") == pairs, n_pairs)
     full = F.floor(F.col("position_total") / per) * per
-    # A batch is cut from whole blocks only; the remainder waits for the next shuffle.
-    return placed.filter(F.col("position") < full).select(
-        "source", "spec_id", F.floor(F.col("position") / per).alias("batch"))
+    return placed.filter(per.isNotNull()).select(
+        "source", "spec_id", F.floor(F.col("position") / per).alias("batch"), (F.col("position") >= full).alias("short"))
 
 
 def collate(batch_rows: DataFrame, batch_size: int, pad: int = 0) -> DataFrame:
-    """One row per batch: padded ids, contrast groups and labelled failing members.
+    """One row per part of a batch: padded ids, contrast groups and labelled failing members.
 
     Rows need (batch, ord, source, spec_id, status, buggy_line_indices,
-    input_ids). A batch is cut to ``batch_size`` rows before it is gathered.
+    input_ids). A batch is cut into consecutive parts of ``batch_size`` rows, the last one shorter, before it is
+    gathered; every row is in one part, and indices count within it.
     """
-    placed = row_positions(batch_rows, ["batch"], ["ord"]).filter(F.col("position") < batch_size)
-    item = F.struct(F.col("position").cast("int").alias("i"), "source", "spec_id", "status", "input_ids",
+    placed = row_positions(batch_rows, ["batch"], ["ord"]).withColumn("part", F.floor(F.col("position") / batch_size))
+    item = F.struct((F.col("position") % batch_size).cast("int").alias("i"), "source", "spec_id", "status", "input_ids",
                     "buggy_line_indices")
-    rows = placed.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = placed.groupBy("batch", "part").agg(F.array_sort(F.collect_list(item)).alias("items"))
     width = F.array_max(F.transform("items", lambda x: F.size(x["input_ids"])))
     padded = let(width, lambda w: F.transform("items", lambda x: F.concat(
         x["input_ids"], F.array_repeat(F.lit(pad), w - F.size(x["input_ids"])))))
@@ -210,8 +211,8 @@ def collate(batch_rows: DataFrame, batch_size: int, pad: int = 0) -> DataFrame:
                       lambda g: g.isNotNull())
     broken = F.transform(F.filter("items", lambda x: (x["source"] == "sft_safe") & (x["status"] == "FAIL") & (
         F.size(x["buggy_line_indices"]) > 0)), lambda x: x["i"])
-    return rows.select("batch", F.size("items").alias("n"), padded.alias("input_ids"),
-                       groups.alias("groups"), broken.alias("labelled_failing"))
+    return rows.select("batch", "part", F.size("items").alias("n"), padded.alias("input_ids"),
+                       groups.alias("groups"), broken.alias("labelled_failing")).orderBy("batch", "part")
 
 
 def keep_counts(examples: DataFrame, kept: Column, by: str = "source") -> DataFrame:

@@ -281,6 +281,24 @@ def test_collate(spark):
     assert r["input_ids"] == [[1, 2, 0], [3, 0, 0], [4, 5, 6]] and r["groups"] == [[1, 0]] and r["labelled_failing"] == [2]
 
 
+def test_batches_keep_every_row(spark):
+    schema = "batch string, ord int, source string, spec_id string, status string, buggy_line_indices array<int>, input_ids array<int>"
+    rows = [("b", i, "system_trajectory", "s", "PASS" if i % 2 else "FAIL", [], [i] * (1 + i)) for i in range(7)] + [("c", 0, "sft_safe", "t", "FAIL", [0], [9])]
+    got = Z.collate(spark.createDataFrame(rows, schema), 3).collect()
+    assert [(r["batch"], r["part"], r["n"]) for r in got] == [("b", 0, 3), ("b", 1, 3), ("b", 2, 1), ("c", 0, 1)]
+    assert [x[0] for r in got for x in r["input_ids"]] == [0, 1, 2, 3, 4, 5, 6, 9]
+    assert [len(r["input_ids"][0]) for r in got] == [3, 6, 7, 1]
+    assert [r["groups"] for r in got] == [[[1, 0, 2]], [[0, 1]], [], []] and got[3]["labelled_failing"] == [0]
+    specs = spark.createDataFrame([("system_trajectory", f"s{i}") for i in range(5)] + [("sft_safe", f"t{i}") for i in range(6)], "source string, spec_id string")
+    plan = Z.mixed_batches(specs).collect()
+    assert len({(r["source"], r["spec_id"]) for r in plan}) == 11
+    sizes = {}
+    for r in plan:
+        sizes[r["source"], r["batch"], r["short"]] = sizes.get((r["source"], r["batch"], r["short"]), 0) + 1
+    assert sizes == {("system_trajectory", 0, False): 2, ("system_trajectory", 1, False): 2, ("system_trajectory", 2, True): 1,
+                     ("sft_safe", 0, False): 4, ("sft_safe", 1, True): 2}
+
+
 def test_tokenizer_and_surprisal(spark):
     ex = spark.createDataFrame([
         ("a", "s", "x", "FAIL", "spec  ", "let a;\n\nlet b;", [2]), ("b", "s", "x", "PASS", "", "// c", []),
