@@ -6,13 +6,16 @@ one piece of it stays whole, so exact piece hits (Aho-Corasick) miss nothing wit
 budget; each hit's surroundings are then verified with Myers' bit-parallel distance.
 
 The items are the stated query set: they are read in blocks of ``BLOCK_CHARS`` characters,
-and every block is laid against all documents. Items of fewer than ``LEAST_CHARS``
-characters say nothing about a document and are left out.
+and every block is laid against all documents. Items of fewer than ``LEAST_CHARS`` normalised
+characters have no budget at the usual rate; they must stand whole, between word boundaries (none are
+asked for in scripts written without blanks). Of these, formulas and items without any word are compared
+exactly with their symbols kept, each symbol a word of its own. Only items of blanks hold nothing to search.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,6 +28,9 @@ RATE = 0.05
 LEAST_CHARS = 20
 BLOCK_CHARS = 4_000_000
 _WORD = re.compile(r"\w+")
+_MARKED = re.compile(r"\w+|[^\w\s]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff"
+                       "\uff66-\uff9f\U00020000-\U0003ffff]")
 _HITS = "array<struct<item_id: bigint, distance: int, end: int>>"
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
 
@@ -33,6 +39,24 @@ def plain(text: str | None) -> str:
     return " ".join(_WORD.findall((text or "").lower()))
 
 
+def marked(text: str | None) -> str:
+    """Like ``plain``, with every symbol and mark as a word of its own."""
+    return " ".join(_MARKED.findall((text or "").lower()))
+
+
+def _formula(text: str) -> bool:
+    return any(c in "*/%\\" or unicodedata.category(c)[0] == "S" for c in text)
+
+
+def _bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word of a spaced script goes on across either end of ``text[start:end]``."""
+    def free(at: int) -> bool:
+        pair = text[at - 1:at + 1] if 0 < at < len(text) else ""
+        return len(pair) < 2 or " " in pair or _UNSPACED.search(pair) is not None
+
+    return free(start) and free(end)
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """The item cut into budget + 1 parts of nearly equal length, with their offsets."""
     cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
@@ -77,7 +101,8 @@ class Matcher:
             budget = int(len(text) * rate)
             for offset, piece in pieces(text, budget):
                 where.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, len(text), budget, masks(text)))
+            whole = budget == 0 and len(text) < LEAST_CHARS
+            self.items.append((item_id, len(text), budget, None if whole else masks(text)))
         for piece, at in where.items():
             self.automaton.add_word(piece, (len(piece), at))
         if where:
@@ -93,6 +118,10 @@ class Matcher:
             for item, offset in at:
                 _, m, budget, peq = self.items[item]
                 start = end + 1 - size - offset
+                if peq is None:
+                    if item not in best and _bounded(text, start, end + 1):
+                        best[item] = (0, end + 1)
+                    continue
                 # Starts closer than the budget fall into the same or the next window.
                 slot = start // (budget + 1)
                 if slot in seen.setdefault(item, set()):
@@ -105,29 +134,37 @@ class Matcher:
         return [{"item_id": self.items[i][0], "distance": d, "end": e} for i, (d, e) in sorted(best.items())]
 
 
-def _hits(items: list[tuple[int, str]], rate: float, text: Column) -> Column:
+def _hits(items: list[tuple[int, str, bool]], rate: float, text: Column) -> Column:
     @F.arrow_udf(_HITS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(items, rate)
+        words = Matcher([(i, t) for i, t, symbols in items if not symbols], rate)
+        formulas = Matcher([(i, t) for i, t, symbols in items if symbols], 0)
         for batch in batches:
-            yield pa.array([matcher.find(plain(t.as_py())) for t in batch], _ARROW)
+            hits = [words.find(plain(t.as_py())) for t in batch]
+            if formulas.items:
+                hits = [h + formulas.find(marked(t.as_py())) for h, t in zip(hits, batch)]
+            yield pa.array(hits, _ARROW)
 
     return run(text)
 
 
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items, in lists of about ``block_chars`` characters."""
+def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str, bool]]]:
+    """Normalised items and whether their symbols are kept, in lists of about ``block_chars`` characters."""
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = chars // block_chars + 1
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
-        texts = sorted((i, plain(t)) for i, t in part)
-        yield [(i, t) for i, t in texts if len(t) >= LEAST_CHARS]
+        texts = []
+        for i, t in part:
+            words = plain(t)
+            symbols = not words or (len(words) < LEAST_CHARS and _formula(t))
+            texts.append((i, marked(t) if symbols else words, symbols))
+        yield sorted(x for x in texts if x[1])
 
 
 def hits_column(items: DataFrame, text: Column, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> Column:
-    """Array of (item_id, distance, end in the normalised text) for every item found in the text."""
+    """Array of (item_id, distance, end in the normalised text, with symbols where the item's are kept) for every item found in the text."""
     parts = [_hits(block, rate, text) for block in item_blocks(items, block_chars)]
     return reduce(lambda a, b: F.concat(a, b), parts)
 

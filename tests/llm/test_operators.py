@@ -239,6 +239,18 @@ def test_benchmark_items(spark, empty):
     assert decontamination.decontaminated(empty, bench).count() == 0
 
 
+def test_short_benchmark_items(spark):
+    items = [(1, "中国的首都是哪里？"), (2, "수도는 어디?"), (3, "a+b=c"), (4, "∀∃ ≤"), (5, "Who am I?"), (6, " \n"), (7, "")]
+    texts = {"请回答中国的首都是哪里谢谢": "1", "中国的首都在哪里": "", "문제: 수도는 어디? 답": "2", "so a + b = c holds": "3", "a, b, c": "", "aa+b=c": "",
+             "x ∀ ∃≤y": "4", "∀∃": "", "asked: who AM i": "5", "who am into": "", "who am i" + " x" * 999 + " a+b=c": "3,5"}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(rows(list(texts)), SCHEMA)
+    got = decontamination.contaminated(df, bench).orderBy("doc_id").collect()
+    assert [r["items"] for r in got] == list(texts.values())
+    assert all(r["distance"] == (0 if r["items"] else None) for r in got)
+    assert decontamination.decontaminated(df, bench).count() == list(texts.values()).count("")
+
+
 def test_archives_and_salvage(spark):
     pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\x1f" + "x" * 9000), (None, "u", "z")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
