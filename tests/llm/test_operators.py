@@ -372,6 +372,34 @@ def test_kneser_ney(spark, empty):
     assert quality.classified(empty, labels).count() == 0
 
 
+def test_kneser_ney_tells_wide_characters_apart(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(0, 96 * 40, 7)]
+    text = lambda pool: "".join(rng.choice(pool) for _ in range(80)) + "“a”😀"
+    good = [text(han[:60]) for _ in range(40)]
+    moved = ["".join(chr(ord(c) + 96 * 50) if c in han else c for c in t) for t in good]
+    assert quality.codes_of(good[:1])[0].tolist() != quality.codes_of(moved[:1])[0].tolist()
+    model = quality.train(spark.createDataFrame([(t,) for t in good + ["plain words"]], "text string"))
+    df = spark.createDataFrame(list(enumerate(good + moved + [None, ""])), "i int, text string")
+    out = {r["i"]: (r["x"], r["y"]) for r in df.select("i", quality.log_likelihood(model, F.col("text")).alias("x"),
+                                                       quality.log_likelihood(model, F.col("text"), shard_rows=2000).alias("y")).collect()}
+    assert all(abs(x - y) < 1e-6 for x, y in out.values())
+    assert min(out[i][0] for i in range(40)) > max(out[40 + i][0] for i in range(40)) + 100
+    # Every distinct n-gram and context has its row, and probabilities over all code points sum to 1.
+    grams = {("\x01" * 4 + t)[i:i + 5] for t in good + ["plain words"] for i in range(len(t))}
+    t = model.toPandas()
+    for o in range(1, 6):
+        assert (t["kind"] == o).sum() == len({g[5 - o:] for g in grams}) == t[t["kind"] == o]["code"].nunique()
+        assert (t["kind"] == -o).sum() == len({g[5 - o:-1] for g in grams})
+    tables = {o: quality._Lookup(g["code"].to_numpy().astype(np.uint64), g["value"].to_numpy()) for o, g in t.groupby("kind")}
+    last = np.arange(0x110000, dtype=np.uint64)
+    for context in (good[0][:4], good[0][-4:], "n wo", han[-1] * 4):
+        chars = [np.full(len(last), ord(c), np.uint64) for c in context] + [last]
+        assert abs(quality._wide_probabilities(tables, chars).sum() - 1) < 1e-6
+
+
 def test_pipeline_stages_keep_columns(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
