@@ -56,6 +56,15 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         at, deep = deep, min(DEPTH, deep + 2 * BITS)
 
 
+def _sharded(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``rows`` with the columns h and bytes, each once, and depth, prefix, shard_bytes, oversized and shard of its leaf."""
+    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most DEPTH + 1 numbers
+    tries = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths)) if depths else F.expr("array(0)")))
+    tries = tries.withColumn("prefix", _prefix(F.col("h"), F.col("depth")))
+    out = tries.join(leaves.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), "oversized"), ["depth", "prefix"])
+    return out.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))))
+
+
 def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, bytes, shard, depth, shard_bytes, oversized) for every row of ``docs``.
 
@@ -64,15 +73,15 @@ def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
     """
     rows = settle(docs.select(F.col(key), place(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes")))
     leaves = settle(directory(rows.select("h", "bytes"), limit))
-    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())  # at most DEPTH + 1 numbers
-    tries = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths)) if depths else F.expr("array(0)")))
-    tries = tries.withColumn("prefix", _prefix(F.col("h"), F.col("depth")))
-    out = tries.join(leaves.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), "oversized"), ["depth", "prefix"])
-    bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
-    return out.select(key, "bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "oversized")
+    return _sharded(rows, leaves).select(key, "bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "oversized")
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
-    """The rows of ``docs`` in one folder per shard; keys must be unique. A shard fits one task."""
-    shards = assigned(docs, key, text, limit).select(key, "shard")
-    docs.join(shards, key).repartition("shard").write.partitionBy("shard").parquet(path)
+    """The rows of ``docs``, each once, in one folder per shard. Keys may be null or repeat. A shard fits one task;
+    an oversized one is spread over as many as it holds limits."""
+    rows = docs.select(F.struct("*").alias("row"), place(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"),
+                       F.monotonically_increasing_id().alias("n"))
+    leaves = settle(directory(settle(rows.select("h", "bytes")), limit))
+    parts = F.ceil(F.col("shard_bytes") / limit)
+    out = _sharded(rows, leaves).withColumn("salt", F.when(F.col("oversized"), F.pmod(F.xxhash64("n"), parts)).otherwise(F.lit(0)))
+    out.repartition("shard", "salt").select("row.*", "shard").write.partitionBy("shard").parquet(path)

@@ -336,6 +336,16 @@ def test_shards_fit(docs, empty):
     assert sharding.assigned(empty).count() == 0
 
 
+def test_shards_are_written_whole(spark, docs):
+    odd = docs.unionByName(spark.createDataFrame(rows(["hot " * 300] * 5, 0), SCHEMA).withColumn("doc_id", F.lit(7).cast("bigint")))
+    odd = odd.unionByName(spark.createDataFrame(rows([None, "no id"], 0), SCHEMA).withColumn("doc_id", F.lit(None).cast("bigint")))
+    path = shared_folder(spark, "shards")
+    sharding.write(odd, path, limit=2000)
+    back = spark.read.parquet(path)
+    count = lambda df: sorted(map(str, df.select(*odd.columns).collect()))
+    assert back.columns == [*odd.columns, "shard"] and count(back) == count(odd)
+
+
 def test_rollups(spark, docs):
     store = rollups.Store(spark, shared_folder(spark, "r"))
     feed = lambda *r: spark.createDataFrame(list(r), "op string, doc_id bigint, version string, source string, lang string, n_tokens bigint")
