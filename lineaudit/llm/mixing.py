@@ -82,7 +82,8 @@ def targets(sizes: DataFrame, curves=CURVES, most: int = MOST) -> DataFrame:
         turn = ordered.row_positions(rows, [], ["_none", "_name"], "_at")
         picks = F.array(*map(_curve, curves))
         rows = turn.withColumn("curve", F.get(picks, F.pmod(F.col("_at"), F.lit(len(curves))).cast("int"))).drop("_at", "_at_total")
-    rows = rows.withColumn("weight", F.coalesce(F.element_at("curve", -1)["area"], F.lit(0.0))).withColumn("cap", most * F.col("source_size"))
+    rows = rows.withColumn("weight", F.coalesce(F.element_at("curve", -1)["area"], F.lit(0.0)))
+    rows = rows.withColumn("cap", F.when(F.col("weight") > 0, most * F.col("source_size")).otherwise(0))
     rows = settle(rows.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(0.0)))
     # Water level: sources fill up in the order of cap / weight. The level is right from the first source on that it
     # does not fill; behind it, sources are counted as full that are not, and the level only falls.
