@@ -208,11 +208,15 @@ def separators(docs: DataFrame, n: int) -> list[bytes]:
 
 
 def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, mask, quality, toxic, n): documents per part, set of failed filters (bit 0 is A) and labels."""
+    """(part, mask, quality, toxic, n): documents per part, set of failed filters (bit 0 is A) and labels.
+
+    Texts move twice at any size: to their labels, which are hashed per partition so that texts need no sort, and, once
+    per task and distinct text, to their range.
+    """
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.col("quality").eqNullSafe(1)).alias("_quality"), F.max(F.col("toxic").eqNullSafe(1)).alias("_toxic"))
     cuts = separators(docs, splitter_count(docs))
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id", "left").select(
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text")).join(known.hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id", "part", F.coalesce("_quality", F.lit(False)).alias("quality"), F.coalesce("_toxic", F.lit(False)).alias("toxic"), "text")
     texts = rows.mapInArrow(_collapsed(cuts), f"range int, text binary, mask int, low bigint, tallies {_TALLIES}")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

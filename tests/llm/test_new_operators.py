@@ -231,7 +231,7 @@ def test_curves_decide_when_a_source_is_read(spark):
             seen = sum(p["words"] for p in passes if p["position"] < t)
             assert abs(seen / words - area(knots, t) / area(knots, 1)) < 0.002
     only = mixing.planned(docs_of(spark, rows), curves={"early": ((0.0, 1.0), (1.0, 1.0))}).groupBy("source").agg(F.sum("taken")).collect()
-    assert {tuple(r) for r in only} == {("early", 40000), ("late", 0)}
+    assert {tuple(r) for r in only} == {("early", 20000), ("late", 0)}
 
 
 def test_mixed_carries_rows_in_training_order(spark):
