@@ -5,13 +5,17 @@
   texts carry an informative Dirichlet prior (the feature's overall rate); features
   below ``Z_LEAST`` standard errors are left out. A token scores its best feature, or
   ``GAP`` without one.
-* One linear scan (all maximal scoring segments) yields every passage of a text.
+* One linear scan (all maximal scoring segments) yields every passage of a text. A text whose positive scores
+  together stay below the least score that counts is not scanned: it has no passage.
 * Under clean text the best of n tokens' segments follows an extreme-value law,
   P(S >= s) = 1 - exp(-K n exp(-lambda s)); lambda solves E[exp(lambda x)] = 1 over the
   token scores of clean texts, K is its maximum-likelihood value. Passages with an expected number of
   chance occurrences below ``E_MOST`` count; a text's evidence is the sum of -ln E over
   them, turned into a probability by logistic calibration.
 
+Features are counted where it can matter: those of toxic texts first, then, in all texts of the sample, the ones that
+enough toxic texts hold to pass at any count of the others.
+
 Labels are learned from a sample of ``LABELLED`` rows at most in expectation, chosen by
 digest of the id. Near copies within the sample (equal smallest shingle hash) count once.
 The calibration is cross-fitted: either half is scored by the log-odds of the other.
@@ -25,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,47 +62,86 @@ def features(word: str) -> set[str]:
     return {"=" + word} | {word[i:i + n] for n in range(3, 9) for i in range(len(word) - n + 1)}
 
 
-def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score), in one scan of the scores."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
-    total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        start, left, right = i, before, total
-        while stack:
-            j = len(stack) - 1
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end exclusive, score) in linear time.
+
+    A segment on the stack knows the last one below it whose left sum is smaller: the only one that a
+    later segment with a left sum no larger can still be joined to. Where none is smaller, everything on the
+    stack is complete.
+    """
+    scores = np.asarray(scores, float)
+    positive = np.flatnonzero(scores > 0)
+    sums = np.cumsum(scores)
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at the end, link
+    for i, right, before in zip(positive.tolist(), sums[positive].tolist(), np.concatenate(([0.0], sums))[positive].tolist()):
+        start, left, j = i, before, len(stack) - 1
+        while True:
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
                 break
-            start, left = stack[j][0], stack[j][2]
+            start, _, left, _, down = stack[j]
             del stack[j:]
-        stack.append((start, i + 1, left, right))
-    return [(a, b, r - lf) for a, b, lf, r in stack]
+            j = down
+        if j < 0:
+            done += [(x, y, r - lf) for x, y, lf, r, _ in stack]
+            stack.clear()
+        stack.append((start, i + 1, left, right, j))
+    return done + [(x, y, r - lf) for x, y, lf, r, _ in stack]
+
+
+class _Matcher:
+    """Finds which of a list of features a word has, in one pass over the word."""
+
+    def __init__(self, names: list[str]):
+        self.whole = {f[1:]: i for i, f in enumerate(names) if f[0] == "="}
+        self.parts = ahocorasick.Automaton()
+        for i, f in enumerate(names):
+            if f[0] != "=":
+                self.parts.add_word(f, i)
+        self.any = len(self.parts) > 0
+        if self.any:
+            self.parts.make_automaton()
+
+    def ids(self, word: str) -> list[int]:
+        found = [i for _, i in self.parts.iter(word)] if self.any else []
+        if word in self.whole:
+            found.append(self.whole[word])
+        return found
+
+
+class _Memo(dict):
+    """Values by word, forgotten when there are many."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __missing__(self, word):
+        if len(self) > _MEMO:
+            self.clear()
+        v = self[word] = self.value(word)
+        return v
 
 
 class _Scorer:
-    """Token scores of a text; remembers words while that stays small."""
+    """Token scores of a text; every distinct word is looked up once."""
 
     def __init__(self, odds: dict[str, float]):
-        self.odds, self.memo = odds, {}
+        matcher, values = _Matcher(list(odds)), list(odds.values())
+        self.memo = _Memo(lambda w: max((values[i] for i in matcher.ids(w)), default=GAP))
 
-    def word(self, w: str) -> float:
-        s = self.memo.get(w)
-        if s is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            s = self.memo[w] = max((self.odds[f] for f in features(w) if f in self.odds), default=GAP)
-        return s
+    def text(self, text: str | None) -> np.ndarray:
+        words = _WORD.findall((text or "").lower())
+        return np.fromiter(map(self.memo.__getitem__, words), float, len(words))
 
-    def text(self, text: str | None) -> list[float]:
-        return [self.word(w) for w in _WORD.findall((text or "").lower())]
 
-
-def _passages(model: Model, scores: list[float]) -> tuple[float, list[tuple[int, int, float]]]:
-    if not scores or max(scores) <= 0:
+def _passages(model: Model, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+    if not len(scores):
+        return 0.0, []
+    # No segment outweighs the sum of all positive scores.
+    least = (math.log(model.k * len(scores)) - math.log(E_MOST)) / model.scale
+    if scores[scores > 0].sum() < least - 1e-6:
         return 0.0, []
     found, evidence = [], 0.0
     for a, b, s in segments(scores):
@@ -118,13 +162,18 @@ def score_column(model: Model, text: Column) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(model.odds)
         for batch in texts:
-            out = []
+            scores, evidences, ends, passages = [], [], [0], []
             for t in batch:
                 evidence, found = _passages(model, scorer.text(t.as_py()))
-                out.append({"score": _probability(model, evidence), "evidence": evidence,
-                            "passages": [{"start": a, "end": b, "score": s} for a, b, s in found]})
-            yield pa.array(out, pa.struct([("score", pa.float64()), ("evidence", pa.float64()), ("passages", pa.list_(
-                pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))]))
+                scores.append(_probability(model, evidence))
+                evidences.append(evidence)
+                passages += found
+                ends.append(len(passages))
+            cols = zip(*passages) if passages else ([], [], [])
+            spans = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()))], ["start", "end", "score"])
+            yield pa.StructArray.from_arrays([
+                pa.array(scores, pa.float64()), pa.array(evidences, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)],
+                ["score", "evidence", "passages"])
 
     return run(text)
 
@@ -153,31 +202,75 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return base.join(F.broadcast(first), ["key", "doc_id"]).select("text", "toxic", F.pmod("key", F.lit(2)).cast("int").alias("half"))
 
 
-def _feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, n00, n01, n10, n11): texts that hold the feature, by half and label."""
-    names = ["n00", "n01", "n10", "n11"]
+_NAMES = ["n00", "n01", "n10", "n11"]
+
+
+def _odds(toxic, other, n0: int, n1: int, log, sqrt):
+    """(log-odds, z) of features held by ``toxic`` and ``other`` texts, with the prior PRIOR * overall rate on either side."""
+    prior = PRIOR * (other + toxic) / (n0 + n1)
+    hi, lo = toxic + prior, other + prior
+    odds = log(hi / (n1 + PRIOR - hi)) - log(lo / (n0 + PRIOR - lo))
+    return odds, odds / sqrt(1 / hi + 1 / lo)
+
+
+def _least_toxic(n0: int, n1: int) -> int:
+    """The smallest number of toxic texts with which a feature can pass ``Z_LEAST``, whatever the others hold."""
+    if not n0 or not n1:
+        return n1 + 1
+    other = np.arange(n0 + 1, dtype=float)
+    for t in range(3, n1 + 1):
+        odds, z = _odds(float(t), other, n0, n1, np.log, np.sqrt)
+        if ((z >= Z_LEAST - 1e-9) & (odds >= 1 - 1e-9)).any():
+            return t
+    return n1 + 1
+
 
+def _toxic_features(rows: DataFrame, n: list[int]) -> list[str]:
+    """The features that enough toxic texts hold to matter in the whole sample or in one half; the sample bounds their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in names]
+        counts, seen = (Counter(), Counter()), _Memo(features)
 
         def flush():
             found = list(set().union(*counts))
-            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(
-                pa.array([c[n] for n in found], pa.int64()) for c in counts)], ["feature", *names])
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[f] for f in found], pa.int64()) for c in counts)], ["feature", "n01", "n11"])
             for c in counts:
                 c.clear()
             return out
 
         for batch in batches:
-            for text, toxic, half in zip(*batch.columns):
+            for text, half in zip(batch.column(0), batch.column(1)):
                 words = set(_WORD.findall((text.as_py() or "").lower()))
-                counts[2 * half.as_py() + toxic.as_py()].update(set().union(*map(features, words)) if words else ())
+                counts[half.as_py()].update(set().union(*map(seen.__getitem__, words)))
                 if sum(map(len, counts)) > 1_000_000:
                     yield flush()
         yield flush()
 
-    parts = rows.select("text", "toxic", "half").mapInArrow(run, "feature string, n00 bigint, n01 bigint, n10 bigint, n11 bigint")
-    return parts.groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
+    parts = rows.where("toxic = 1").select("text", "half").mapInArrow(run, "feature string, n01 bigint, n11 bigint")
+    parts = parts.groupBy("feature").agg(F.sum("n01").alias("n01"), F.sum("n11").alias("n11"))
+    enough = ((F.col("n01") + F.col("n11") >= _least_toxic(n[0] + n[2], n[1] + n[3]))
+              | (F.col("n01") >= _least_toxic(n[0], n[1])) | (F.col("n11") >= _least_toxic(n[2], n[3])))
+    return [r["feature"] for r in parts.where(enough).select("feature").orderBy("feature").collect()]
+
+
+def _feature_counts(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """For each of ``names`` the texts that hold it, by half and label (columns n00, n01, n10, n11)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _Matcher(names)
+        memo = _Memo(lambda w: np.array(matcher.ids(w), np.int32))
+        counts = np.zeros((4, len(names)), np.int64)
+        for batch in batches:
+            for text, toxic, half in zip(*batch.columns):
+                words = set(_WORD.findall((text.as_py() or "").lower()))
+                if words:
+                    counts[2 * half.as_py() + toxic.as_py(), np.concatenate([memo[w] for w in words])] += 1  # once per feature
+        held = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *(pa.array(c[held]) for c in counts)], ["i", *_NAMES])
+
+    parts = rows.select("text", "toxic", "half").mapInArrow(run, "i bigint, " + ", ".join(f"{x} bigint" for x in _NAMES))
+    out = np.zeros((len(names), 4), np.int64)
+    found = parts.groupBy("i").agg(*(F.sum(x).alias(x) for x in _NAMES)).toArrow()  # one row per name
+    out[found.column("i").to_numpy()] = np.stack([found.column(x).to_numpy() for x in _NAMES], axis=1)
+    return out
 
 
 def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -201,16 +294,16 @@ def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a, b
 
 
-def _log_odds(counts: DataFrame, other: Column, toxic: Column, n0: int, n1: int) -> dict[str, float]:
-    """The strongest features, at most FEATURES; document frequencies with the prior PRIOR * overall rate on either side."""
-    if not n0 or not n1:
+def _log_odds(names: list[str], other: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> dict[str, float]:
+    """The strongest features, at most FEATURES, with their log-odds."""
+    if not n0 or not n1 or not names:
         return {}
-    prior = F.lit(PRIOR) * (other + toxic) / (n0 + n1)
-    hi, lo = toxic + prior, other + prior
-    odds = F.log(hi / (n1 + PRIOR - hi)) - F.log(lo / (n0 + PRIOR - lo))
-    kept = (counts.where(toxic >= 3).select("feature", odds.alias("odds"), (odds / F.sqrt(1 / hi + 1 / lo)).alias("z"))
-            .where((F.col("z") >= Z_LEAST) & (F.col("odds") >= 1)).orderBy(F.desc("z"), "feature").limit(FEATURES))
-    return {r["feature"]: r["odds"] for r in kept.select("feature", "odds").collect()}
+    some = np.flatnonzero(toxic >= 3)
+    odds, z = _odds(toxic[some].astype(float), other[some].astype(float), n0, n1, np.log, np.sqrt)
+    kept = np.flatnonzero((z >= Z_LEAST) & (odds >= 1))
+    # The names are sorted: equal z keep their order.
+    kept = kept[np.argsort(-z[kept], kind="stable")[:FEATURES]]
+    return {names[some[i]]: float(odds[i]) for i in kept}
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
@@ -220,14 +313,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
     n = [sizes.get(k, 0) for k in ((0, 0), (0, 1), (1, 0), (1, 1))]
     if not n[0] + n[2] or not n[1] + n[3]:
         return Model({})
-    counts = settle(_feature_counts(rows).where("n01 + n11 >= 3"))
-    c = [F.col(x) for x in ("n00", "n01", "n10", "n11")]
-    whole = _log_odds(counts, c[0] + c[2], c[1] + c[3], n[0] + n[2], n[1] + n[3])
+    names = _toxic_features(rows, n)
+    c = _feature_counts(rows, names).T
+    whole = _log_odds(names, c[0] + c[2], c[1] + c[3], n[0] + n[2], n[1] + n[3])
     scale, k = _extreme_values(rows.where("toxic = 0"), Model(whole))
     cells: Counter = Counter()
     for half in (0, 1):
         i = 2 * (1 - half)
-        model = Model(_log_odds(counts, c[i], c[i + 1], n[i], n[i + 1]), scale, k)
+        model = Model(_log_odds(names, c[i], c[i + 1], n[i], n[i + 1]), scale, k)
         value = F.round(F.log1p(score_column(model, F.col("text"))["evidence"]), 2)
         # Rounded values: a few hundred rows whatever the sample.
         for r in rows.where(F.col("half") == half).select(value.alias("x"), "toxic").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect():
@@ -242,8 +335,10 @@ def _extreme_values(clean: DataFrame, model: Model) -> tuple[float, float]:
         for batch in batches:
             for t in batch.column(0):
                 scores = scorer.text(t.as_py())
-                if scores:
-                    tokens.update(round(s, 1) for s in scores)
+                if len(scores):
+                    values, many = np.unique(np.round(scores, 1), return_counts=True)
+                    for x, c in zip(values.tolist(), many.tolist()):
+                        tokens[x] += c
                     top = max((s for _, _, s in segments(scores)), default=0.0)
                     tops[round(top, 1)] += len(scores)
                     tokens["texts"] += 1

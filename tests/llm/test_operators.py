@@ -1,8 +1,10 @@
 """Operators for training text against brute force, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +189,55 @@ def test_segments_equal_recursion():
         assert [(a, b) for a, b, _ in toxicity.segments(scores)] == best_segments(scores)
 
 
+def test_segments_are_linear_in_falling_and_long_scores():
+    rng = random.Random(1)
+    for _ in range(300):
+        scores = [rng.gauss(rng.choice([-0.8, -0.2]), 1.0) for _ in range(rng.randrange(60))]
+        assert [(a, b) for a, b, _ in toxicity.segments(scores)] == best_segments(scores)
+    for pattern in ([1.0] + [-0.3] * 5, [0.3, 0.4, -0.6], [1.0, -2.0, 0.5]):
+        start = time.time()
+        toxicity.segments(pattern * (1_000_000 // len(pattern)))
+        assert time.time() - start < 8
+
+
+def test_features_and_scores_equal_plain_counts(spark):
+    rng = random.Random(9)
+    vocabulary = [prose(rng, 1) for _ in range(60)] + ["vile", "vilest", "überfoul", "a_b"]
+    texts = [(" ".join(rng.choice(vocabulary[:60] if i % 5 else vocabulary) for _ in range(rng.randrange(1, 40))), int(i % 5 == 0), i % 2) for i in range(400)]
+    texts += [("", 1, 0), (None, 0, 1)]
+    rows = spark.createDataFrame(texts, "text string, toxic int, half int").repartition(3)
+    n = [sum(t == x and h == y for _, t, h in texts) for y in (0, 1) for x in (0, 1)]
+    held = [set().union(*[toxicity.features(w) for w in re.findall(r"\w+", (t or "").lower())] or [set()]) for t, _, _ in texts]
+    names = toxicity._toxic_features(rows, n)
+    counts = toxicity._feature_counts(rows, names)
+    every = sorted(set().union(*held))
+    plain = {f: [sum(f in s and t == x and h == y for s, (_, t, h) in zip(held, texts)) for y in (0, 1) for x in (0, 1)] for f in every}
+    assert {f: c.tolist() for f, c in zip(names, counts)} == {f: plain[f] for f in names}
+
+    def passing(other, toxic, n0, n1):
+        out = {}
+        for f in every:
+            o, t = other(plain[f]), toxic(plain[f])
+            prior = toxicity.PRIOR * (o + t) / (n0 + n1)
+            hi, lo = t + prior, o + prior
+            odds = math.log(hi / (n1 + toxicity.PRIOR - hi)) - math.log(lo / (n0 + toxicity.PRIOR - lo))
+            if t >= 3 and odds >= 1 and odds / math.sqrt(1 / hi + 1 / lo) >= toxicity.Z_LEAST:
+                out[f] = pytest.approx(odds)
+        return out
+    c = counts.T
+    whole = toxicity._log_odds(names, c[0] + c[2], c[1] + c[3], n[0] + n[2], n[1] + n[3])
+    assert whole and whole == passing(lambda p: p[0] + p[2], lambda p: p[1] + p[3], n[0] + n[2], n[1] + n[3])
+    assert toxicity._log_odds(names, c[2], c[3], n[2], n[3]) == passing(lambda p: p[2], lambda p: p[3], n[2], n[3])
+    model = toxicity.Model(whole, 0.7, 0.4)
+    got = rows.select("text", toxicity.score_column(model, F.col("text")).alias("s")).collect()
+    for r in got:
+        scores = [max((whole[f] for f in toxicity.features(w) if f in whole), default=toxicity.GAP) for w in re.findall(r"\w+", (r["text"] or "").lower())]
+        chances = [math.log(0.4 * len(scores)) - 0.7 * sum(scores[a:b]) for a, b in best_segments(scores)]
+        found = [-x for x in chances if x <= math.log(toxicity.E_MOST)]
+        assert r["s"]["evidence"] == pytest.approx(sum(found)) and len(r["s"]["passages"]) == len(found)
+        assert r["s"]["score"] == pytest.approx(1 / (1 + math.exp(3 - 0.5 * math.log1p(sum(found)))))
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(4)
     data, labels = [], []
