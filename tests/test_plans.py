@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,42 +201,67 @@ def test_diff_functions(spark):
         assert two == sorted(want)
 
 
-def test_nearest_by_brute_force(spark):
+POINT = "id long, x double, y double, energy double"
+
+
+def points_of(spark, pts):
+    return spark.createDataFrame([(i, float(x), float(y), float(i % 5)) for i, (x, y) in enumerate(pts)], POINT)
+
+
+@pytest.mark.parametrize("cell", [1, D.CELL])
+def test_nearest_by_brute_force(spark, cell):
+    """With the smallest cells (64 k points) the tree has several levels, else a single cell."""
     rng = np.random.default_rng(0)
-    pts = np.concatenate([rng.normal(0, 0.01, (300, 2)), rng.uniform(-3, 3, (100, 2)), np.zeros((20, 2))])
-    df = spark.createDataFrame([(i, float(x), float(y), float(i % 5)) for i, (x, y) in enumerate(pts)], "id long, x double, y double, energy double")
-    qs = rng.uniform(-3.2, 3.2, (40, 2))
+    pts = np.concatenate([rng.normal(0, 0.01, (1500, 2)), rng.uniform(-3, 3, (300, 2)), np.zeros((20, 2)), [[2.0, 2.0]] * 9])
+    df = points_of(spark, pts)
+    qs = np.concatenate([rng.uniform(-3.2, 3.2, (40, 2)), rng.normal(0, 0.01, (20, 2)), [[0.0, 0.0], [2.0, 2.0], [50.0, -50.0]]])
     q = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(qs)], "qid long, gx double, gy double")
+    t = D.tree(df, 6, cell=cell)
+    assert (len(t.levels) > 0) == (cell == 1)
+    assert t.points.groupBy("node").count().agg(F.max("count")).first()[0] <= max(cell, 64 * 6)
     got = {}
-    for r in D.nearest(df, q, 7, strips=20).collect():
-        got.setdefault(r["qid"], []).append((r["rank"], r["dist"]))
+    for r in D.among(t, q, 6).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["dist"], r["energy"]))
     for i, p in enumerate(qs):
-        want = np.sort(np.hypot(*(pts - p).T))[:7]
-        assert [d for _, d in sorted(got[i])] == pytest.approx(list(want), abs=1e-9)
+        d = np.hypot(*(pts - p).T)
+        want = sorted(zip(np.sqrt(((pts - p) ** 2).sum(1)), range(len(pts))))[:6]
+        assert [x for _, x, _ in sorted(got[i])] == pytest.approx(sorted(d)[:6], abs=1e-9)
+        assert [e for _, _, e in sorted(got[i])] == [j % 5 for _, j in want]
     all_pairs = np.sort(np.hypot(*(pts[:, None] - pts[None]).transpose(2, 0, 1)), axis=1)[:, 1:6]
-    h = D.bandwidth(df, D.leaves(df, 6)).first()["h"]
+    h = D.bandwidth(df, t).first()["h"]
     assert h == pytest.approx(1.2 * np.median(all_pairs))
 
 
 def test_nearest_of_few_points_and_none(spark):
     q = spark.createDataFrame([(0, 0.0, 0.0)], "qid long, gx double, gy double")
-    schema = "id long, x double, y double, energy double"
-    df = spark.createDataFrame([(1, 3.0, 4.0, 1.0), (2, None, 1.0, 1.0), (3, float("nan"), 1.0, 1.0)], schema)
+    df = spark.createDataFrame([(1, 3.0, 4.0, 1.0), (2, None, 1.0, 1.0), (3, float("nan"), 1.0, 1.0), (4, float("inf"), 0.0, 1.0)], POINT)
     assert [(r["rank"], r["dist"]) for r in D.nearest(df, q, 3).collect()] == [(1, 5.0)]
-    none = spark.createDataFrame([], schema)
+    none = spark.createDataFrame([], POINT)
     assert D.nearest(none, q, 3).count() == 0
-    assert D.bandwidth(none, D.leaves(none, 6)).first()["h"] == 0.1
+    assert D.bandwidth(none, D.tree(none, 6)).first()["h"] == 0.1
+
+
+def test_many_queries_of_one_cell_are_split(spark, monkeypatch):
+    monkeypatch.setattr(D, "QUERIES", 7)
+    pts = np.random.default_rng(4).normal(0, 1, (50, 2))
+    q = spark.createDataFrame([(f"q{i}", 0.01 * i, 0.0) for i in range(60)], "qid string, gx double, gy double")
+    got = {r["qid"]: r["dist"] for r in D.nearest(points_of(spark, pts), q, 1).collect()}
+    assert got == pytest.approx({f"q{i}": np.hypot(*(pts - [0.01 * i, 0.0]).T).min() for i in range(60)})
 
 
-def test_nearest_visits_few_points_of_a_cluster(spark):
+@pytest.mark.parametrize("n", [10_000, 40_000])
+def test_search_of_all_points_stays_in_proportion(spark, n):
+    """A cluster that holds nearly all points, and points in one place: cells a query meets in both rounds."""
     rng = np.random.default_rng(1)
-    n, grid, k = 20_000, 16, 5
-    pts = np.concatenate([rng.normal(0, 1e-6, (n - 4000, 2)), np.full((4000, 2), 1e-7), [[-3, -3], [3, 3]]])
-    df = spark.createDataFrame([(i, float(x), float(y), 0.0) for i, (x, y) in enumerate(pts)], "id long, x double, y double, energy double")
-    cells = D.grid_cells(D.bounds(df), grid).select("qid", "gx", "gy")
-    placed = D.leaves(df, k)
-    met = placed.groupBy("leaf").count().join(D.visits(placed, cells, k), "leaf").agg(F.sum("count")).first()[0]
-    assert met < 20 * k * grid * grid, met
+    pts = np.concatenate([rng.normal(0, 1e-6, (n - n // 5 - 2, 2)), np.full((n // 5, 2), 1e-7), [[-3, -3], [3, 3]]])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": pts[:, 0], "y": pts[:, 1], "energy": 0.0}))
+    t, k = D.tree(df, 6, cell=512), 6
+    places = t.points.select(F.col("id").alias("qid"), F.col("x").alias("gx"), F.col("y").alias("gy"))
+    home = D._searched(t, D.homes(t, places, k).withColumn("reach", F.lit(float("inf"))), k)
+    met = D.crossed(t, home.select("qid", "gx", "gy", F.element_at("near", -1)["dist"].alias("reach"))).count()
+    # Rows that the two rounds deal to cells: each point once, and again for the few cells its reach crosses.
+    assert met < 4 * n and t.points.groupBy("node").count().agg(F.max("count")).first()[0] <= 512
+    assert D.bandwidth(df, t).first()["h"] > 0
 
 
 def test_field_tools(spark):
