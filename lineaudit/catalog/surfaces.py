@@ -20,6 +20,7 @@ from lineaudit.plans.lines import explode_records, implode_records
 from lineaudit.plans.ordered import order_statistics
 from lineaudit.sources import sinks as W
 from lineaudit.sources.records import last_per_key
+from lineaudit.session import scratch
 
 QUERIES, ORACLE = {}, {}
 
@@ -259,14 +260,24 @@ def imploded_records(spark, d):
 
 
 @query("payload_files", f"""with {bridge.sql_scored('random')}
-select impl_id, replace(replace(impl_id, '/', '__'), chr(92), '__') || '.json' as file_name, count(*) as n_lines from scored group by impl_id""")
+select impl_id, spec_id, status, replace(replace(impl_id, '/', '__'), chr(92), '__') || '.json' as file_name, count(*) as n_lines,
+  sha256(string_agg(sent_idx || ':' || buggy || ':' || line_text, chr(10) order by sent_idx)) as lines_sha256,
+  round(sum(energy), 6) as energy, round(max(energy), 6) as whole from scored group by impl_id, spec_id, status""")
 def payload_files(spark, d):
+    """Written to files and read back from them."""
     recs = bridge.records(spark, d, "random")
-    lines = D.line_points(recs)
     impls = recs.select("impl_id", "spec_id", "status", "whole_impl_energy")
-    out = W.impl_payloads(impls, lines)
-    n = F.size(F.from_json("payload", "lines array<struct<line_idx:int>>")["lines"]).cast("long")
-    return out.select("impl_id", "file_name", n.alias("n_lines"))
+    folder = scratch(spark, "payloads")
+    W.write_payloads(W.impl_payloads(impls, D.line_points(recs)), folder)
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.from_json(F.decode("content", "UTF-8"), """
+        impl struct<impl_id: string, spec_id: string, status: string, whole_impl_energy: double>,
+        lines array<struct<line_idx: int, line_text: string, energy: double, is_buggy: boolean>>""").alias("p"))
+    text = F.array_join(F.transform("p.lines", lambda x: F.concat_ws(":", x["line_idx"], x["is_buggy"], x["line_text"])), "\n")
+    out = files.select("p.impl.impl_id", "p.impl.spec_id", "p.impl.status", "file_name", F.size("p.lines").cast("long").alias("n_lines"),
+                       F.sha2(text, 256).alias("lines_sha256"), F.aggregate("p.lines.energy", F.lit(0.0), lambda a, x: a + x).alias("energy"),
+                       F.col("p.impl.whole_impl_energy").alias("whole"))
+    return r6(out, "energy", "whole")
 
 
 @query("csv_numbers", """

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lineaudit.functions import text as T
 from lineaudit.functions.binding import let
-from lineaudit.plans.ordered import order_statistics, row_positions, running_sums
+from lineaudit.plans.ordered import order_statistics, row_positions, with_buckets
+from lineaudit.session import stable
 
 
 # -- draws -----------------------------------------------------------------------------
@@ -71,30 +77,100 @@ def poisson_weights(key: Column, iters: int, seed: int) -> Column:
         digest_unit(key, r, F.lit(seed)), count))
 
 
+#: Numbers a task holds before it passes its sums on.
+_HELD = 4_000_000
+
+
+def weighted_sums(rows: DataFrame, keys: list[str], parts: list[str], weights: str, iters: int) -> DataFrame:
+    """Sums of part * weight per key and resample: ``keys`` and, for each of ``parts``, an array with one sum per resample.
+
+    Arrays are added element by element where the rows are, so a row is never repeated per resample. A key has one
+    row per task, or several if a task meets more keys than fit its memory.
+    """
+    fields = {f.name: f for f in rows.schema.fields}
+    sums = T_.ArrayType(T_.DoubleType())
+    schema = T_.StructType([*(T_.StructField(k, fields[k].dataType) for k in keys), *(T_.StructField(p, sums) for p in parts)])
+    arrow = [to_arrow_type(fields[k].dataType) for k in keys]
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            cols = list(zip(*held)) if keys else []
+            table = np.stack(list(held.values()))
+            flat = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(held) + 1) * iters, iters), pa.int32()), pa.array(table[:, i].ravel())) for i in range(len(parts))]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, arrow)), *flat], names=[*keys, *parts])
+
+        for chunk in chunks:
+            if not chunk.num_rows:
+                continue
+            w = chunk.column(weights).flatten().to_numpy().reshape(-1, iters)
+            values = np.stack([chunk.column(p).to_numpy(zero_copy_only=False).astype(float) for p in parts], axis=1)
+            named = zip(*(chunk.column(k).to_pylist() for k in keys)) if keys else [()] * chunk.num_rows
+            for i, key in enumerate(named):
+                total = held.get(key)
+                if total is None:
+                    if (len(held) + 1) * len(parts) * iters > _HELD and held:
+                        yield out()
+                        held.clear()
+                    total = held[key] = np.zeros((len(parts), iters))
+                total += values[i][:, None] * w[i]
+        if held:
+            yield out()
+
+    return rows.select(*keys, *parts, weights).mapInArrow(run, schema)
+
+
 def bootstrap_means(rows: DataFrame, value: str, key: str, by: list[str], iters: int, seed: int = 0) -> DataFrame:
     """Resampled means of ``value`` (by, rep, mean); equal values share nothing but their group."""
-    draws = rows.select(*by, F.col(value).cast("double").alias("_v"),
-                        F.posexplode(poisson_weights(F.col(key), iters, seed)).alias("rep", "_w"))
-    return draws.groupBy(*by, "rep").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"))
+    base = rows.select(*by, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"), F.lit(1.0).alias("_one"),
+                       poisson_weights(F.col(key), iters, seed).cast("array<tinyint>").alias("_w"))
+    sums = weighted_sums(base, by, ["_v", "_one"], "_w", iters)
+    # One row per task and group by now.
+    each = sums.select(*by, F.posexplode(F.arrays_zip("_v", "_one")).alias("rep", "_s"))
+    return each.groupBy(*by, "rep").agg(F.try_divide(F.sum("_s._v"), F.sum("_s._one")).alias("mean"))
 
 
 def bootstrap_auroc(rows: DataFrame, scores: list[str], positive: Column, key: str, by: list[str], iters: int,
                     seed: int = 0) -> DataFrame:
-    """Resampled AUROC of each score, all scores of a row resampled together.
+    """Resampled AUROC of each score, all scores of a row resampled together (by, score, rep, auc).
 
-    Drawn records are counted per resample and distinct score on the map side;
-    each resample is then one group of the bucketed running sums.
+    The order of the scores is cut into buckets once, for all resamples. Tasks add the weight arrays of equal scores;
+    a bucket then runs over its distinct scores with arrays, and buckets follow each other by their totals. A missing
+    score ranks below all others. Resamples without both classes have no area.
     """
-    base = rows.withColumn("_y", positive).filter("_y IS NOT NULL").select(
-        *by, F.col("_y").cast("int").alias("_y"), poisson_weights(F.col(key), iters, seed).alias("_w"),
-        F.inline(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("_s")) for s in scores])))
-    long = base.select(*by, "score", "_s", "_y", F.posexplode("_w").alias("rep", "_c")).filter("_c > 0")
-    keys = [*by, "score", "rep"]
-    cells = long.groupBy(*keys, "_s").agg(
-        F.sum(F.col("_c") * F.col("_y")).alias("p"), F.sum(F.col("_c") * (1 - F.col("_y"))).alias("n"))
-    run = running_sums(cells, keys, ["_s"], {"_below": "n", "_pbelow": "p"})
-    wins = F.sum(F.col("p") * (F.col("_below") + F.col("n") * 0.5))
-    return run.groupBy(*keys).agg(F.try_divide(wins, F.max("_below_total") * F.max("_pbelow_total")).alias("auc"))
+    narrow = stable(rows.withColumn("_y", positive).filter("_y IS NOT NULL").select(
+        *by, F.col("_y").cast("double").alias("p"), (1.0 - F.col("_y").cast("double")).alias("n"), F.col(key).alias("_key"),
+        *[F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)]))
+    pairs = F.inline(F.array(*[F.struct(F.lit(s).alias("score"), F.col(f"_s{i}").alias("_s")) for i, s in enumerate(scores)]))
+    drawn = narrow.select(*by, "p", "n", poisson_weights(F.col("_key"), iters, seed).cast("array<tinyint>").alias("_w"), *[f"_s{i}" for i in range(len(scores))])
+    keys = [*by, "score"]
+    cut = with_buckets(drawn.select(*by, "p", "n", "_w", pairs), keys, ["_s"], sample_from=narrow.select(*by, "_key", pairs))
+    cells = weighted_sums(cut, [*keys, "_bucket", "_s"], ["p", "n"], "_w", iters)
+    kept = [f for f in cells.schema.fields if f.name in keys]
+    totals = [T_.StructField(c, T_.ArrayType(T_.DoubleType())) for c in ("p", "n", "wins")]
+    types = [to_arrow_type(f.dataType) for f in kept]
+
+    def scan(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        s, missing = table.column("_s").to_numpy(), table.column("_s").is_null().to_numpy()
+        p, n = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, iters) for c in ("p", "n"))
+        order = np.lexsort((s, ~missing))
+        s, missing, p, n = s[order], missing[order], p[order], n[order]
+        # Rows of one score, from several tasks, count as one: they tie.
+        new = np.concatenate([[True], ((s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))) | (missing[1:] != missing[:-1])])
+        p, n = np.add.reduceat(p, np.flatnonzero(new)), np.add.reduceat(n, np.flatnonzero(new))
+        wins = (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+        named = {f.name: pa.array([v.as_py()], t) for f, t, v in zip(kept, types, group)}
+        return pa.table({**named, "_bucket": pa.array([group[len(kept)].as_py()], pa.int32()), "p": pa.array([p.sum(axis=0)]), "n": pa.array([n.sum(axis=0)]), "wins": pa.array([wins])})
+
+    buckets = cells.groupBy(*keys, "_bucket").applyInArrow(scan, T_.StructType([*kept, T_.StructField("_bucket", T_.IntegerType()), *totals]))
+    # One row per bucket and group from here on; arrays become rows only now.
+    each = buckets.select(*keys, "_bucket", F.posexplode(F.arrays_zip("p", "n", "wins")).alias("rep", "_t"))
+    before = Window.partitionBy(*keys, "rep").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.select(*keys, "rep", "_t.*", (F.sum("_t.n").over(before) - F.col("_t.n")).alias("_below"))
+    return placed.groupBy(*keys, "rep").agg(F.try_divide(
+        F.sum(F.col("wins") + F.col("p") * F.col("_below")), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def index_interval(samples: DataFrame, value: str, by: list[str]) -> DataFrame:

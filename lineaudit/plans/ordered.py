@@ -23,14 +23,18 @@ def splitter_count(df: DataFrame) -> int:
     return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_buckets(df: DataFrame, by: list[str], order: list[str], n: int | None = None) -> DataFrame:
-    """Add ``_bucket``: non-decreasing along (by, order), balanced, at most n+1 values."""
+def with_buckets(df: DataFrame, by: list[str], order: list[str], n: int | None = None, sample_from: DataFrame | None = None) -> DataFrame:
+    """Add ``_bucket``: non-decreasing along (by, order), balanced, at most n+1 values.
+
+    Splitters may be drawn from ``sample_from``, rows with the same keys that are cheaper to compute.
+    """
     n = n or splitter_count(df)
     stride = max(1, int(n ** 0.5))
     keys = by + order
     # Hash every column, not just the keys: both branches then need the same
     # input and the exchange below them is computed once and reused.
-    sample = df.orderBy(F.xxhash64(*df.columns), *keys).limit(n)
+    drawn = df if sample_from is None else sample_from
+    sample = drawn.orderBy(F.xxhash64(*drawn.columns), *keys).limit(n)
     key = F.struct(*[F.col(c) for c in keys])
     splitters = sample.agg(F.sort_array(F.collect_list(key)).alias("_splitters"))
     heads = F.filter("_splitters", lambda s, i: i % stride == 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> bool:
     return bool(named)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    if not ensure_checkpoint_dir(spark):
+        raise ValueError("spark.checkpoint.dir names no folder")
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back from the shared folder.
 

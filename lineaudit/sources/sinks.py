@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineaudit.functions import text as T
 from lineaudit.functions.binding import let
+from lineaudit.sources import named_files
 
 RECORD_COLUMNS = (
     "impl_id", "spec_id", "source", "source_file", "test_name", "status", "whole_impl_energy",
@@ -98,19 +95,10 @@ def impl_payloads(impls: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def write_payloads(payloads: DataFrame, folder: str) -> DataFrame:
-    """Write the files under ``folder`` (shared by all workers); returns the manifest."""
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            for name, payload in zip(pdf["file_name"], pdf["payload"]):
-                # Written aside and renamed, so a retried task leaves whole files.
-                part = os.path.join(folder, f".{name}.{os.getpid()}")
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(payload)
-                os.replace(part, os.path.join(folder, name))
-            yield pdf[["impl_id", "file_name"]]
-
-    return payloads.mapInPandas(put, "impl_id string, file_name string")
+    """Write the files under ``folder``; returns the manifest (impl_id, file_name). File names are unique."""
+    named_files.register(payloads.sparkSession)
+    payloads.select("file_name", "payload").write.format("named_files").mode("append").save(folder)
+    return payloads.select("impl_id", "file_name")
 
 
 def light_projection(points: DataFrame, scope: str) -> DataFrame:

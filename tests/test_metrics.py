@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import statistics
@@ -201,3 +202,41 @@ def test_one_ranking_gives_the_hits_of_every_k(spark):
     got = df.select(G.hits_at((1, 2, 3)).alias("h"), *[G.row_hits(df, k).alias(f"h{k}") for k in (1, 2, 3)]).collect()
     assert [r["h"] for r in got] == [[0, 0, 1], [1, 1, 1], None, None]
     assert all(r["h"] == (None if r["h1"] is None else [r["h1"], r["h2"], r["h3"]]) for r in got)
+
+
+def test_resampled_areas_and_means_by_plain_counts(spark, monkeypatch):
+    """Ties, missing and not-a-number scores, a null group, a group of one class; small tables make tasks pass on often."""
+    from lineaudit.operators import sampling as Z
+    rng = random.Random(11)
+    rows = [(f"k{i}", rng.choice(["a", None]), rng.choice([0.5, 0.5, 1.0, 2.0, None, float("nan"), rng.random()]), rng.random(), rng.choice(["FAIL", "PASS", "UNKNOWN"]))
+            for i in range(150)] + [("z1", "one", 1.0, 1.0, "PASS")]
+    df = spark.createDataFrame(rows, "id string, g string, a double, b double, status string").repartition(3)
+    iters = 7
+    cuts = Z.poisson_cuts()
+
+    def weight(key, r):
+        u = int(hashlib.sha1(f"{key}|{r}|0".encode()).hexdigest()[:8], 16) / 2 ** 32
+        return sum(u >= q for q in cuts)
+
+    def place(x):
+        return (0, 0) if x is None else (2, 0) if math.isnan(x) else (1, x)
+
+    def area(items):
+        wins = sum(w * v * (1 if x > z else 0.5 if x == z else 0) for x, w, y in items if y for z, v, t in items if not t)
+        pos, neg = sum(w for _, w, y in items if y), sum(w for _, w, y in items if not y)
+        return wins / (pos * neg) if pos * neg else None
+    for held in (Z._HELD, 30):
+        monkeypatch.setattr(Z, "_HELD", held)
+        got = {(r["g"], r["score"], r["rep"]): r["auc"] for r in Z.bootstrap_auroc(df, ["a", "b"], M.fail_label(), "id", ["g"], iters).collect()}
+        for g in ("a", None, "one"):
+            for r in range(iters):
+                for name, at in (("a", 2), ("b", 3)):
+                    want = area([(place(x[at]), weight(x[0], r), x[4] == "FAIL") for x in rows if x[1] == g and x[4] != "UNKNOWN"])
+                    assert got[g, name, r] == (want if want is None else pytest.approx(want))
+        means = {(r["g"], r["rep"]): r["mean"] for r in Z.bootstrap_means(df.where("b > 0.1"), "b", "id", ["g"], iters).collect()}
+        for (g, r), m in means.items():
+            own = [(x[3], weight(x[0], r)) for x in rows if x[1] == g and x[3] > 0.1]
+            total = sum(w for _, w in own)
+            assert m == (pytest.approx(sum(v * w for v, w in own) / total) if total else None)
+        assert len(means) == 3 * iters
+    assert Z.bootstrap_auroc(df.limit(0), ["a"], M.fail_label(), "id", [], 3).count() == 0

@@ -170,3 +170,33 @@ def test_key_census_reads_all_rows_unless_told(spark, tmp_path):
     path = write(tmp_path / "k.jsonl", [{"x": 1}] * 150)
     assert [r["n"] for r in R.key_census(spark, path).collect()] == [150]
     assert [r["n"] for r in R.key_census(spark, path, 100).collect()] == [100]
+
+
+def test_named_files_of_a_repeated_task_and_a_failed_job(spark, tmp_path):
+    """A task that fails half-way and runs again leaves each file once; a job that fails leaves none."""
+    from lineaudit.sources import named_files
+    folder = tmp_path / "files"
+    payloads = {f"f{i}.json": "".join(f"ä{i} " for _ in range(i)) for i in range(40)}
+
+    rows = spark.createDataFrame([(k, v, 1) for k, v in payloads.items()], "file_name string, payload string, other int").repartition(3)
+    named_files.register(spark)
+    writer = named_files._Writer(str(folder), False)
+    parts = [[r for i, r in enumerate(rows.collect()) if i % 3 == p] for p in range(3)]
+
+    def broken(rows):
+        yield from rows[:5]
+        raise RuntimeError("a lost task")
+    with pytest.raises(RuntimeError):
+        writer.write(broken(parts[1]))
+    first, again, other, third = writer.write(iter(parts[0])), writer.write(iter(parts[0])), writer.write(iter(parts[1])), writer.write(iter(parts[2]))
+    assert first.attempt != again.attempt and sorted(p.name for p in folder.iterdir()) == ["_staging"]
+    writer.commit([again, other, third])
+    assert {p.name: p.read_text("utf-8") for p in folder.iterdir()} == payloads
+
+    with pytest.raises(Exception, match="not a file name"):
+        spark.createDataFrame([("a", "x"), ("../b", "y")], "file_name string, payload string").write.format("named_files").mode("append").save(str(folder))
+    assert {p.name for p in folder.iterdir()} == set(payloads)
+    spark.createDataFrame([("a", None)], "file_name string, payload string").write.format("named_files").mode("append").save(folder.as_uri())
+    assert (folder / "a").read_bytes() == b"" and len(list(folder.iterdir())) == 41
+    rows.write.format("named_files").mode("overwrite").save(str(folder))
+    assert {p.name: p.read_text("utf-8") for p in folder.iterdir()} == payloads
