@@ -13,6 +13,7 @@ from lineaudit.functions.binding import let
 from lineaudit.plans.emit import filter_map
 from lineaudit.plans.ordered import row_positions
 from lineaudit.session import stable
+from lineaudit.sources.arrays import read_arrays
 from lineaudit.sources.records import with_file_order
 
 # The label limit, the macro a corpus file must open, tags and id prefixes of the corpora.
@@ -53,16 +54,11 @@ def parse_trajectories(raw: DataFrame) -> DataFrame:
 def read_repair_pairs(spark: SparkSession, path, tolerate_truncation: bool = False) -> DataFrame:
     """Broken/fixed pairs from a JSON array (or from JSON lines).
 
-    A whole array parses in one task per file, so large corpora are best
-    re-written once as JSON lines or parquet. The tolerant reader streams the
-    elements of each file and stops quietly where a cut-off file ends.
+    The strict reader parses a whole array in one task per file. The tolerant one reads a file by ranges of
+    bytes in many tasks and stops quietly where a cut-off file ends.
     """
     if tolerate_truncation:
-        from lineaudit.sources.arrays import register
-        register(spark)
-        raw = spark.read.format("json_array").option("paths", path).schema(
-            schemas.REPAIR_PAIR + ", _path string, _pos long").load()
-        return parse_repair_pairs(raw, ["_path", "_pos"])
+        return parse_repair_pairs(read_arrays(spark, path, schemas.REPAIR_PAIR), ["_path", "_pos"])
     raw = with_file_order(spark.read.schema(schemas.REPAIR_PAIR).option("multiLine", True).json(path))
     return parse_repair_pairs(raw, ["_file_order"])
 

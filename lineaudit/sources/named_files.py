@@ -18,12 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder given as URI or absolute path; ``file:`` may have one slash or three."""
-    if folder.startswith("file:"):
-        folder = "/" + folder[5:].lstrip("/")
-    return fs.FileSystem.from_uri(folder)
+from lineaudit.sources.files import opened
 
 
 @dataclass
@@ -41,7 +36,7 @@ class _Writer(DataSourceWriter):
         return f"{root}/_staging/{self.job}"
 
     def write(self, rows: Iterator[Row]) -> Written:
-        system, root = _opened(self.folder)
+        system, root = opened(self.folder)
         attempt, n = uuid.uuid4().hex, 0
         place = f"{self._staging(root)}/{attempt}"
         system.create_dir(place)
@@ -55,7 +50,7 @@ class _Writer(DataSourceWriter):
         return Written(attempt, n)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = _opened(self.folder)
+        system, root = opened(self.folder)
         if self.overwrite:
             for info in system.get_file_info(fs.FileSelector(root)):
                 if info.type == fs.FileType.File:
@@ -70,7 +65,7 @@ class _Writer(DataSourceWriter):
         self._clear(system, root)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*_opened(self.folder))
+        self._clear(*opened(self.folder))
 
     def _clear(self, system: fs.FileSystem, root: str) -> None:
         if system.get_file_info(self._staging(root)).type != fs.FileType.NotFound:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 
 from lineaudit.operators import corpus as C
 from lineaudit.sources import corpora as K
@@ -78,6 +80,26 @@ def test_elements_across_chunks(tmp_path, monkeypatch):
     assert list(elements(str(p))) == items
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_arrays_by_ranges_equal_the_sequential_reader(spark, tmp_path, monkeypatch, size):
+    """Odd escapes, brackets in strings, wide characters, all ways to cut a file off, ranges down to one byte."""
+    import lineaudit.sources.arrays as arr
+    monkeypatch.setattr(arr, "_CHUNK", 16)
+    items = [{"input": 'a]},{[ " \\', "output": 'x\\\\" ['}, {"input": "", "output": None}, {"input": "\\" * 9 + '"', "status": "é😀"}, {},
+             {"input": "n" * 50, "more": [{"deep": ["]", {"k": "[,"}]}]}, {"output": "last, one"}]
+    text = json.dumps(items)
+    wide = json.dumps(items, indent=1, ensure_ascii=False)
+    cuts = [text, wide, "[]", "[ ]\n", "[", text[:-1], text[:-2], wide[:-2], text[:60], text[:151]] + ([text[:i] for i in range(20, 60, 3)] if size == 7 else [])
+    for i, t in enumerate(cuts):
+        (tmp_path / f"c{i:03d}.json").write_text(t, encoding="utf-8")
+    (tmp_path / "empty.json").write_text("")
+    got = {}
+    for r in arr.read_arrays(spark, str(tmp_path), "input string, output string, status string", size).orderBy("_path", "_pos").collect():
+        got.setdefault(r["_path"].rsplit("/", 1)[1], []).append((r["input"], r["output"], r["status"]))
+    for p in sorted(tmp_path.iterdir()):
+        assert got.get(p.name, []) == [tuple(x.get(c) for c in ("input", "output", "status")) for x in elements(str(p))], p.read_text()
+
+
 FILE = """
 test_verify_one_file! {
     #[test] foo_fails verus_code! {
