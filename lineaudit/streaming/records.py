@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lineaudit import schemas
 from lineaudit.functions import ranking as R
 from lineaudit.functions import status as ST
+from lineaudit.sources.records import last_per_key
 
 
 def read_stream(spark: SparkSession, path: str, dialect=ST.verbatim, files_per_trigger: int = 1000) -> DataFrame:
@@ -37,3 +39,50 @@ def append_json(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def each_batch(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+# -- the last record of each key ------------------------------------------------------------------
+
+def latest_updates(rows: DataFrame, key: str, order: str, time: str, delay: str) -> DataFrame:
+    """Of every micro-batch the rows that are the last of their key so far, by ``order``; at most one per key.
+
+    State is one order value per key, kept until the watermark (``delay`` behind the latest ``time``) has passed the
+    key's last row. Repeated rows and rows out of order but within the delay change nothing or take their place; rows
+    that come later than the delay are dropped by the watermark. Rows without key, order or time have no place.
+    """
+    def newest(_, chunks, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, until = state.get if state.exists else (None, 0)
+        found = None
+        for pdf in chunks:
+            at = pdf[order].argmax()
+            until = max(until, int(pdf["_ms"].max()))
+            if best is None or pdf[order].iloc[at] > best:
+                best, found = pdf[order].iloc[at].item(), pdf.iloc[at:at + 1]
+        state.update((best, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + 1)
+        if found is not None:
+            yield found.drop(columns="_ms")
+
+    known = rows.filter(F.col(key).isNotNull() & F.col(order).isNotNull() & F.col(time).isNotNull())
+    timed = known.withWatermark(time, delay).withColumn("_ms", F.unix_millis(time))
+    kind = rows.schema[order].dataType.simpleString()
+    return timed.groupBy(key).applyInPandasWithState(
+        newest, rows.schema, f"best {kind}, until bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch to a folder of its own that a repeated batch replaces, so that a restart leaves every batch once."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    return (rows.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_latest(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """One row per key from what ``upsert`` has written so far."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return last_per_key(rows, key, F.struct(order, "batch")).drop("batch")

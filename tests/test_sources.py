@@ -1,6 +1,9 @@
+import datetime
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 
 from lineaudit.operators import corpus as C
@@ -171,6 +174,51 @@ def test_stream(spark, tmp_path):
     assert SR.running_recall(R.read_records(spark, str(src)), (1,)).first()["recall"] == 1.0
 
 
+EVENT = "id string, n bigint, at timestamp, extra array<double>"
+
+
+def test_stream_of_last_records_survives_a_failed_batch(spark, tmp_path):
+    """Late, repeated and null rows over several micro-batches; one batch fails after it has written, and is run again."""
+    rng = random.Random(2)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", "c", "d"]), i, start + datetime.timedelta(minutes=i + rng.randrange(-20, 20)), [float(i)]) for i in range(60)]
+    rows = rows[:20] + rows[5:10] + rows[30:45] + rows[20:30] + rows[45:] + [(None, 99, start, None), ("a", None, start, None), rows[50]]
+    src, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    src.mkdir()
+    batches = [rows[i:i + 16] for i in range(0, len(rows), 16)]
+
+    def stream():
+        raw = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(str(src))
+        return SR.latest_updates(raw, "id", "n", "at", "2 hours")
+
+    def add(i):
+        (src / f"{i}.json").write_text("".join(json.dumps({"id": a, "n": n, "at": t.isoformat(), "extra": x}) + "\n" for a, n, t, x in batches[i]))
+    for i in (0, 1):
+        add(i)
+    SR.upsert(stream(), out, marks).awaitTermination(120)
+    add(2)
+
+    def broken(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:012d}")
+        raise RuntimeError("lost after writing")
+    q = stream().writeStream.foreachBatch(broken).outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="lost after writing"):
+        q.awaitTermination(120)
+    for i in range(3, len(batches)):
+        add(i)
+    SR.upsert(stream(), out, marks).awaitTermination(120)
+    every = spark.createDataFrame(rows, EVENT).where("id is not null and n is not null")
+    want = {tuple(map(str, r)) for r in R.last_per_key(every, "id", F.col("n")).select("id", "n", "at", "extra").collect()}
+    got = SR.read_latest(spark, out, "id", "n").select("id", "n", "at", "extra")
+    assert {tuple(map(str, r)) for r in got.collect()} == want
+    written = spark.read.option("basePath", out).parquet(out)
+    assert written.groupBy("id", "n").count().where("count > 1").count() == 0
+    # Far behind the watermark: dropped, the state of silent keys is gone, and nothing that was written changes.
+    (src / "late.json").write_text(json.dumps({"id": "new", "n": 7, "at": "2023-01-01T00:00:00", "extra": None}) + "\n")
+    SR.upsert(stream(), out, marks).awaitTermination(120)
+    assert {tuple(map(str, r)) for r in SR.read_latest(spark, out, "id", "n").select("id", "n", "at", "extra").collect()} == want
+
+
 def test_corpus_size(spark, tmp_path):
     for repo, name, text in (("r1", "a.rs", "verus! {"), ("r1", "b.rs", "  x verus!"), ("r2", "c.rs", "a\n\tverus! é")):
         (tmp_path / repo).mkdir(exist_ok=True)
