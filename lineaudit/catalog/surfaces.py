@@ -151,7 +151,35 @@ def embedding_surgery(spark, d):
     return out.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("projection_2d")
+def _axis(name: str, matrix: str) -> str:
+    """Strongest direction of a symmetric matrix: squared until only that direction is left, then one of its rows."""
+    return f"""
+{name}_p as (
+  select 0 as step, {matrix} as p from {name}_in
+  union all
+  select step + 1, [[x / t for x in r] for r in q] from (
+    select step, q, list_sum([q[i][i] for i in range(1, 65)]) as t from (
+      select step, [[list_inner_product(r, c) for c in p] for r in p] as q from {name}_p where step < 30))),
+{name}_r as (select p, list_position([p[i][i] for i in range(1, 65)], list_max([p[i][i] for i in range(1, 65)])) as peak
+  from {name}_p where step = 30),
+{name} as (select [x / sqrt(list_inner_product(p[peak], p[peak])) for x in p[peak]] as v from {name}_r)"""
+
+
+_AXES = f"""with recursive e as (select vec_id, [x::double for x in embedding] as v from embeddings),
+u as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from e),
+mu as (select i, avg(x) as m from u group by i),
+d as (select vec_id, i, x - m as x from u join mu using (i)),
+ij as (select a.i, b.i as j, avg(a.x * b.x) as c from d a join d b using (vec_id) group by all),
+rw as (select i, list(c order by j) as r from ij group by i),
+first_in as (select list(r order by i) as m from rw), {_axis("first", "m")},
+second_in as (
+  select [[m[i][j] - l * v[i] * v[j] for j in range(1, 65)] for i in range(1, 65)] as m
+  from (select m, v, list_inner_product([list_inner_product(r, v) for r in m], v) as l from first_in, first)), {_axis("second", "m")}"""
+
+
+@query("projection_2d", _AXES + """,
+c as (select vec_id, list(x order by i) as x from d group by vec_id)
+select vec_id, round(list_inner_product(x, first.v), 6) as x, round(list_inner_product(x, second.v), 6) as y from c, first, second""")
 def projection_2d(spark, d):
     out = D.project_2d(bridge.table(spark, d, "embeddings"), "embedding")
     return r6(out.select("vec_id", "x", "y"), "x", "y")

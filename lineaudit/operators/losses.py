@@ -14,6 +14,7 @@ from lineaudit.functions import ranking as R
 from lineaudit.functions.binding import let
 from lineaudit.functions.reducers import log_sum_exp, softplus, total
 from lineaudit.plans.joins import join_groups
+from lineaudit.plans.merging import log_sum_exp_by
 from lineaudit.plans.skew import lookup
 
 
@@ -41,17 +42,11 @@ def spec_infonce(rows: DataFrame, by: list[str]) -> DataFrame:
     """Anchor against all failing examples of the batch: its own spec's and the others'."""
     fails = rows.filter("status = 'FAIL'")
     w = F.col("whole_impl_energy")
-    # Sum of exp(-E) in unit-wide cells, so that no exponent can overflow; one
-    # cell per integer energy remains per batch.
-    cells = fails.withColumn("_f", F.floor(w)).groupBy(*by, "_f").agg(F.sum(F.exp(F.col("_f") - w)).alias("_s"))
-    pool = cells.groupBy(*by).agg(F.collect_list(F.struct("_f", "_s")).alias("_cells"))
-    low = F.array_min("_cells._f")
-    pool = pool.select(*by, low.cast("double").alias("_lo"), let(low, lambda lo: F.aggregate(
-        "_cells", F.lit(0.0), lambda a, c: a + c["_s"] * F.exp((lo - c["_f"]).cast("double")))).alias("_z"))
-    stats = fails.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(w).alias("_t"))
-    per = join_groups(_anchors(rows, by), join_groups(pool, stats, by), by)
-    m = F.least(F.col("_lo"), F.col("e_pos"))
-    lse = -m + F.log(F.col("_z") * F.exp(m - F.col("_lo")) + F.exp(m - F.col("e_pos")))
+    pool = log_sum_exp_by(fails, by, -w, "_pool", _n=F.count("*"), _t=F.sum(w))
+    per = join_groups(_anchors(rows, by), pool, by)
+    own = -F.col("e_pos")
+    m = F.greatest("_pool", own)
+    lse = m + F.log(F.exp(F.col("_pool") - m) + F.exp(own - m))
     return per.groupBy(*by).agg(
         F.avg(lse + F.col("e_pos")).alias("loss"), F.count("*").alias("n"),
         F.avg(F.col("_t") / F.col("_n") - F.col("e_pos")).alias("diff"))

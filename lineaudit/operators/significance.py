@@ -13,8 +13,7 @@ from lineaudit.functions.binding import let
 from lineaudit.operators import metrics as M
 from lineaudit.operators import sampling as Z
 from lineaudit.plans.emit import filter_map
-from lineaudit.plans.ordered import running_sums
-from lineaudit.plans.skew import lookup
+from lineaudit.plans.ordered import tied_sums
 from lineaudit.session import stable
 
 
@@ -57,17 +56,13 @@ def mcnemar_table(pairs: DataFrame, by: list[str]) -> DataFrame:
         "p_mid": S.binomial_half_two_sided(n01, n10, mid_p=True)})
 
 
-def _placement(cells: DataFrame, score: str, by: list[str]) -> DataFrame:
-    """Per distinct score: its share of the other class below it, ties at one half."""
-    c = F.col("c")
-    counted = cells.groupBy(*by, score).agg(
-        F.sum(F.when(F.col("y"), c).otherwise(0)).alias("_p"), F.sum(F.when(F.col("y"), 0).otherwise(c)).alias("_n"))
-    run = running_sums(counted, by, [score], {"_pb": "_p", "_nb": "_n"})
-    return run.select(
-        *by, score,
-        ((F.col("_nb") + F.col("_n") * 0.5) / F.nullif(F.col("_nb_total"), F.lit(0))).alias(f"v10_{score}"),
-        ((F.col("_pb_total") - F.col("_pb") - F.col("_p") * 0.5) / F.nullif(F.col("_pb_total"), F.lit(0)))
-        .alias(f"v01_{score}"))
+def _placed(cells: DataFrame, score: str, by: list[str], counted: DataFrame) -> DataFrame:
+    """Each cell with the share of the other class below its score, ties at one half, as ``v_<score>``."""
+    other = "b" if score == "a" else "a"
+    run = tied_sums(cells, by, score, [other, "y"], {"_p": "pos", "_n": "neg"}, sample_from=counted)
+    below = (F.col("_n_below") + F.col("_n_tied") * 0.5) / F.nullif(F.col("_n_total"), F.lit(0))
+    above = (F.col("_p_total") - F.col("_p_below") - F.col("_p_tied") * 0.5) / F.nullif(F.col("_p_total"), F.lit(0))
+    return run.select(*cells.columns, F.when(F.col("y"), below).otherwise(above).alias(f"v_{score}"))
 
 
 def delong(paired: DataFrame, by: list[str], a: str = "a", b: str = "b", y: Column | None = None) -> DataFrame:
@@ -75,25 +70,19 @@ def delong(paired: DataFrame, by: list[str], a: str = "a", b: str = "b", y: Colu
 
     ``paired`` holds one row per record with both scores; a record without a
     class or without one of the scores is left out. Rows are counted per
-    (a, b, class) first; structural components are looked up per distinct score,
-    frequent scores from a broadcast of bounded size, and the covariances are
-    count-weighted moments of those counts, so neither ties nor class size ever
-    concentrate work. NULL is a group.
+    (a, b, class) first; a scan along each score hands every cell its structural
+    component (``tied_sums``), and the covariances are count-weighted moments of
+    the cells, so neither ties nor class size ever concentrate work and nothing is
+    joined on a score. NULL is a group.
     """
     y = M.fail_label() if y is None else y
     rows = paired.withColumn("y", y).select(*by, F.col(a).alias("a"), F.col(b).alias("b"), "y").filter(
         "y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
-    cells = rows.groupBy(*by, "a", "b", "y").agg(F.count("*").alias("c"))
-    # All three read the exchange behind `cells`, so the pairs are formed once.
-    full = cells
-    for score in ("a", "b"):
-        # Fields of a struct that are NULL on both sides are equal, so NULL groups find their scores.
-        key, other = F.struct(*by, score).alias("_key"), "b" if score == "a" else "a"
-        parts = [f"v10_{score}", f"v01_{score}"]
-        full = lookup(full.select("*", key), _placement(cells, score, by).select(key, *parts), ["_key"], parts,
-                      [other, "y"], hot_from=cells.select(key)).drop("_key")
-    va = F.when(F.col("y"), F.col("v10_a")).otherwise(F.col("v01_a"))
-    vb = F.when(F.col("y"), F.col("v10_b")).otherwise(F.col("v01_b"))
+    cells = rows.groupBy(*by, "a", "b", "y").agg(F.count("*").alias("c")).withColumns({
+        "pos": F.when(F.col("y"), F.col("c")).otherwise(0), "neg": F.when(F.col("y"), 0).otherwise(F.col("c"))})
+    # The splitters of both scans come from the cells, so the pairs are formed once.
+    full = _placed(_placed(cells, "a", by, cells), "b", by, cells)
+    va, vb = F.col("v_a"), F.col("v_b")
     # Components lie in [0, 1] around the AUC; moments about 1/2 lose no digits that matter.
     da, db, c = va - 0.5, vb - 0.5, F.col("c")
     m = full.groupBy(*by, "y").agg(

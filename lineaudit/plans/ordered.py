@@ -74,6 +74,56 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     return out.drop("_bucket", *[f"_o_{k}" for k in sums])
 
 
+def tied_sums(df: DataFrame, by: list[str], value: str, rest: list[str], sums: dict[str, str],
+              n: int | None = None, sample_from: DataFrame | None = None) -> DataFrame:
+    """For each ``name: column`` add ``name_below``, ``name_tied`` and ``name_total``: the column's sum over the rows of
+    the group whose value is smaller, over those that share the row's value, and over the whole group.
+
+    Rows are unique on (by, value, rest) and dealt to buckets along that order, so a value of many rows spreads over
+    buckets too. Only the first and the last value of a bucket can reach into another one; their sums sit in the table
+    of buckets, and nothing is joined on the value itself. NULL is a group and the smallest value.
+    """
+    cut = with_buckets(df, by, [value, *rest], n, sample_from)
+    here = [*by, "_bucket"]
+    upto = Window.partitionBy(*here).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy(*here, value)
+    rows = cut
+    for k, c in sums.items():
+        rows = rows.withColumns({f"_t_{k}": F.sum(c).over(peers), f"_u_{k}": F.sum(c).over(upto)})
+    tied = F.struct(*[f"_t_{k}" for k in sums])
+    buckets = rows.groupBy(*here).agg(
+        # Inside a struct NULL is the smallest value, not a missing one.
+        F.min(F.struct(value)).alias("_first"), F.max(F.struct(value)).alias("_last"),
+        F.min_by(tied, F.struct(value)).alias("_tf"), F.max_by(tied, F.struct(value)).alias("_tl"),
+        *[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])
+    # One row per bucket and group, two below: at most twice n + number of groups rows.
+    line = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = buckets.withColumns({f"_o_{k}": F.sum(f"_s_{k}").over(line) - F.col(f"_s_{k}") for k in sums} | {
+        f"{k}_total": F.sum(f"_s_{k}").over(Window.partitionBy(*by)) for k in sums})
+    first = F.struct(F.lit(0).alias("_end"), F.col("_first").alias("_edge"), F.col("_tf").alias("_t"))
+    last = F.struct(F.lit(1).alias("_end"), F.col("_last").alias("_edge"), F.col("_tl").alias("_t"))
+    edges = buckets.select("*", F.inline(F.when(F.col("_first") == F.col("_last"), F.array(first)).otherwise(F.array(first, last))))
+    same = Window.partitionBy(*by, "_edge")
+    before = same.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.select(*here, "_end", "_edge", *[c for k in sums for c in (
+        F.col(f"_o_{k}"), F.col(f"{k}_total"), F.sum(f"_t._t_{k}").over(same).alias(f"_all_{k}"),
+        (F.sum(f"_t._t_{k}").over(before) - F.col(f"_t._t_{k}")).alias(f"_gone_{k}"))])
+    ends = edges.groupBy(*here).agg(
+        *[F.max(c).alias(c) for k in sums for c in (f"_o_{k}", f"{k}_total")],
+        *[F.max(F.when(F.col("_end") == e, F.struct("_edge", *[f"_{w}_{k}" for k in sums for w in ("all", "gone")]))).alias(f"_e{e}")
+          for e in (0, 1)])
+    out = join_null_safe(rows, ends, here)
+    own = F.struct(value)
+    edge = F.when(own == F.col("_e0._edge"), F.col("_e0")).when(own == F.col("_e1._edge"), F.col("_e1"))
+    out = out.withColumn("_edge", edge)
+    for k in sums:
+        gone = F.coalesce(F.col(f"_edge._gone_{k}"), F.lit(0))
+        out = out.withColumns({
+            f"{k}_below": F.col(f"_o_{k}") + F.col(f"_u_{k}") - F.col(f"_t_{k}") - gone,
+            f"{k}_tied": F.coalesce(F.col(f"_edge._all_{k}"), F.col(f"_t_{k}"))})
+    return out.select(*df.columns, *[f"{k}_{w}" for k in sums for w in ("below", "tied", "total")])
+
+
 def row_positions(df: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
     """0-based position of each row in its group's order, and ``<name>_total``."""
     return running_sums(df.withColumn("_one", F.lit(1).cast("long")), by, order, {name: "_one"}).drop("_one")

@@ -240,3 +240,51 @@ def test_resampled_areas_and_means_by_plain_counts(spark, monkeypatch):
             assert m == (pytest.approx(sum(v * w for v, w in own) / total) if total else None)
         assert len(means) == 3 * iters
     assert Z.bootstrap_auroc(df.limit(0), ["a"], M.fail_label(), "id", [], 3).count() == 0
+
+
+def test_log_sum_exp_of_groups(spark):
+    from lineaudit.plans.merging import log_sum_exp_by
+    inf, nan = math.inf, math.nan
+    groups = {"near": [0.5, -2.0, 3.25, 3.25], "far": [-9000.0, -9001.0, 5000.0], "deep": [-1e6, -1e6 - 1], "seam": [255.9, 256.1, 511.99],
+              "one": [0.0], "inf": [inf, 1.0], "none": [-inf, -inf], "some": [-inf, 2.0], "nan": [nan, inf, 1.0], "null": [None], None: [1.0, None, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    got = {r["g"]: r for r in log_sum_exp_by(spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v"), "lse", n=F.count("*"), t=F.sum("v")).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        known = [v for v in vs if v is not None]
+        assert got[g]["n"] == len(vs)
+        if not known:
+            assert got[g]["lse"] is None and got[g]["t"] is None
+        elif any(math.isnan(v) for v in known):
+            assert math.isnan(got[g]["lse"])
+        elif math.isinf(max(known)):
+            assert got[g]["lse"] == max(known)
+        else:
+            want = max(known) + math.log(math.fsum(math.exp(v - max(known)) for v in known))
+            assert got[g]["lse"] == pytest.approx(want, rel=1e-13)
+    assert log_sum_exp_by(spark.createDataFrame([], "g string, v double"), ["g"], F.col("v"), "lse").count() == 0
+
+
+def test_sums_below_and_beside_a_tied_value(spark):
+    from lineaudit.plans.ordered import tied_sums
+    rng = random.Random(11)
+    # One value holds most rows, so it fills many buckets; the NULL group has its own.
+    rows = [(g, v, i, rng.randint(0, 5)) for g in (None, "x") for i, v in enumerate(
+        [7.0] * 60 + [rng.choice([1.0, 7.0, 9.0, None]) for _ in range(30)] + [float(rng.randint(0, 20)) for _ in range(30)])]
+    df = spark.createDataFrame(rows, "g string, v double, i int, c int")
+    for n in (3, 16, 200):
+        got = tied_sums(df, ["g"], "v", ["i"], {"s": "c"}, n).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            same = [x for x in rows if x[0] == r["g"]]
+            key = -1.0 if r["v"] is None else r["v"]
+            low = [x[3] for x in same if (-1.0 if x[1] is None else x[1]) < key]
+            tie = [x[3] for x in same if (-1.0 if x[1] is None else x[1]) == key]
+            assert (r["s_below"], r["s_tied"], r["s_total"]) == (sum(low), sum(tie), sum(x[3] for x in same))
+
+
+def test_delong_joins_nothing_on_a_score(spark):
+    df = spark.createDataFrame([("x", "PASS", 0.0, 1.0), ("x", "FAIL", 1.0, 1.0)], "run string, status string, a double, b double")
+    plan = G.delong(df, ["run"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_g_" in line]
+    assert joins and all("_g__bucket" in line and "_g_a" not in line and "_g_b#" not in line for line in joins)
