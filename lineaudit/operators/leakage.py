@@ -9,7 +9,7 @@ from lineaudit.functions import ranking as R
 from lineaudit.functions import text as T
 from lineaudit.functions.binding import let
 from lineaudit.operators import metrics as M
-from lineaudit.plans.skew import lookup
+from lineaudit.plans.skew import attach
 
 
 def line_key(line: Column) -> Column:
@@ -21,56 +21,64 @@ def _lines(df: DataFrame) -> Column:
     return T.splitlines(F.col("impl_text"))
 
 
-def train_line_keys(train: DataFrame) -> DataFrame:
-    """Distinct (kind, key): kind ``raw`` is the stripped line, ``code`` has its comment cut too."""
+def train_code_keys(train: DataFrame) -> DataFrame:
+    """Distinct keys of the scorable lines, stripped and their comment cut."""
     lines = train.select(F.explode(F.array_distinct(T.scorable_texts(_lines(train)))).alias("l"))
-    pairs = F.array(
-        F.struct(F.lit("raw").alias("kind"), line_key(T.strip(F.col("l"))).alias("key")),
-        F.struct(F.lit("code").alias("kind"), line_key(T.normalize_line(F.col("l"))).alias("key")))
-    return lines.select(F.inline(pairs)).distinct().withColumn("in_train", F.lit(True))
-
-
-def _text_overlap(train: DataFrame, target: DataFrame) -> DataFrame:
-    """Per target implementation: is its squeezed spec / implementation text known?"""
-    def keyed(df):
-        return F.array(
-            F.struct(F.lit("spec").alias("kind"), T.squeeze_hash(F.col("spec_text"), 16).alias("key")),
-            F.struct(F.lit("impl").alias("kind"), T.squeeze_hash(F.col("impl_text"), 16).alias("key")))
-
-    known = train.select(F.inline(keyed(train))).distinct().withColumn("in_train", F.lit(True))
-    rows = target.select("impl_id", F.inline(keyed(target)))
-    found = lookup(rows, known, ["kind", "key"], ["in_train"], ["impl_id"])
-    return found.groupBy("impl_id").agg(
-        F.max(F.when(F.col("kind") == "spec", F.coalesce("in_train", F.lit(False)))).alias("spec_in_train"),
-        F.max(F.when(F.col("kind") == "impl", F.coalesce("in_train", F.lit(False)))).alias("impl_in_train"))
-
-
-def _line_overlap(train: DataFrame, target: DataFrame) -> DataFrame:
-    """Per implementation with scorable lines: how many lines and labelled lines are known."""
-    ls = _lines(target)
+    return lines.select(line_key(T.normalize_line(F.col("l"))).alias("key")).distinct().withColumn("in_train", F.lit(True))
+
+
+def _text_keys(df: DataFrame) -> Column:
+    """(kind, key) of an implementation's squeezed spec and text."""
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), F.encode(T.squeeze_hash(F.col(c), 16), "UTF-8").alias("key"))
+                     for kind, c in (("spec", "spec_text"), ("impl", "impl_text"))])
+
+
+def _code_keys(line: Column) -> Column:
+    return F.array(
+        F.struct(F.lit("raw").alias("kind"), line_key(T.strip(line)).alias("key")),
+        F.struct(F.lit("code").alias("kind"), line_key(T.normalize_line(line)).alias("key")))
+
+
+def _overlap(train: DataFrame, target: DataFrame) -> DataFrame:
+    """Per target implementation: is its spec and its text known, and how many lines and labelled lines are.
+
+    Texts and lines of both sides are keyed in one pass each and meet in one join; a line every implementation
+    holds is a skewed partition of it, which the planner splits.
+    """
+    lines = F.flatten(F.transform(F.array_distinct(T.scorable_texts(_lines(train))), _code_keys))
+    known = train.select(F.inline(F.concat(_text_keys(train), F.array_distinct(lines)))).distinct().withColumn("in_train", F.lit(True))
+
     buggy = F.when(F.col("status") == "FAIL", F.col("buggy_lines"))
-    flags = let(buggy, lambda b: F.transform(ls, lambda x, i: F.struct(
-        x.alias("l"), T.is_scorable(x).alias("s"), F.coalesce(F.array_contains(b, i), F.lit(False)).alias("site"))))
-    rows = target.select("impl_id", F.inline(F.filter(flags, lambda x: x["s"] | x["site"])))
-    kinds = F.array(
-        F.struct(F.lit("raw").alias("kind"), line_key(T.strip(F.col("l"))).alias("key")),
-        F.struct(F.lit("code").alias("kind"), line_key(T.normalize_line(F.col("l"))).alias("key")))
-    rows = rows.select("impl_id", "s", "site", F.inline(kinds)).filter("kind = 'raw' OR site")
-    found = lookup(rows, train_line_keys(train), ["kind", "key"], ["in_train"], ["impl_id"])
-    raw, hit = F.col("kind") == "raw", F.coalesce("in_train", F.lit(False))
-    out = found.groupBy("impl_id").agg(
-        F.count_if(raw & F.col("s")).alias("n_scorable"), F.count_if(raw & F.col("s") & hit).alias("n_known"),
-        F.count_if(raw & F.col("site")).alias("n_sites"), F.count_if(raw & F.col("site") & hit).alias("sites_raw"),
-        F.count_if(~raw & F.col("site") & hit).alias("sites_code"))
-    return out.filter("n_scorable > 0").withColumn("overlap", F.col("n_known") / F.col("n_scorable"))
+
+    def of_line(x, i, b):
+        site = F.coalesce(F.array_contains(b, i), F.lit(False))
+        return F.transform(_code_keys(x), lambda k: F.struct(
+            k["kind"].alias("kind"), k["key"].alias("key"), T.is_scorable(x).alias("s"), site.alias("site")))
+
+    flagged = let(buggy, lambda b: F.flatten(F.transform(_lines(target), lambda x, i: of_line(x, i, b))))
+    wanted = F.filter(flagged, lambda k: k["site"] | (k["s"] & (k["kind"] == "raw")))
+    whole = F.transform(_text_keys(target), lambda k: F.struct(
+        k["kind"].alias("kind"), k["key"].alias("key"), F.lit(False).alias("s"), F.lit(False).alias("site")))
+    rows = target.select("impl_id", "status", F.size("buggy_lines").alias("n_b"), F.inline(F.concat(whole, F.coalesce(wanted, F.array()))))
+    found = attach(rows, known, ["kind", "key"], ["in_train"])
+    kind, hit = F.col("kind"), F.coalesce("in_train", F.lit(False))
+    n = F.count_if((kind == "raw") & F.col("s"))
+    out = found.groupBy("impl_id", "status", "n_b").agg(
+        F.bool_or((kind == "spec") & hit).alias("spec_in_train"), F.bool_or((kind == "impl") & hit).alias("impl_in_train"),
+        n.alias("n_scorable"), F.count_if((kind == "raw") & F.col("s") & hit).alias("n_known"),
+        F.count_if((kind == "raw") & F.col("site")).alias("n_sites"),
+        F.count_if((kind == "raw") & F.col("site") & hit).alias("sites_raw"),
+        F.count_if((kind == "code") & F.col("site") & hit).alias("sites_code"))
+    # Implementations without a scorable line have no share, and their sites do not count.
+    some = F.col("n_scorable") > 0
+    return out.withColumns({"overlap": F.when(some, F.col("n_known") / F.col("n_scorable"))} | {
+        c: F.when(some, F.col(c)) for c in ("n_sites", "sites_raw", "sites_code")})
 
 
 def leak_audit(train: DataFrame, target: DataFrame) -> DataFrame:
     """One row of overlap counts and shares. Shares are over all target records,
-    the mean line overlap over those with scorable lines."""
-    rows = target.select("impl_id", "status", F.size("buggy_lines").alias("n_b"))
-    per = rows.join(_text_overlap(train, target), "impl_id", "left").join(
-        _line_overlap(train, target), "impl_id", "left")
+    the mean line overlap over those with scorable lines. Ids are unique in the target."""
+    per = _overlap(train, target)
     labelled = (F.col("status") == "FAIL") & (F.col("n_b") > 0) & F.col("overlap").isNotNull()
     out = per.agg(
         F.count("*").alias("n"), F.count_if("spec_in_train").alias("spec_overlap"),
@@ -114,9 +122,8 @@ def deep_leak_audit(train: DataFrame, records: DataFrame) -> DataFrame:
             F.array(F.struct(F.lit(True).alias("top"), F.get(texts, F.get(order, 0)).alias("l"))),
             F.transform("_labels", lambda i: F.struct(F.lit(False).alias("top"), F.get(texts, i).alias("l")))))
         .alias("x"))
-    rows = rows.select("impl_id", "hit1", "hit3", F.col("x.top").alias("top"), F.lit("code").alias("kind"),
-                       line_key(T.normalize_line(F.col("x.l"))).alias("key"))
-    found = lookup(rows, train_line_keys(train), ["kind", "key"], ["in_train"], ["impl_id"])
+    rows = rows.select("impl_id", "hit1", "hit3", F.col("x.top").alias("top"), line_key(T.normalize_line(F.col("x.l"))).alias("key"))
+    found = attach(rows, train_code_keys(train), ["key"], ["in_train"])
     known = F.coalesce("in_train", F.lit(False))
     per = found.groupBy("impl_id", "hit1", "hit3").agg(
         F.max(F.col("top") & known).alias("top_known"), F.max(~F.col("top") & known).alias("label_known"))
@@ -131,26 +138,21 @@ def deep_leak_audit(train: DataFrame, records: DataFrame) -> DataFrame:
 
 def held_set_audit(train: DataFrame, held: DataFrame) -> DataFrame:
     """Duplicates between the two sides of a split, as (check, count) rows."""
-    def distinct(df, c):
-        return df.select(c.alias("k")).distinct()
-
-    raw, spec = F.sha2(F.encode("spec_text", "UTF-8"), 256), T.squeeze_hash(F.col("spec_text"))
-    impl = T.squeeze_hash(F.col("impl_text"))
-    checks = {
-        "spec_hash_overlap": distinct(held, spec).join(distinct(train, spec), "k", "left_semi"),
-        "spec_id_overlap": distinct(held, F.col("spec_id")).join(distinct(train, F.col("spec_id")), "k", "left_semi"),
-        "spec_text_duplicates": distinct(held, raw).join(distinct(train, raw), "k", "left_semi"),
-    }
-    # Row counts: collapse the held side to (key, count) before it meets the train side.
-    for name, c in (("spec_near_duplicates", spec), ("impl_near_duplicates", impl)):
-        counted = held.groupBy(c.alias("k")).agg(F.count("*").alias("c"))
-        checks[name] = counted.join(distinct(train, c), "k", "left_semi")
-    out = None
-    for name, df in checks.items():
-        n = F.sum("c") if "c" in df.columns else F.count("*")
-        row = df.agg(F.coalesce(n, F.lit(0)).alias("n")).select(F.lit(name).alias("check"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    spec, impl = T.squeeze_hash(F.col("spec_text")), T.squeeze_hash(F.col("impl_text"))
+    keys = {"spec_hash": spec, "spec_id": F.col("spec_id"), "spec_text": F.sha2(F.encode("spec_text", "UTF-8"), 256), "impl_hash": impl}
+
+    def keyed(df, c, t):
+        pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), k.cast("string").alias("k")) for kind, k in keys.items()])
+        return df.select(F.inline(pairs), F.lit(c).alias("c"), F.lit(t).alias("t")).filter("k IS NOT NULL")
+
+    # Each side is read once; a key of many rows collapses before the shuffle.
+    both = keyed(held, 1, False).unionByName(keyed(train, 0, True)).groupBy("kind", "k").agg(F.sum("c").alias("c"), F.bool_or("t").alias("t"))
+    shared = both.agg(*[F.struct(F.count_if(here).alias("n"), F.coalesce(F.sum(F.when(here, F.col("c"))), F.lit(0)).alias("rows")).alias(kind)
+                        for kind in keys for here in [(F.col("kind") == kind) & F.col("t") & (F.col("c") > 0)]])
+    # Overlaps are distinct keys, near duplicates are held rows.
+    checks = {"spec_hash_overlap": "spec_hash.n", "spec_id_overlap": "spec_id.n", "spec_text_duplicates": "spec_text.n",
+              "spec_near_duplicates": "spec_hash.rows", "impl_near_duplicates": "impl_hash.rows"}
+    return shared.select(F.inline(F.array(*[F.struct(F.lit(name).alias("check"), F.col(c).alias("n")) for name, c in checks.items()])))
 
 
 def composition(examples: DataFrame, keys=("source", "status")) -> DataFrame:

@@ -382,3 +382,26 @@ def test_binomial_tail_is_exact_for_any_count(spark):
         want, mid = min(1, 2 * tail), min(1, 2 * tail - Fraction(comb(n, k), 2 ** n)) if n else 1
         assert abs(got[b, c]["p"] / float(want) - 1) < 1e-9 and abs(got[b, c]["m"] / float(mid) - 1) < 1e-9
     assert abs(got[4_998_000, 5_002_000]["p"] - 0.2060) < 1e-3
+
+
+def test_both_sides_of_an_audit_are_read_once(spark, tmp_path):
+    rows = [(f"i{i}", f"s{i % 3}", "PASS" if i % 2 else "FAIL", f"spec {i % 5}" if i else None, "}\n" * 3 + f"let x = {i % 7};\n// note", [i % 5]) for i in range(60)]
+    schema = "impl_id string, spec_id string, status string, spec_text string, impl_text string, buggy_lines array<int>"
+    paths = [str(tmp_path / side) for side in ("train", "held")]
+    for path, part in zip(paths, (rows[:40], rows[30:])):
+        spark.createDataFrame(part, schema).write.parquet(path)
+    train, held = (spark.read.parquet(p) for p in paths)
+    for audit in (L.leak_audit(train, held), L.held_set_audit(train, held)):
+        plan = audit._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 2
+    got = {r["check"]: r["n"] for r in L.held_set_audit(train, held).collect()}
+    old, new = rows[:40], rows[30:]
+    for name, i, whole in (("spec_id_overlap", 1, False), ("spec_text_duplicates", 3, False), ("impl_near_duplicates", 4, True)):
+        known = {r[i] for r in old if r[i] is not None}
+        hits = [r[i] for r in new if r[i] in known]
+        assert got[name] == (len(hits) if whole else len(set(hits)))
+    r = L.leak_audit(train, held).first()
+    lines = {x.strip() for row in old for x in row[4].splitlines()}
+    sites = [row[4].splitlines()[b] for row in new if row[2] == "FAIL" for b in row[5] if b < 5]
+    assert r["n"] == 30 and r["n_sites"] == len(sites) and r["sites_exact"] == sum(x in lines and not x.startswith("//") for x in sites)
+    assert L.leak_audit(train.limit(0), held).first()["sites_exact"] == 0 and L.leak_audit(train, held.limit(0)).first()["n"] == 0
