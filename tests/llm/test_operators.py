@@ -400,15 +400,52 @@ def test_shards_are_written_whole(spark, docs):
 def test_rollups(spark, docs):
     store = rollups.Store(spark, shared_folder(spark, "r"))
     feed = lambda *r: spark.createDataFrame(list(r), "op string, doc_id bigint, version string, source string, lang string, n_tokens bigint")
-    assert store.totals().count() == 0
+    assert store.totals().count() == store.ledger().count() == store.refused().count() == 0
     first = feed(("insert", 1, "v", "a", "en", 5), ("insert", 2, "v", "a", None, 7), ("insert", None, "v", "a", "en", 9), ("insert", 1, "v", "a", "en", 5))
     assert store.commit("b1", first) and not store.commit("b1", first)
     store.commit("b2", feed(("revise", 1, "v", "b", "en", 8), ("delete", 2, "v", None, None, None), ("delete", 9, "v", "a", "en", 1)))
     assert {tuple(r) for r in store.totals().collect()} == {("b", "en", "v", 1, 8)}
+    assert {tuple(r) for r in store.refused().collect()} == {("b1", "null id", 1)}
+    with pytest.raises(ValueError):
+        store.commit("b3", feed(("upsert", 1, "v", "b", "en", 8)))
+    with pytest.raises(ValueError):
+        store.commit("b3", feed((None, 1, "v", "b", "en", 8), ("insert", 5, "v", "b", "en", 8)))
+    for i, name in enumerate(("2024/01", "2024/02", "50% = ü\n", "")):
+        assert store.commit(name, feed(("insert", 100 + i, "v", "c", "en", 1))) and not store.commit(name, feed(("insert", 1, "v", "c", "en", 1)))
+    assert store.commit("nothing", feed(("insert", None, None, "c", "en", 1)).limit(0))
+    assert set(store.committed()) == {"b1", "b2", "2024/01", "2024/02", "50% = ü\n", "", "nothing"}
+    assert {tuple(r) for r in store.totals().collect()} == {("b", "en", "v", 1, 8), ("c", "en", "v", 4, 4)}
+    assert {r["doc_id"]: (r["alive"], r["n_tokens"], r["seq"]) for r in store.ledger().collect()} == {
+        1: (True, 8, 2), 2: (False, 0, 2), 9: (False, 1, 2), 100: (True, 1, 3), 101: (True, 1, 4), 102: (True, 1, 5), 103: (True, 1, 6)}
     words = docs.select("text", rollups.blank_words(F.col("text")).alias("n")).collect()
     assert all(n == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t, n in words)
 
 
+def test_rollups_of_two_writers(spark):
+    feed = lambda *r: spark.createDataFrame(list(r), "op string, doc_id bigint, version string, source string, lang string, n_tokens bigint")
+    path = shared_folder(spark, "two")
+    store, other = rollups.Store(spark, path), rollups.Store(spark, path)
+    claim, taken = store._claim, []
+
+    def late(seq, marker):
+        # The other writer gets in between, first with a batch of its own, then with this very one.
+        if not taken:
+            taken.append(other.commit("theirs", feed(("insert", 1, "v", "a", "en", 5), ("insert", 2, "v", "a", "en", 6))))
+        return claim(seq, marker)
+
+    store._claim = late
+    assert store.commit("ours", feed(("revise", 1, "v", "a", "en", 50), ("insert", 3, "v", "a", "en", 1))) and taken == [True]
+    assert store.committed() == {"theirs": 1, "ours": 2}
+    assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v", 3, 57)]
+    store._claim = lambda seq, marker: other.commit("same", feed(("delete", 3, "v", None, None, None))) and claim(seq, marker)
+    assert not store.commit("same", feed(("delete", 3, "v", None, None, None)))
+    # A writer that died after taking its number leaves a marker without content.
+    fs, p = store._fs(f"{path}/commits/000000004")
+    fs.create(p, False).close()
+    assert other.commit("next", feed(("insert", 4, "v", "a", "en", 1))) and other.committed()["next"] == 5
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v", 3, 57)]
+
+
 def test_kneser_ney(spark, empty):
     rng = random.Random(8)
     good = [(i, prose(rng, 60), "en", "s", 1, "x", 0.0, 0) for i in range(60)]
