@@ -78,10 +78,18 @@ def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
     """The rows of ``docs``, each once, in one folder per shard. Keys may be null or repeat. A shard fits one task;
-    an oversized one is spread over as many as it holds limits."""
+    an oversized one is spread over as many as it holds limits.
+
+    Folders are named by ``b`` and the bit prefix, so that Spark reads them back as text, as column ``shard``; where
+    ``docs`` has a column of that name, underscores are added to the new one.
+    """
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     rows = docs.select(F.struct("*").alias("row"), place(F.col(key)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"),
                        F.monotonically_increasing_id().alias("n"))
     leaves = settle(directory(settle(rows.select("h", "bytes")), limit))
     parts = F.ceil(F.col("shard_bytes") / limit)
     out = _sharded(rows, leaves).withColumn("salt", F.when(F.col("oversized"), F.pmod(F.xxhash64("n"), parts)).otherwise(F.lit(0)))
-    out.repartition("shard", "salt").select("row.*", "shard").write.partitionBy("shard").parquet(path)
+    out = out.withColumn("shard", F.concat(F.lit("b"), "shard"))
+    out.repartition("shard", "salt").select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)

@@ -397,6 +397,17 @@ def test_shards_are_written_whole(spark, docs):
     assert back.columns == [*odd.columns, "shard"] and count(back) == count(odd)
 
 
+def test_shard_folders_read_back_by_name(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20, "own", i) for i in range(300)], "doc_id long, text string, Shard string, h int")
+    want = {r["doc_id"]: r["shard"] for r in sharding.assigned(docs, limit=2000).collect()}
+    sharding.write(docs, str(tmp_path / "many"), limit=2000)
+    back = spark.read.parquet(str(tmp_path / "many")).collect()
+    assert len(back) == 300 and {r["doc_id"]: r["shard_"][1:] for r in back} == want and {r["Shard"] for r in back} == {"own"}
+    assert all(r["shard_"].startswith("b") for r in back)
+    sharding.write(docs, str(tmp_path / "one"))
+    assert {r["shard_"] for r in spark.read.parquet(str(tmp_path / "one")).collect()} == {"b"}
+
+
 def test_rollups(spark, docs):
     store = rollups.Store(spark, shared_folder(spark, "r"))
     feed = lambda *r: spark.createDataFrame(list(r), "op string, doc_id bigint, version string, source string, lang string, n_tokens bigint")
