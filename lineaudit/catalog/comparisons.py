@@ -96,6 +96,10 @@ def by_length_tertile(spark, d):
     return r6(U.by_length_tertile(bridge.records(spark, d, "random", "length"), ["run"]), "topk")
 
 
+_PMF = """list_transform(range(least(n01, n10) + 1), lambda i:
+          exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2)))"""
+
+
 def _pairs(ks: str) -> str:
     return f"""with {bridge.sql_scored()},
 f as (select run, impl_id, best_rank from rec where status = 'FAIL' and n_bug > 0),
@@ -104,9 +108,7 @@ p as (select b.run, k, (t.best_rank <= k)::int as t, (b.best_rank <= k)::int as
 c as (select run, k, count(*) as n_paired, count(*) filter (where t = 1 and b = 1) as n11, count(*) filter (where t = 1 and b = 0) as n01,
         count(*) filter (where t = 0 and b = 1) as n10, count(*) filter (where t = 0 and b = 0) as n00,
         avg(t) as tt, avg(b) as bb from p group by run, k),
-e as (select *, n01 + n10 as nd, least(n01, n10) as lo,
-        list_transform(range(least(n01, n10) + 1), lambda i:
-          exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2))) as pmf from c)"""
+e as (select *, n01 + n10 as nd, least(n01, n10) as lo, {_PMF} as pmf from c)"""
 
 
 _PAIR = _pairs("[1]")
@@ -119,12 +121,39 @@ def _target_and_baselines(spark, d):
     return recs.filter(F.col("run") == "random"), recs.filter(F.col("run") != "random")
 
 
+def _erfc(x: str) -> str:
+    """Complementary error function by its power series, good to 1e-9 below 4.5."""
+    term = f"(case when i % 2 = 0 then 1 else -1 end) * exp((2 * i + 1) * ln({x}) - lgamma(i + 1)) / (2 * i + 1)"
+    return (f"(case when {x} < 1e-12 then 1.0 when {x} > 4.5 then 0.0 else 1 - 2 / sqrt(pi()) * "
+            f"list_sum(list_transform(range(120), lambda i: {term})) end)")
+
+
+_CHI = "sqrt((abs(n01 - n10) - 1) ** 2 / nullif(n01 + n10, 0) / 2.0)"
+
+
+def _log10_erfc(x: str) -> str:
+    """log10 of the complementary error function: the power series below 2, a continued fraction above, in any size."""
+    fraction = f"list_reduce(list_prepend({x}::double, list_transform(range(80, 0, -1), lambda i: i / 2.0)), lambda t, i: {x} + i / t)"
+    return f"(case when {x} < 2 then log10({_erfc(x)}) else (-{x} * {x} - ln(sqrt(pi())) - ln({fraction})) / ln(10) end)"
+
+
+_P_LOGS = f"""round(case when nd < 25 then log10({_P_EXACT}) else {_log10_erfc('cx')} end, 5) as log10_p_mcnemar,
+  round(log10({_P_EXACT}), 5) as log10_p_exact, round(log10({_P_MID}), 5) as log10_p_mid"""
+_LOGS = ["log10_p_mcnemar", "log10_p_exact", "log10_p_mid"]
+
+
+def r5(df, *names):
+    """Logarithms of p-values, with a plain zero."""
+    return df.withColumns({n: F.round(F.col(n), 5) + F.lit(0.0) for n in names})
+
+
 @query("mcnemar_tests", _PAIR + f"""
 select run, n_paired, n11, n01, n10, n00, round(tt, 6) as target_topk, round(bb, 6) as baseline_topk,
-  round({_P_EXACT}, 6) as p_exact, round({_P_MID}, 6) as p_mid from e""")
+  round(case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end, 6) as p_mcnemar,
+  round({_P_EXACT}, 6) as p_exact, round({_P_MID}, 6) as p_mid, {_P_LOGS} from (select *, {_CHI} as cx from e)""")
 def mcnemar_tests(spark, d):
     out = G.mcnemar_table(G.paired_hits(*_target_and_baselines(spark, d), 1), ["run"])
-    return r6(out.drop("p_mcnemar"), "target_topk", "baseline_topk", "p_exact", "p_mid")
+    return r5(r6(out, "target_topk", "baseline_topk", "p_mcnemar", "p_exact", "p_mid"), *_LOGS)
 
 
 _DELONG = """
@@ -147,20 +176,11 @@ dl as (select run, avg(va) filter (where y) as auc_a, avg(vb) filter (where y) a
 
 @query("delong_tests", f"with {bridge.sql_scored()}, {_DELONG}" + """
 select run, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, n_pos, n_neg, round(auc_a - auc_b, 6) as diff,
-  round(var, 9) as var, round((auc_a - auc_b) / sqrt(var), 5) as z from dl""")
+  round(var, 9) as var, round((auc_a - auc_b) / sqrt(var), 5) as z, round(PVAL, 6) as p, round(PVAL, 6) as p_or_nan,
+  round(LOGP, 5) as log10_p from (select *, abs(auc_a - auc_b) / sqrt(2 * var) as az from dl)""".replace("PVAL", _erfc("az")).replace("LOGP", _log10_erfc("az")))
 def delong_tests(spark, d):
-    out = G.delong(G.paired_scores(*_target_and_baselines(spark, d)), ["run"]).drop("p", "p_or_nan")
-    return r6(out, "auc_a", "auc_b", "diff").withColumns({"var": F.round("var", 9), "z": F.round("z", 5)})
-
-
-def _erfc(x: str) -> str:
-    """Complementary error function by its power series, good to 1e-9 below 4.5."""
-    term = f"(case when i % 2 = 0 then 1 else -1 end) * exp((2 * i + 1) * ln({x}) - lgamma(i + 1)) / (2 * i + 1)"
-    return (f"(case when {x} < 1e-12 then 1.0 when {x} > 4.5 then 0.0 else 1 - 2 / sqrt(pi()) * "
-            f"list_sum(list_transform(range(120), lambda i: {term})) end)")
-
-
-_CHI = "sqrt((abs(n01 - n10) - 1) ** 2 / nullif(n01 + n10, 0) / 2.0)"
+    out = G.delong(G.paired_scores(*_target_and_baselines(spark, d)), ["run"])
+    return r5(r6(out, "auc_a", "auc_b", "diff", "p", "p_or_nan"), "log10_p").withColumns({"var": F.round("var", 9), "z": F.round("z", 5)})
 
 
 _JOINT = _PAIR + f", {_DELONG}, " + f"""
@@ -173,11 +193,11 @@ select run, n_paired, n11, n01, n10, n00, round(tt, 6) as target_topk, round(bb,
   round(case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end, 6) as p_mcnemar,
   round({_P_EXACT}, 6) as p_exact, round({_P_MID}, 6) as p_mid, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b,
   n_pos, n_neg, round(var, 9) as auc_var, round(auc_a - auc_b, 6) as diff, round(z, 5) as z, round({_erfc('az')}, 6) as p,
-  round({_erfc('az')}, 6) as p_or_nan from j""")
+  round({_erfc('az')}, 6) as p_or_nan, {_P_LOGS}, round({_log10_erfc('az')}, 5) as log10_p from j""")
 def significance_table(spark, d):
     out = G.significance_table(*_target_and_baselines(spark, d))
     out = r6(out, "p_mcnemar", "p_exact", "p_mid", "target_topk", "baseline_topk", "auc_a", "auc_b", "diff", "p", "p_or_nan")
-    return out.withColumns({"auc_var": F.round("auc_var", 9), "z": F.round("z", 5)})
+    return r5(out, *_LOGS, "log10_p").withColumns({"auc_var": F.round("auc_var", 9), "z": F.round("z", 5)})
 
 
 def _latex_p(x: str) -> str:
@@ -253,15 +273,18 @@ def bootstrap_report(spark, d):
 e as (select *, row_number() over (partition by impl_id order by length(line_text) desc, sent_idx) as rl,
         row_number() over (partition by impl_id order by {bridge.SQL_ENERGY['keyword']} desc, sent_idx) as rm from sc where status = 'FAIL'),
 f as (select impl_id, min(case when buggy then rl end) <= 3 as l, min(case when buggy then rm end) <= 3 as m
-      from e group by impl_id having l is not null)
-select count(*) as n_paired, count(*) filter (where m and l) as n11, count(*) filter (where m and not l) as n01,
+      from e group by impl_id having l is not null),
+c as (select count(*) as n_paired, count(*) filter (where m and l) as n11, count(*) filter (where m and not l) as n01,
   count(*) filter (where not m and l) as n10, count(*) filter (where not m and not l) as n00,
-  round(avg(m::int), 6) as target_topk, round(avg(l::int), 6) as baseline_topk from f""")
+  round(avg(m::int), 6) as target_topk, round(avg(l::int), 6) as baseline_topk from f),
+q as (select *, n01 + n10 as nd, {_CHI} as cx, {_PMF} as pmf from c)
+select n_paired, n11, n01, n10, n00, target_topk, baseline_topk, round(case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end, 6) as p_mcnemar,
+  round({_P_EXACT}, 6) as p_exact, round({_P_MID}, 6) as p_mid, {_P_LOGS} from q""")
 def length_baseline_pair(spark, d):
     recs = S.score(bridge.impls(spark, d), {"keyword": S.SCORERS["keyword"]})
     hits = G.length_pairs(recs, 3)
     out = G.mcnemar_table(hits, [])
-    return r6(out.drop("p_mcnemar", "p_exact", "p_mid"), "target_topk", "baseline_topk")
+    return r5(r6(out, "target_topk", "baseline_topk", "p_mcnemar", "p_exact", "p_mid"), *_LOGS)
 
 
 @query("subgroup_auroc_unknown_as_pass", f"""with {bridge.sql_scored()}, {sql_auc('rec', 'run', extra='true')}

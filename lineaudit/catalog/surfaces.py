@@ -143,12 +143,11 @@ def mean_embedding(spark, d):
 
 @query("embedding_surgery", """
 with m as (select i, avg(embedding[i]::double) as m from embeddings, (select unnest(range(1, 65)) as i) where vec_id in (10, 11, 12) group by i)
-select vec_id as id, round(sum(case when vec_id in (1, 2) then m else embedding[i]::double end), 4) as total
-from embeddings, m group by vec_id""")
+select vec_id as id, i - 1 as dim, round(case when vec_id in (1, 2) then m else embedding[i]::double end, 6) as value from embeddings, m""")
 def embedding_surgery(spark, d):
     rows = bridge.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    out = D.mean_row_surgery(rows, [1, 2], [10, 11, 12])
-    return out.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    out = D.mean_row_surgery(rows, [1, 2], [10, 11, 12]).select("id", F.posexplode("vec").alias("dim", "value"))
+    return r6(out.withColumn("dim", F.col("dim").cast("long")), "value")
 
 
 def _axis(name: str, matrix: str) -> str:
@@ -278,14 +277,26 @@ def exploded_records(spark, d):
     return r6(explode_records(bridge.records(spark, d)).select("run", "impl_id", "sent_idx", "energy", "is_buggy"), "energy")
 
 
+def _record_digests():
+    """Texts, energies and labels of a record, each with its order, in three columns."""
+    weighted = F.transform("per_line_energies", lambda e, i: e * (i + 1))
+    return [F.sha2(F.array_join("scorable_line_texts", "\n"), 256).alias("lines_sha256"),
+            F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x).alias("energy_moment"),
+            F.array_join("buggy_line_indices", ",").alias("buggy")]
+
+
 @query("imploded_records", f"""with {bridge.sql_scored('random', 'keyword')}
-select run, impl_id, spec_id, status, round(whole, 6) as whole_impl_energy, n_lines, n_bug from rec""")
+select run, impl_id, spec_id, status, round(max(energy), 6) as whole_impl_energy, count(*) as n_lines, count(*) filter (where buggy) as n_bug,
+  sha256(string_agg(line_text, chr(10) order by sent_idx)) as lines_sha256, round(sum((sent_idx + 1) * energy), 4) as energy_moment,
+  coalesce(string_agg(sent_idx::varchar, ',' order by sent_idx) filter (where buggy), '') as buggy
+from scored group by run, impl_id, spec_id, status""")
 def imploded_records(spark, d):
     rows = explode_records(bridge.records(spark, d, "random", "keyword"))
     out = implode_records(rows, ["run", "impl_id", "spec_id", "status"])
     return r6(out.select("run", "impl_id", "spec_id", "status", "whole_impl_energy",
                          F.size("per_line_energies").cast("long").alias("n_lines"),
-                         F.size("buggy_line_indices").cast("long").alias("n_bug")), "whole_impl_energy")
+                         F.size("buggy_line_indices").cast("long").alias("n_bug"), *_record_digests()),
+              "whole_impl_energy").withColumn("energy_moment", F.round("energy_moment", 4))
 
 
 @query("payload_files", f"""with {bridge.sql_scored('random')}
@@ -309,10 +320,13 @@ def payload_files(spark, d):
     return r6(out, "energy", "whole")
 
 
-@query("csv_numbers", """
-select event_id, rtrim(rtrim(printf('%.2f', value), '0'), '.') as value from events""")
+@query("csv_numbers", "select event_id, " + ", ".join(f"case when {x} = 0 then '0' else printf('%.6g', {x}) end as {c}" for c, x in {
+    "value": "value", "third": "(value / 3)", "large": "(value * 123457.0)", "small": "(value / 12345700.0)", "log_value": "ln(value + 0.001)"}.items()) + " from events")
 def csv_numbers(spark, d):
-    return W.csv_table(bridge.table(spark, d, "events").select("event_id", "value"))
+    v = F.col("value")
+    return W.csv_table(bridge.table(spark, d, "events").select(
+        "event_id", "value", (v / 3).alias("third"), (v * 123457.0).alias("large"), (v / 12345700.0).alias("small"),
+        F.log(v + 0.001).alias("log_value")))
 
 
 @query("summary_json")
@@ -358,12 +372,18 @@ def repair_summary(spark, d):
     return r6(out, *[c for c in out.columns if c.endswith("_rate")])
 
 
-@query("repair_pairwise", _ARM_SQL + """
+@query("repair_pairwise", _ARM_SQL + """,
+p as (
 select 'arm_a' as arm1, 'arm_b' as arm2, count(*) filter (where a and not b) as only_arm1, count(*) filter (where b and not a) as only_arm2 from a
 union all select 'arm_a', 'arm_c', count(*) filter (where a and not c), count(*) filter (where c and not a) from a
-union all select 'arm_b', 'arm_c', count(*) filter (where b and not c), count(*) filter (where c and not b) from a""")
+union all select 'arm_b', 'arm_c', count(*) filter (where b and not c), count(*) filter (where c and not b) from a),
+t as (select *, only_arm1 + only_arm2 as n, list_transform(range(least(only_arm1, only_arm2) + 1), lambda i:
+  lgamma(only_arm1 + only_arm2 + 1) - lgamma(i + 1) - lgamma(only_arm1 + only_arm2 - i + 1) - (only_arm1 + only_arm2 - 1) * ln(2)) as logs from p),
+l as (select *, case when n = 0 then 0.0 else least(0.0, list_max(logs) + ln(list_sum([exp(x - list_max(logs)) for x in logs]))) end as log_p from t)
+select arm1, arm2, only_arm1, only_arm2, round(exp(log_p), 6) as p, round(log_p / ln(10), 5) as log10_p from l""")
 def repair_pairwise(spark, d):
-    return Q.pairwise(_arms(spark, d), _ARMS).drop("p")
+    out = r6(Q.pairwise(_arms(spark, d), _ARMS), "p")
+    return out.withColumn("log10_p", F.round("log10_p", 5) + F.lit(0.0))
 
 
 @query("repair_rerun_merge", _ARM_SQL + """

@@ -100,13 +100,12 @@ def fails_lines(spark, d):
 
 @query("strict_scorable", f"""with {bridge.SQL_LINES},
 s as (select *, trim(line_text) as t from lines)
-select impl_id, count(*) as n, sum(src_idx)::bigint as idx_sum from s
+select impl_id, count(*) as n, string_agg(src_idx::varchar, ',' order by src_idx) as lines from s
 where t <> '' and t not in ('{{', '}}', '{{}}', '()', ');') and not starts_with(t, ')')
   and not (starts_with(t, '//') and not contains(t, '// FAILS')) group by impl_id""")
 def strict_scorable(spark, d):
-    rows = _impls(spark, d).select("impl_id", F.explode(
-        T.indices_where(F.col("_l"), T.is_scorable_strict)).alias("i"))
-    return rows.groupBy("impl_id").agg(F.count("*").alias("n"), F.sum("i").alias("idx_sum"))
+    rows = _impls(spark, d).select("impl_id", T.indices_where(F.col("_l"), T.is_scorable_strict).alias("i"))
+    return rows.select("impl_id", F.size("i").cast("long").alias("n"), F.array_join("i", ",").alias("lines")).filter("n > 0")
 
 
 @query("flag_suspicious", f"""with {bridge.SQL_LINES},

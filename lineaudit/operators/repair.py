@@ -37,7 +37,8 @@ def pairwise(results: DataFrame, arms: list[str]) -> DataFrame:
         F.lit(a).alias("arm1"), F.lit(b).alias("arm2"), F.count_if(_yes(a) & ~_yes(b)).alias("only_arm1"),
         F.count_if(_yes(b) & ~_yes(a)).alias("only_arm2")) for a, b in pairs]).alias("_p"))
     rows = one.select(F.inline("_p"))
-    return rows.withColumn("p", S.binomial_half_two_sided(F.col("only_arm1"), F.col("only_arm2")))
+    log_p = S.binomial_half_log_p(F.col("only_arm1"), F.col("only_arm2"))
+    return rows.withColumn("_log", log_p).withColumns({"p": F.exp("_log"), "log10_p": S.log10_of(F.col("_log"))}).drop("_log")
 
 
 def merge_rerun(rows: DataFrame, rerun: DataFrame, columns: list[str]) -> DataFrame:

@@ -43,17 +43,18 @@ def length_pairs(records: DataFrame, k: int) -> DataFrame:
 
 
 def mcnemar_table(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Discordant counts and the three p-value conventions."""
+    """Discordant counts and the three p-value conventions, each with its ``log10``."""
     t, b = F.col("target_hit") == 1, F.col("baseline_hit") == 1
     out = pairs.groupBy(*by).agg(
         F.count("*").alias("n_paired"), F.count_if(t & b).alias("n11"), F.count_if(t & ~b).alias("n01"),
         F.count_if(~t & b).alias("n10"), F.count_if(~t & ~b).alias("n00"),
         F.avg("target_hit").alias("target_topk"), F.avg("baseline_hit").alias("baseline_topk"))
     n01, n10 = F.col("n01"), F.col("n10")
-    return out.withColumns({
-        "p_mcnemar": S.mcnemar_p(n01, n10),
-        "p_exact": S.binomial_half_two_sided(n01, n10),
-        "p_mid": S.binomial_half_two_sided(n01, n10, mid_p=True)})
+    logs = {"p_mcnemar": S.mcnemar_log_p(n01, n10), "p_exact": S.binomial_half_log_p(n01, n10),
+            "p_mid": S.binomial_half_log_p(n01, n10, mid_p=True)}
+    out = out.withColumns({f"_{p}": x for p, x in logs.items()})
+    out = out.withColumns({p: F.exp(f"_{p}") for p in logs} | {f"log10_{p}": S.log10_of(F.col(f"_{p}")) for p in logs})
+    return out.drop(*[f"_{p}" for p in logs])
 
 
 def _placed(cells: DataFrame, score: str, by: list[str], counted: DataFrame) -> DataFrame:
@@ -104,9 +105,11 @@ def delong(paired: DataFrame, by: list[str], a: str = "a", b: str = "b", y: Colu
     tiny = F.col("var") > 1e-18
     out = out.withColumn("z", F.when(tiny, F.col("diff") / F.sqrt("var")))
     # A vanishing variance is p=1 in one convention and undefined in the other.
-    p = S.two_sided_normal_p(F.col("z"))
+    out = out.withColumn("_log", S.two_sided_normal_log_p(F.col("z")))
+    p = F.exp("_log")
     return out.withColumns({
-        "p": F.when(tiny, p).otherwise(F.lit(1.0)), "p_or_nan": F.when(tiny, p).otherwise(F.lit(math.nan))})
+        "p": F.when(tiny, p).otherwise(F.lit(1.0)), "p_or_nan": F.when(tiny, p).otherwise(F.lit(math.nan)),
+        "log10_p": F.when(tiny, S.log10_of(F.col("_log"))).otherwise(F.lit(0.0))}).drop("_log")
 
 
 def paired_scores(target: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +31,55 @@ def _no_zeros(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a * b as its rounded value and the error of that rounding (Dekker's splitting)."""
+    def halves(x):
+        c = x * 134217729.0
+        top = c - (c - x)
+        return top, x - top
+
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    return p, al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+
+
+def _off_tie(x: Column, digits: int) -> Column:
+    """``x``, or where its shortest form lies halfway between two numbers of so many digits, the one that the binary value
+    is nearer to (the even one if that value is the halfway point itself). Powers of ten up to 22 are exact; beyond
+    them the halfway form is rounded up."""
+    text = F.format_string(f"%.{digits}e", F.abs(x))
+    whole = F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit("")).try_cast("long")
+    power = F.substring_index(text, "e", -1).try_cast("int") - digits
+    tie = (text.try_cast("double") == F.abs(x)) & (whole % 10 == 5) & F.abs(power).between(0, 22)
+
+    def nearer(s):
+        m, q, size = s["m"], s["q"], F.abs(s["x"])
+        scale = F.pow(F.lit(10.0), F.abs(q))
+        left, left_error = _product(F.when(q > 0, m.cast("double")).otherwise(size), scale)
+        right = F.when(q > 0, size).otherwise(m.cast("double"))
+        side = ((left - right) + left_error) * F.when(q > 0, -1.0).otherwise(1.0)
+        low = F.floor(m / 10)
+        up = (side > 0) | ((side == 0) & (low % 2 == 1))
+        value = F.concat((low + up.cast("int")).cast("string"), F.lit("e"), (q + 1).cast("string")).try_cast("double")
+        return value * F.signum(s["x"])
+
+    return F.when(tie, let(F.struct(whole.alias("m"), power.alias("q"), x.alias("x")), nearer)).otherwise(x)
+
+
 def _significant(c: Column, digits: int) -> Column:
     """A number with so many significant digits and no trailing zeros, as C's %g prints it."""
     def body(x):
         scientific = F.format_string(f"%.{digits - 1}e", x)
         # The exponent after rounding to the wanted digits.
         exponent = F.substring_index(scientific, "e", -1).try_cast("int")
-        scale = F.pow(F.lit(10.0), F.lit(digits - 1) - exponent)
-        plain = F.format_string(f"%.{digits + 4}f", F.round(x * scale, 0) / scale)
+        plain = F.format_string(f"%.{digits + 4}f", scientific.try_cast("double"))
         short = F.concat(_no_zeros(F.substring_index(scientific, "e", 1)), F.lit("e"),
                          F.substring_index(scientific, "e", -1))
         return (
             F.when(F.isnan(x), F.lit("nan")).when(x == 0, F.lit("0"))
+            .when(F.abs(x) == math.inf, F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
             .when((exponent < -4) | (exponent >= digits), short).otherwise(_no_zeros(plain)))
 
-    return let(c.cast("double"), body)
+    return let(c.cast("double"), lambda v: let(_off_tie(v, digits), body))
 
 
 def csv_table(df: DataFrame, digits: int = 6) -> DataFrame:

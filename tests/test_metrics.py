@@ -288,3 +288,32 @@ def test_delong_joins_nothing_on_a_score(spark):
     plan = G.delong(df, ["run"])._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "_g_" in line]
     assert joins and all("_g__bucket" in line and "_g_a" not in line and "_g_b#" not in line for line in joins)
+
+
+def test_logarithms_of_tails(spark):
+    from fractions import Fraction
+    from math import comb, log10
+
+    from pyspark.sql import functions as F
+
+    from lineaudit.functions import statistics as S
+
+    pairs = [(0, 0), (0, 1), (3, 3), (0, 40), (7, 21), (400, 700), (900, 5000), (0, 3000)]
+    rows = spark.createDataFrame(pairs, "b long, c long").select("b", "c", S.log10_of(S.binomial_half_log_p(F.col("b"), F.col("c"))).alias("x"),
+                                                                 S.log10_of(S.binomial_half_log_p(F.col("b"), F.col("c"), True)).alias("m")).collect()
+    for r in rows:
+        n, k = r["b"] + r["c"], min(r["b"], r["c"])
+
+        def exact(last):
+            if not n:
+                return 0.0
+            p = Fraction(2 * (sum(comb(n, i) for i in range(k)) + last * comb(n, k)), 2 ** n)
+            return min(0.0, log10(p.numerator) - log10(p.denominator))
+
+        assert abs(r["x"] - exact(1)) < 1e-9 * max(1, abs(r["x"])), r
+        assert abs(r["m"] - exact(Fraction(1, 2))) < 1e-9 * max(1, abs(r["m"])), r
+    big = spark.createDataFrame([(5e11, 5e11 + 3e6), (1e11, 9e11)], "b double, c double").select(
+        S.binomial_half_log_p(F.col("b"), F.col("c")).alias("x"), S.mcnemar_log_p(F.col("b"), F.col("c")).alias("y")).collect()
+    assert abs(big[0]["x"] - big[0]["y"]) < 1e-4 and big[1]["x"] < -1e10
+    near, far = S._log_erfc(19.999999), S._log_erfc(20.000001)
+    assert 0 < near - far < 1e-4

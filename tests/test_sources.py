@@ -270,3 +270,17 @@ def test_named_files_of_a_repeated_task_and_a_failed_job(spark, tmp_path):
     assert (folder / "a").read_bytes() == b"" and len(list(folder.iterdir())) == 41
     rows.write.format("named_files").mode("overwrite").save(str(folder))
     assert {p.name: p.read_text("utf-8") for p in folder.iterdir()} == payloads
+
+
+def test_csv_numbers_round_by_binary_value(spark):
+    import random
+
+    from lineaudit.sources.sinks import csv_table
+
+    rng = random.Random(1)
+    values = [1.5, -18518.55, 18518.55, 8024705.0, 123456.5, 123457.5, 999999.5, 9999995.0, 0.0001234565, float("nan"), float("inf"), -float("inf")]
+    for _ in range(400):
+        values.append(float(f"{rng.randrange(10 ** 5, 10 ** 6) * 10 + 5}e{rng.randint(-22, 16)}") * rng.choice([1, -1]))
+        values.append(rng.gauss(0, 1) * 10 ** rng.randint(-20, 20))
+    rows = csv_table(spark.createDataFrame(list(enumerate(values)), "i int, v double")).collect()
+    assert [(r["i"], r["v"]) for r in rows if r["v"] != f"{values[r['i']]:.6g}"] == []
