@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ranking", "comparisons", "corpora", "texts", "training", "surfaces")
+MODULES = ("ranking", "comparisons", "corpora", "texts", "training", "surfaces", "exchange")
 
 
 def registry():

@@ -150,16 +150,16 @@ def embedding_surgery(spark, d):
     return r6(out.withColumn("dim", F.col("dim").cast("long")), "value")
 
 
-def _axis(name: str, matrix: str) -> str:
+def _axis(name: str, matrix: str, n: int = 64) -> str:
     """Strongest direction of a symmetric matrix: squared until only that direction is left, then one of its rows."""
     return f"""
 {name}_p as (
   select 0 as step, {matrix} as p from {name}_in
   union all
   select step + 1, [[x / t for x in r] for r in q] from (
-    select step, q, list_sum([q[i][i] for i in range(1, 65)]) as t from (
+    select step, q, list_sum([q[i][i] for i in range(1, {n + 1})]) as t from (
       select step, [[list_inner_product(r, c) for c in p] for r in p] as q from {name}_p where step < 30))),
-{name}_r as (select p, list_position([p[i][i] for i in range(1, 65)], list_max([p[i][i] for i in range(1, 65)])) as peak
+{name}_r as (select p, list_position([p[i][i] for i in range(1, {n + 1})], list_max([p[i][i] for i in range(1, {n + 1})])) as peak
   from {name}_p where step = 30),
 {name} as (select [x / sqrt(list_inner_product(p[peak], p[peak])) for x in p[peak]] as v from {name}_r)"""
 

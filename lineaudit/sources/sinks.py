@@ -92,29 +92,65 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_table(df).write.option("header", True).csv(path)
 
 
-def latex_rows(table: DataFrame) -> DataFrame:
-    """One table line per baseline: baseline against target, the target bold where it wins."""
-    def p(c):
-        x = F.col(c)
-        power = F.concat(
-            F.lit("$"), F.substring_index(F.format_string("%.2e", x), "e", 1), F.lit(r"\times 10^{"),
-            F.substring_index(F.format_string("%.2e", x), "e", -1).cast("int").cast("string"), F.lit("}$"))
-        return (
-            F.when(x.isNull() | F.isnan(x), F.lit("---")).when(x < 1e-4, F.lit(r"$<10^{-4}$"))
-            .when(x < 1e-3, power).otherwise(F.format_string("$%.3f$", x)))
+def _latex_p(c: str) -> Column:
+    x = F.col(c)
+    power = F.concat(
+        F.lit("$"), F.substring_index(F.format_string("%.2e", x), "e", 1), F.lit(r"\times 10^{"),
+        F.substring_index(F.format_string("%.2e", x), "e", -1).cast("int").cast("string"), F.lit("}$"))
+    return (
+        F.when(x.isNull() | F.isnan(x), F.lit("---")).when(x < 1e-4, F.lit(r"$<10^{-4}$"))
+        .when(x < 1e-3, power).otherwise(F.format_string("$%.3f$", x)))
+
+
+def _latex_pair(base: str, target: str) -> Column:
+    """Baseline against target, the target bold where it wins; a missing one is a dash."""
+    def number(c):
+        return F.when(F.col(c).isNull(), F.lit("---")).otherwise(F.format_string("%.3f", F.col(c)))
+
+    t, b = number(target), number(base)
+    bold = F.when(F.col(target) > F.col(base), F.concat(F.lit(r"\textbf{"), t, F.lit("}"))).otherwise(t)
+    return F.concat(b, F.lit(" vs "), bold)
+
+
+def _latex_name() -> Column:
+    return F.replace(F.replace("run", F.lit("_records"), F.lit("")), F.lit("_"), F.lit(" "))
 
-    def against(base, target):
-        t = F.format_string("%.3f", F.col(target))
-        bold = F.when(F.col(target) > F.col(base), F.concat(F.lit(r"\textbf{"), t, F.lit("}"))).otherwise(t)
-        return F.concat(F.format_string("%.3f", F.col(base)), F.lit(" vs "), bold)
 
-    name = F.replace(F.replace("run", F.lit("_records"), F.lit("")), F.lit("_"), F.lit(" "))
+def latex_rows(table: DataFrame) -> DataFrame:
+    """One table line per baseline: baseline against target, the target bold where it wins."""
     cells = F.concat_ws(
-        " & ", name, F.col("n_paired").cast("string"), against("baseline_topk", "target_topk"), p("p_mcnemar"),
-        against("auc_b", "auc_a"), p("p"))
+        " & ", _latex_name(), F.col("n_paired").cast("string"), _latex_pair("baseline_topk", "target_topk"), _latex_p("p_mcnemar"),
+        _latex_pair("auc_b", "auc_a"), _latex_p("p"))
     return table.select("run", F.concat(cells, F.lit(r" \\")).alias("line"))
 
 
+def latex_document(table: DataFrame, ks: tuple[int, ...] = (1, 3), caption: str = "Paired significance tests.",
+                   label: str = "tab:significance", interval: bool = False) -> DataFrame:
+    """(position, run, line): the whole LaTeX table of a ``significance_by_k`` result, in the order of ``position``, then ``run``.
+
+    Every baseline has its rate pair and p-value for each k, its AUROC pair and p-value and, with ``interval``, the resampled
+    95 % interval of the difference of the areas. ``run`` is NULL on the lines around the rows; missing values are dashes.
+    """
+    cells = [_latex_name(), F.col("n_paired").cast("string")]
+    for k in ks:
+        cells += [_latex_pair(f"baseline_top{k}", f"target_top{k}"), _latex_p(f"p_mcnemar_top{k}")]
+    cells += [_latex_pair("auc_b", "auc_a"), _latex_p("p")]
+    if interval:
+        cells.append(F.when(F.col("diff_lo").isNull(), F.lit("---")).otherwise(
+            F.format_string("[%.3f, %.3f]", F.col("diff_lo"), F.col("diff_hi"))))
+    names = [f"top-{k}" for k in ks] + ["AUROC"]
+    end = r" \\"
+    head = [r"\begin{table}[t]", r"\centering", r"\small", rf"\caption{{{caption}}}", rf"\label{{{label}}}",
+            rf"\begin{{tabular}}{{l{'r' * (len(cells) - 1)}}}", r"\toprule",
+            "Baseline & $n$ & " + " & ".join(rf"\multicolumn{{2}}{{c}}{{{n}}}" for n in names) + (" & 95 \\% of the difference" if interval else "") + end,
+            " & & " + " & ".join(["rate & $p$"] * len(ks) + ["val & $p$"]) + (" & " if interval else "") + end, r"\midrule"]
+    foot = [r"\bottomrule", r"\end{tabular}", r"\end{table}"]
+    around = [(i, line) for i, line in enumerate(head)] + [(len(head) + 1 + i, line) for i, line in enumerate(foot)]
+    fixed = table.sparkSession.createDataFrame(around, "position int, line string").select(
+        "position", F.lit(None).cast("string").alias("run"), "line")
+    return fixed.unionByName(table.select(F.lit(len(head)).alias("position"), "run", F.concat(F.concat_ws(" & ", *cells), F.lit(end)).alias("line")))
+
+
 # -- one file per implementation --------------------------------------------------------
 
 def impl_payloads(impls: DataFrame, lines: DataFrame) -> DataFrame:
@@ -137,12 +173,6 @@ def write_payloads(payloads: DataFrame, folder: str) -> DataFrame:
     return payloads.select("impl_id", "file_name")
 
 
-def light_projection(points: DataFrame, scope: str) -> DataFrame:
-    cols = {"impl": ["impl_id", "spec_id", "status", "whole_impl_energy", "n_lines", "has_pass_sibling", "x", "y"],
-            "line": ["impl_id", "line_idx", "line_text", "energy", "is_buggy", "impl_status", "x", "y"]}[scope]
-    return points.select(*[c for c in cols if c in points.columns])
-
-
 def summary_json(row: DataFrame) -> DataFrame:
     """A one-row frame as one JSON text."""
     return row.select(F.to_json(F.struct("*")).alias("summary"))
