@@ -188,6 +188,13 @@ def _rows(kind: int, hi: str, code: str, value: str) -> list[Column]:
             F.col(value).alias("value"), (F.when(wide, before.bitwiseAND(pair)) if abs(kind) >= 3 else F.lit(None).cast("bigint")).alias("pair")]
 
 
+def _discount(i: int, y: float, n: float, after: float) -> float:
+    """Discount of count ``i``, of which there are ``n``, by the ``after`` n-grams of the next count. Where the counts of counts
+    give none that is above 0 (small corpora), half of ``i``: without a discount an unseen n-gram would have probability 0."""
+    d = i - (i + 1) * y * after / n if n and after else 0.0
+    return min(float(i), d) if d > 0 else 0.5 * i
+
+
 def train(texts: DataFrame) -> DataFrame:
     """The model: (kind, code, value, pair). kind n in 1..ORDER: probability of n-gram ``code``;
     kind -n: back-off weight of the context ``code`` of n-grams of order n."""
@@ -202,8 +209,7 @@ def train(texts: DataFrame) -> DataFrame:
         r = g.agg(*(F.sum((F.col("n") == i).cast("bigint")).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
         n1, n2, n3, n4 = (float(r[f"n{i}"] or 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        # Too few counts of counts (tiny corpora) give discounts of 0.5, 1 and 1.5.
-        d = [min(i, max(0.0, i - (i + 1) * y * b / a)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = [_discount(i, y, a, b) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         ctx_hi, ctx = _context(o)
         rows = g.withColumns({"ctx_hi": ctx_hi, "ctx": ctx}).withColumn(
             "d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
