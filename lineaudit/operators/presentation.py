@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineaudit.functions import text as T
 from lineaudit.functions.binding import let
 from lineaudit.functions.reducers import z_scores
+from lineaudit.sources.sinks import fixed
 
 
 def heat(energies: Column) -> Column:
@@ -31,7 +32,8 @@ def html_rows(texts: Column, energies: Column) -> Column:
         return s
 
     return F.transform(cells, lambda c: F.concat(
-        F.lit('<div style="background:hsl('), F.format_string("%.1f", c["h"]["hue"]), F.lit(',70%,85%)">'),
+        # The last digits of a mean differ between engines; the hue is printed from eight decimals, by its binary value.
+        F.lit('<div style="background:hsl('), fixed(F.round(c["h"]["hue"], 8), 1), F.lit(',70%,85%)">'),
         escaped(c["t"]), F.lit("</div>")))
 
 

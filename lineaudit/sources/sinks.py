@@ -65,6 +65,22 @@ def _off_tie(x: Column, digits: int) -> Column:
     return F.when(tie, let(F.struct(whole.alias("m"), power.alias("q"), x.alias("x")), nearer)).otherwise(x)
 
 
+def fixed(c: Column, places: int) -> Column:
+    """A number with so many decimal places, rounded by its binary value as C's %f does (the even one of two equally near);
+    for numbers below 1e9."""
+    def body(x):
+        form, scale = f"%.{places}f", 10.0 ** (places + 1)
+        size = F.abs(x)
+        m = F.round(size * scale).cast("long")
+        tie = (m / F.lit(scale) == size) & (m % 10 == 5)
+        p, error = _product(size, F.lit(scale))
+        side, low = (p - m) + error, F.floor(m / 10)
+        up = (side > 0) | ((side == 0) & (low % 2 == 1))
+        return F.format_string(form, F.when(tie, (low + up.cast("int")) / F.lit(10.0 ** places) * F.signum(x)).otherwise(x))
+
+    return let(c.cast("double"), body)
+
+
 def _significant(c: Column, digits: int) -> Column:
     """A number with so many significant digits and no trailing zeros, as C's %g prints it."""
     def body(x):
