@@ -26,3 +26,13 @@ def test_hue_prints_by_its_binary_value(spark):
     values += [rng.randrange(24001) / 200 for _ in range(500)] + [rng.random() * 120 for _ in range(200)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v"), 1).alias("s")).collect()
     assert [(r["v"], r["s"]) for r in rows if r["s"] != f"{r['v']:.1f}"] == []
+
+
+def test_bigrams_of_a_tile_are_those_of_the_column(spark):
+    from lineaudit.functions import text as T
+    from lineaudit.operators.siblings import _bigrams
+
+    texts = ["abab", "x", "", "äöü😀b😀b", "aa", "a b c", "zz"]
+    codes, at = _bigrams(texts)
+    want = [sorted(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "s string").select(T.bigram_codes(F.col("s"))).collect()]
+    assert [codes[at[i]:at[i + 1]].tolist() for i in range(len(texts))] == want
