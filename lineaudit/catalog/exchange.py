@@ -9,6 +9,7 @@ from lineaudit.catalog.comparisons import (
     _CHI, _DELONG, _P_EXACT, _erfc, _latex_p, _latex_pair, _pairs, _target_and_baselines)
 from lineaudit.catalog.ranking import r6
 from lineaudit.catalog.surfaces import _axis, _record_digests
+from lineaudit.functions.binding import let
 from lineaudit.operators import manifold as N
 from lineaudit.operators import presentation as V
 from lineaudit.operators import significance as G
@@ -107,8 +108,8 @@ _DIM = 8
 def _with_vectors(records):
     """A vector per line, as an encoder would give it: digits of the digest of its text."""
     def vector(text):
-        h = F.sha1(F.encode(text, "UTF-8"))
-        return F.array(*[F.conv(F.substring(h, i + 1, 1), 16, 10).cast("double") * (_DIM - i) for i in range(_DIM)])
+        return let(F.sha1(F.encode(text, "UTF-8")), lambda h: F.array(*[
+            F.conv(F.substring(h, i + 1, 1), 16, 10).cast("double") * (_DIM - i) for i in range(_DIM)]))
 
     return records.withColumn("line_vectors", F.transform("scorable_line_texts", vector))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineaudit.operators.field import page, project_2d
 from lineaudit.operators.siblings import pass_sibling_flag
+from lineaudit.session import stable
 
 
 def mean_of(vectors: Column, dim: int) -> Column:
@@ -23,6 +24,8 @@ def tables(records: DataFrame, impls: DataFrame, vectors: str = "line_vectors",
     spec passes, and both texts; either table has its position (x, y) on its own two principal axes. A record without an
     implementation is left out. Lines never leave their row before they are written: a shuffle sees implementations only.
     """
+    # The axes, the ranges and the writer of either table read them: texts are scored and encoded once.
+    records = stable(records)
     sizes = F.least(F.size("per_line_energies"), F.size(vectors))
     lines = records.select("impl_id", "spec_id", F.col("status").alias("impl_status"), F.inline(F.transform(
         F.filter(F.sequence(F.lit(0), sizes), lambda i: i < sizes), lambda i: F.struct(
@@ -31,7 +34,7 @@ def tables(records: DataFrame, impls: DataFrame, vectors: str = "line_vectors",
     own = records.select("impl_id", "whole_impl_energy", sizes.alias("n_lines"), mean_of(F.slice(F.col(vectors), 1, sizes), dim).alias("vector"))
     # Siblings count among the implementations that have a record.
     texts = impls.select("impl_id", "spec_id", "status", "spec_text", "impl_text")
-    return (project_2d(pass_sibling_flag(texts.join(own, "impl_id")), "vector", dim),
+    return (project_2d(stable(pass_sibling_flag(texts.join(own, "impl_id"))), "vector", dim),
             project_2d(lines, "vector", dim))
 
 

@@ -36,3 +36,10 @@ def test_bigrams_of_a_tile_are_those_of_the_column(spark):
     codes, at = _bigrams(texts)
     want = [sorted(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "s string").select(T.bigram_codes(F.col("s"))).collect()]
     assert [codes[at[i]:at[i + 1]].tolist() for i in range(len(texts))] == want
+
+
+def test_vector_takes_one_digest_per_line(spark):
+    from lineaudit.catalog.exchange import _with_vectors
+
+    rows = spark.createDataFrame([(["a", "b"],)], "scorable_line_texts array<string>")
+    assert _plan(_with_vectors(rows)).count("sha1(") == 1
