@@ -11,6 +11,7 @@ from lineaudit.functions import status as ST
 from lineaudit.functions import text as T
 from lineaudit.operators import metrics as M
 from lineaudit.plans.ordered import order_statistics, row_positions
+from lineaudit.session import stable
 
 
 def status_census(rows: DataFrame) -> DataFrame:
@@ -106,6 +107,8 @@ def pair_scan(raw: DataFrame) -> DataFrame:
 def diff_size_quantiles(diffed: DataFrame, max_lines: int = 3) -> DataFrame:
     """Quantiles of the diff size (column ``n_changed``) and the share within 1..max_lines."""
     n = F.col("n")
+    # Both results read the sizes, the quantiles more than once; the diffs behind them run once.
+    diffed = stable(diffed.select("n_changed"))
     q = order_statistics(diffed, [], "n_changed", {
         "p25": F.floor(n / 4), "p50": F.floor(n / 2), "p75": F.floor(3 * n / 4), "p99": F.floor(0.99 * n)})
     small = diffed.agg(F.avg(F.col("n_changed").between(1, max_lines).cast("int")).alias("small_share"))

@@ -43,3 +43,13 @@ def test_vector_takes_one_digest_per_line(spark):
 
     rows = spark.createDataFrame([(["a", "b"],)], "scorable_line_texts array<string>")
     assert _plan(_with_vectors(rows)).count("sha1(") == 1
+
+
+def test_quantiles_do_not_repeat_the_diff(spark):
+    from lineaudit.functions import diffs
+    from lineaudit.operators import corpus as C
+
+    rows = spark.createDataFrame([(["a", "b"], ["a"]), (["a"], ["a"])], "a array<string>, b array<string>")
+    out = C.diff_size_quantiles(rows.select(F.size(diffs.first_side()("a", "b")).alias("n_changed")))
+    assert "first(" not in _plan(out)
+    assert out.first()["small_share"] == 0.5
