@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+ROWS = 64
+
 
 def changed_in_first(a: list[str], b: list[str]) -> list[int]:
     """Lines of ``a`` that were replaced or deleted on the way to ``b``."""
@@ -30,20 +32,25 @@ def changed_in_second(a: list[str], b: list[str]) -> list[int]:
 
 
 def _per_row(fn):
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else fn(list(x), list(y)) for x, y in zip(a, b)])
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        # Lines become Python texts for a few rows at a time; a batch may hold 10,000 long texts.
+        for i in range(0, len(a), ROWS):
+            out += [None if x is None or y is None else fn(x, y)
+                    for x, y in zip(a.slice(i, ROWS).to_pylist(), b.slice(i, ROWS).to_pylist())]
+        return pa.array(out, pa.list_(pa.int32()))
     return run
 
 
 def first_side():
     """Column function (array<string>, array<string>) -> array<int>."""
-    def first(a: pd.Series, b: pd.Series) -> pd.Series:
+    def first(a: pa.Array, b: pa.Array) -> pa.Array:
         return _per_row(changed_in_first)(a, b)
     # "Nondeterministic" keeps filters on the result from running the diff twice.
-    return F.pandas_udf(first, "array<int>").asNondeterministic()
+    return F.arrow_udf(first, "array<int>").asNondeterministic()
 
 
 def second_side():
-    def second(a: pd.Series, b: pd.Series) -> pd.Series:
+    def second(a: pa.Array, b: pa.Array) -> pa.Array:
         return _per_row(changed_in_second)(a, b)
-    return F.pandas_udf(second, "array<int>").asNondeterministic()
+    return F.arrow_udf(second, "array<int>").asNondeterministic()

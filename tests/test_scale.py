@@ -53,3 +53,14 @@ def test_quantiles_do_not_repeat_the_diff(spark):
     out = C.diff_size_quantiles(rows.select(F.size(diffs.first_side()("a", "b")).alias("n_changed")))
     assert "first(" not in _plan(out)
     assert out.first()["small_share"] == 0.5
+
+
+def test_diffs_take_some_rows_at_a_time():
+    import pyarrow as pa
+
+    from lineaudit.functions import diffs
+
+    n = diffs.ROWS * 2 + 1
+    a = pa.array([["x", "y"]] * n + [None], pa.list_(pa.string()))
+    b = pa.array([["x"]] * n + [["x"]], pa.list_(pa.string()))
+    assert diffs._per_row(diffs.changed_in_first)(a, b).to_pylist() == [[1]] * n + [None]
