@@ -19,11 +19,16 @@ from lineaudit.functions.reducers import total
 from lineaudit.plans.emit import filter_map
 
 
+ROWS = 256
+
+
 def _encoder(make: Callable[[], Callable[[str], list[int]]]):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = make()
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else list(run(t)))
+            # Ids leave some rows at a time; a batch may hold 10,000 long texts.
+            for i in range(0, len(texts), ROWS):
+                yield texts.iloc[i:i + ROWS].map(lambda t: None if t is None else list(run(t)))
 
     # The type hints above are strings at run time; give Spark the real ones.
     encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

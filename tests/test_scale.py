@@ -64,3 +64,14 @@ def test_diffs_take_some_rows_at_a_time():
     a = pa.array([["x", "y"]] * n + [None], pa.list_(pa.string()))
     b = pa.array([["x"]] * n + [["x"]], pa.list_(pa.string()))
     assert diffs._per_row(diffs.changed_in_first)(a, b).to_pylist() == [[1]] * n + [None]
+
+
+def test_token_ids_leave_some_rows_at_a_time():
+    import pandas as pd
+
+    from lineaudit.operators import models
+
+    encode = models._encoder(lambda: lambda text: [len(text)]).func
+    parts = list(encode(iter([pd.Series(["ab"] * (models.ROWS * 2) + [None])])))
+    assert max(len(p) for p in parts) == models.ROWS and sum(len(p) for p in parts) == models.ROWS * 2 + 1
+    assert parts[0].iloc[0] == [2] and parts[-1].iloc[0] is None
