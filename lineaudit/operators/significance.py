@@ -142,7 +142,8 @@ def significance_by_k(target: DataFrame, baselines: DataFrame, ks: tuple[int, ..
     """One row per baseline: recall and paired test for every k, both AUROCs, their paired test, and a resampled
     95 % interval of their difference. Ids are unique within a run; a run without both classes has NULL areas."""
     def narrow(records, hit, *extra):
-        return records.select(*extra, "impl_id", "status", "whole_impl_energy", hits_at(ks).alias(hit))
+        # Recall, areas and resamples all read it: the texts behind it are scored once.
+        return stable(records.select(*extra, "impl_id", "status", "whole_impl_energy", hits_at(ks).alias(hit)))
 
     t, b = narrow(target, "t"), narrow(baselines, "b", "run")
     pairs = t.select("impl_id", "t").join(b.select("impl_id", "run", "b"), "impl_id")

@@ -45,6 +45,14 @@ def test_vector_takes_one_digest_per_line(spark):
     assert _plan(_with_vectors(rows)).count("sha1(") == 1
 
 
+def test_significance_by_k_scores_once(records):
+    from lineaudit.operators import significance as G
+
+    rows = records(("s", "FAIL", 2, [2, 1], [0]), ("s", "PASS", 1, [1, 0], []), ("s", "FAIL", 3, [1, 3], [0]))
+    out = G.significance_by_k(rows, rows.withColumn("run", F.lit("b")), ks=(1,), iters=2)
+    assert "per_line_energies" not in _plan(out)
+
+
 def test_quantiles_do_not_repeat_the_diff(spark):
     from lineaudit.functions import diffs
     from lineaudit.operators import corpus as C
