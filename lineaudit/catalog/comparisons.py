@@ -251,8 +251,8 @@ select w.run, max(n_paired) as n_paired, """ + ", ".join(
 from w join (select *, abs(auc_a - auc_b) / sqrt(var) / sqrt(2) as az from dl) using (run) join ci using (run) group by w.run""")
 def significance_by_k(spark, d):
     out = G.significance_by_k(*_target_and_baselines(spark, d), ks=_KS, iters=20)
-    logs = {f"p_exact_top{k}": f"log10_p_exact_top{k}" for k in _KS}
-    out = out.withColumns({c: F.log10(c) for c in logs}).withColumnsRenamed(logs)
+    # The logarithm of a p-value that is itself below the smallest double.
+    out = out.drop(*[f"p_exact_top{k}" for k in _KS])
     return r6(out, *[c for c in out.columns if c not in ("run", "n_paired", "n_pos", "n_neg")])
 
 

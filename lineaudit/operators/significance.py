@@ -151,7 +151,8 @@ def significance_by_k(target: DataFrame, baselines: DataFrame, ks: tuple[int, ..
                                         F.get("b", F.lit(i)).alias("baseline_hit")) for i, k in enumerate(ks)]),
                      lambda x: x["target_hit"].isNotNull() & x["baseline_hit"].isNotNull())
     table = mcnemar_table(pairs.select("run", F.inline(per_k)), ["run", "k"])
-    named = {"target_topk": "target_top", "baseline_topk": "baseline_top", "p_mcnemar": "p_mcnemar_top", "p_exact": "p_exact_top"}
+    named = {"target_topk": "target_top", "baseline_topk": "baseline_top", "p_mcnemar": "p_mcnemar_top", "p_exact": "p_exact_top",
+             "log10_p_exact": "log10_p_exact_top"}
     recall = table.groupBy("run").agg(F.max("n_paired").alias("n_paired"), *[
         F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{name}{k}") for k in ks for c, name in named.items()])
     scores = paired_scores(t, b)

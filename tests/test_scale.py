@@ -83,3 +83,15 @@ def test_token_ids_leave_some_rows_at_a_time():
     parts = list(encode(iter([pd.Series(["ab"] * (models.ROWS * 2) + [None])])))
     assert max(len(p) for p in parts) == models.ROWS and sum(len(p) for p in parts) == models.ROWS * 2 + 1
     assert parts[0].iloc[0] == [2] and parts[-1].iloc[0] is None
+
+
+def test_exact_p_by_k_keeps_its_size(spark):
+    from lineaudit.operators import significance as G
+
+    def side(energies):
+        return spark.range(1200).select(
+            F.concat(F.lit("i"), "id").alias("impl_id"), F.lit("FAIL").alias("status"), F.lit(1.0).alias("whole_impl_energy"),
+            F.array(*[F.lit(e) for e in energies]).alias("per_line_energies"), F.array(F.lit(0)).alias("buggy_line_indices"))
+
+    out = G.significance_by_k(side([2.0, 1.0]), side([1.0, 2.0]).withColumn("run", F.lit("b")), ks=(1,), iters=1).first()
+    assert abs(out["log10_p_exact_top1"] + 1199 * 0.30102999566398) < 1e-6
