@@ -436,11 +436,12 @@ def last_record_per_key(spark, d):
 with o as (select *, row_number() over (partition by user_id order by event_id desc) as r from events where user_id is not null and ts is not null)
 select user_id, event_id, event_type, value from o where r = 1""")
 def streamed_last_records(spark, d):
-    """The same from a stream of four files, one micro-batch each, through keyed state and the batch-wise sink."""
+    """The same from a stream of four micro-batches, a file for each core, through keyed state and the batch-wise sink."""
     source, made, marks = scratch(spark, "events"), scratch(spark, "latest"), scratch(spark, "marks")
     events = bridge.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartitionByRange(4, "ts", "event_id").write.parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = spark.sparkContext.defaultParallelism
+    events.repartitionByRange(4 * files, "ts", "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
     SR.upsert(SR.latest_updates(stream, "user_id", "event_id", "ts", "365 days"), made, marks).awaitTermination()
     return SR.read_latest(spark, made, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType, StringType
 
 from lineaudit import schemas
 from lineaudit.functions import ranking as R
@@ -43,34 +45,55 @@ def each_batch(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkp
 
 # -- the last record of each key ------------------------------------------------------------------
 
-def latest_updates(rows: DataFrame, key: str, order: str, time: str, delay: str) -> DataFrame:
+#: Groups of keys that share one state; fixed for the life of a stream, since its checkpoint holds them.
+BUCKETS = 4096
+
+
+def latest_updates(rows: DataFrame, key: str, order: str, time: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """Of every micro-batch the rows that are the last of their key so far, by ``order``; at most one per key.
 
     State is one order value per key, kept until the watermark (``delay`` behind the latest ``time``) has passed the
     key's last row. Repeated rows and rows out of order but within the delay change nothing or take their place; rows
     that come later than the delay are dropped by the watermark. Rows without key, order or time have no place.
+
+    Integer and text keys share a state by ``buckets`` digests, so that a micro-batch calls Python once per bucket
+    instead of once per key; a batch rewrites the states of the buckets it meets. Other keys have a state each.
     """
+    names = rows.columns
+
     def newest(_, chunks, state: GroupState):
-        if state.hasTimedOut:
+        kept = dict(zip(state.get[0], zip(state.get[1], state.get[2]))) if state.exists else {}
+        now, found = state.getCurrentWatermarkMs(), None
+        # After a timeout there is a chunk, too, but without rows.
+        for pdf in chunks if not state.hasTimedOut else ():
+            ahead = {}
+            for i, (k, n, ms) in enumerate(zip(pdf["_key"].tolist(), pdf[order].tolist(), pdf["_ms"].tolist())):
+                best, until = kept.get(k, (None, now))
+                # A NaN is before every number.
+                if best is None or n > best or (best != best and n == n):
+                    best, ahead[k] = n, i
+                kept[k] = best, max(until, ms, now)
+            if ahead:
+                fresh = pdf.iloc[list(ahead.values())]
+                found = fresh if found is None else pd.concat([found[~found["_key"].isin(ahead.keys())], fresh])
+        kept = {k: v for k, v in kept.items() if v[1] + 1 >= now}
+        if kept:
+            state.update((list(kept), [v[0] for v in kept.values()], [v[1] for v in kept.values()]))
+            state.setTimeoutTimestamp(min(v[1] for v in kept.values()) + 1)
+        elif state.exists:
             state.remove()
-            return
-        best, until = state.get if state.exists else (None, 0)
-        found = None
-        for pdf in chunks:
-            at = pdf[order].argmax()
-            until = max(until, int(pdf["_ms"].max()))
-            if best is None or pdf[order].iloc[at] > best:
-                best, found = pdf[order].iloc[at].item(), pdf.iloc[at:at + 1]
-        state.update((best, until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs()) + 1)
         if found is not None:
-            yield found.drop(columns="_ms")
+            yield found[names]
 
     known = rows.filter(F.col(key).isNotNull() & F.col(order).isNotNull() & F.col(time).isNotNull())
-    timed = known.withWatermark(time, delay).withColumn("_ms", F.unix_millis(time))
-    kind = rows.schema[order].dataType.simpleString()
-    return timed.groupBy(key).applyInPandasWithState(
-        newest, rows.schema, f"best {kind}, until bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    shared = isinstance(rows.schema[key].dataType, (IntegralType, StringType))
+    timed = known.withWatermark(time, delay).withColumns({
+        "_ms": F.unix_millis(time), "_key": F.col(key) if shared else F.lit(0),
+        "_group": F.pmod(F.xxhash64(key), F.lit(buckets)) if shared else F.col(key)})
+    kinds = timed.schema["_key"].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+    return timed.groupBy("_group").applyInPandasWithState(
+        newest, rows.schema, "key array<{}>, best array<{}>, until array<bigint>".format(*kinds), "update",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

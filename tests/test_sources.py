@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import random
 
 import pytest
@@ -219,6 +220,33 @@ def test_stream_of_last_records_survives_a_failed_batch(spark, tmp_path):
     assert {tuple(map(str, r)) for r in SR.read_latest(spark, out, "id", "n").select("id", "n", "at", "extra").collect()} == want
 
 
+@pytest.mark.parametrize("kind, states", [("bigint", 1), ("double", 4)])
+def test_keys_of_a_stream_share_states(spark, tmp_path, kind, states):
+    """Integer keys lie in as many states as there are buckets; each key's order is still forgotten behind the watermark."""
+    start = datetime.datetime(2024, 1, 1)
+    batches = [
+        [(1, 10, 0), (1, 9, 1), (2, 3, 0), (2, 3, 2), (3, 1, 0)],
+        [(2, 2, 599), (2, 4, 600), (3, 7, 600), (3, 6, 601)],
+        [(2, 5, 601), (3, 5, 602), (4, 9, 60)],
+        [(1, 5, 601), (1, 6, 602), (3, 7, 603), (2, 99, 60), (4, 8, 603)]]
+    # The watermark is 8 h after the second batch: the third forgets key 1, the fourth drops the row of 1 h.
+    want = [[(1, 10, 0), (2, 3, 0), (3, 1, 0)], [(2, 4, 600), (3, 7, 600)], [(2, 5, 601), (4, 9, 60)], [(1, 6, 602)]]
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for i, rows in enumerate(batches):
+        (src / f"{i}.json").write_text("".join(json.dumps(
+            {"id": a, "n": n, "at": (start + datetime.timedelta(minutes=t)).isoformat()}) + "\n" for a, n, t in rows))
+        os.utime(src / f"{i}.json", (1e9 + i, 1e9 + i))
+    raw = spark.readStream.schema(f"id {kind}, n bigint, at timestamp").option("maxFilesPerTrigger", 1).json(str(src))
+    q = SR.upsert(SR.latest_updates(raw, "id", "n", "at", "2 hours", buckets=1), out, str(tmp_path / "marks"))
+    q.awaitTermination(120)
+    got = [[] for _ in batches]
+    for r in spark.read.option("basePath", out).parquet(out).collect():
+        got[r["batch"]].append((r["id"], r["n"], int((r["at"] - start).total_seconds() // 60)))
+    assert [sorted(b) for b in got] == want
+    assert q.lastProgress.stateOperators[0].numRowsTotal == states
+
+
 def test_corpus_size(spark, tmp_path):
     for repo, name, text in (("r1", "a.rs", "verus! {"), ("r1", "b.rs", "  x verus!"), ("r2", "c.rs", "a\n\tverus! é")):
         (tmp_path / repo).mkdir(exist_ok=True)
