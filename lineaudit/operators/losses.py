@@ -2,7 +2,8 @@
 
 ``by`` names the batch. Line losses are computed inside the row; group losses
 compare every failing example with the one anchor of its group, so the work is
-linear in the rows.
+linear in the rows. What reads the rows several times writes its few numbers a
+record once, so that records are scored once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from lineaudit.functions.reducers import log_sum_exp, softplus, total
 from lineaudit.plans.joins import join_groups
 from lineaudit.plans.merging import log_sum_exp_by
 from lineaudit.plans.skew import lookup
+from lineaudit.session import stable
 
 
 def _e() -> Column:
@@ -26,6 +28,14 @@ def _mean(values: Column) -> Column:
     return let(values, lambda v: total(v) / F.size(v))
 
 
+_WHOLE = ("spec_id", "impl_id", "status", "whole_impl_energy")
+
+
+def _once(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """The columns that group losses meet up to five times, and ``more`` numbers of a record, written once."""
+    return stable(rows.select(*by, *_WHOLE, *more))
+
+
 # -- implementation-level -----------------------------------------------------------
 
 def _anchors(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -40,6 +50,10 @@ def _anchors(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def spec_infonce(rows: DataFrame, by: list[str]) -> DataFrame:
     """Anchor against all failing examples of the batch: its own spec's and the others'."""
+    return _spec_infonce(_once(rows, by), by)
+
+
+def _spec_infonce(rows: DataFrame, by: list[str]) -> DataFrame:
     fails = rows.filter("status = 'FAIL'")
     w = F.col("whole_impl_energy")
     pool = log_sum_exp_by(fails, by, -w, "_pool", _n=F.count("*"), _t=F.sum(w))
@@ -60,12 +74,20 @@ def _pairs(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pair_logistic(rows: DataFrame, by: list[str], margin: float = 0.0) -> DataFrame:
+    return _pair_logistic(_once(rows, by), by, margin)
+
+
+def _pair_logistic(rows: DataFrame, by: list[str], margin: float = 0.0) -> DataFrame:
     gap = F.col("e_pos") - F.col("e_neg")
     return _pairs(rows, by).groupBy(*by).agg(
         F.avg(softplus(gap + margin)).alias("loss"), F.count("*").alias("n"), F.avg(-gap).alias("diff"))
 
 
 def pair_hinge(rows: DataFrame, by: list[str], margin: float = 1.0) -> DataFrame:
+    return _pair_hinge(_once(rows, by), by, margin)
+
+
+def _pair_hinge(rows: DataFrame, by: list[str], margin: float = 1.0) -> DataFrame:
     gap = F.col("e_pos") - F.col("e_neg")
     return _pairs(rows, by).groupBy(*by).agg(
         F.avg(F.greatest(F.lit(0.0), gap + margin)).alias("loss"), F.count("*").alias("n"), F.avg(-gap).alias("diff"))
@@ -75,7 +97,7 @@ def pair_epa(rows: DataFrame, by: list[str], margin: float = 0.0, weak_weight: f
     """Logistic pairs plus a weak term against the batch's examples outside any group.
 
     ``by`` must name batches of bounded size (see ``sampling.fixed_batches``):
-    the weak pool of a batch is held as one array.
+    the weak pool of a batch is held as one array. ``rows`` are read several times.
     """
     anchors = _anchors(rows, by).select(*by, "spec_id", "e_pos")
     grouped = anchors.withColumn("_in", F.lit(True)).drop("e_pos")
@@ -88,7 +110,7 @@ def pair_epa(rows: DataFrame, by: list[str], margin: float = 0.0, weak_weight: f
     per = join_groups(anchors, pool, by, "left").withColumn("_weak", let(F.col("e_pos"), lambda p: _mean(
         F.transform("_pool", lambda k: softplus(p - k + margin)))))
     weak_mean = per.groupBy(*by).agg(F.avg("_weak").alias("_weak"))
-    strong = pair_logistic(rows, by, margin)
+    strong = _pair_logistic(rows, by, margin)
     return join_groups(strong, weak_mean, by, "left").withColumn(
         "loss", F.col("loss") + weak_weight * F.coalesce("_weak", F.lit(0.0))).drop("_weak")
 
@@ -123,29 +145,39 @@ def _focal(loss: Column, log_p: Column, gamma: float) -> Column:
     return loss * F.pow(1.0 - F.exp(log_p), F.lit(gamma)) if gamma > 0 else loss
 
 
-def _finish(rows: DataFrame, by: list[str], balance: bool) -> DataFrame:
-    loss = F.col("_x.loss") / F.sqrt(F.size("_b")) if balance else F.col("_x.loss")
+def _packed() -> Column:
+    return F.struct(_e().alias("e"), F.col("_b").alias("b"))
+
+
+def _averaged(rows: DataFrame, by: list[str], x: str = "_x") -> DataFrame:
     return rows.groupBy(*by).agg(
-        F.avg(loss).alias("loss"), F.count("*").alias("n"), F.avg("_x.conf").alias("confidence"))
+        F.avg(f"{x}.loss").alias("loss"), F.count(x).alias("n"), F.avg(f"{x}.conf").alias("confidence"))
 
 
-def line_listwise(rows: DataFrame, by: list[str], smoothing: float = 0.05, gamma: float = 0.0,
-                  balance: bool = False) -> DataFrame:
-    """Softmax cross-entropy over a record's lines with its labels as targets."""
+def _balanced(loss: Column, b: Column, balance: bool) -> Column:
+    return loss / F.sqrt(F.size(b)) if balance else loss
+
+
+def _listwise(smoothing: float, gamma: float, balance: bool):
+    """Loss and confidence of one record, from its energies ``e`` and labels ``b``."""
     def per_row(p):
         e, lse = p["e"], p["lse"]
         uniform = lse - _mean(e)
         steps = let(uniform, lambda u: F.transform(_at(e, p["b"]), lambda x: _focal(
             (1.0 - smoothing) * (lse - x) + smoothing * u, x - lse, gamma)))
-        return F.struct(_mean(steps).alias("loss"),
+        return F.struct(_balanced(_mean(steps), p["b"], balance).alias("loss"),
                         _mean(F.transform(_at(e, p["b"]), lambda x: F.exp(x - lse))).alias("conf"))
 
-    packed = F.struct(_e().alias("e"), F.col("_b").alias("b"), log_sum_exp(_e()).alias("lse"))
-    return _finish(_labelled(rows, 2).withColumn("_x", let(packed, per_row)), by, balance)
+    return lambda p: let(F.struct(p["e"].alias("e"), p["b"].alias("b"), log_sum_exp(p["e"]).alias("lse")), per_row)
 
 
-def line_listmle(rows: DataFrame, by: list[str], gamma: float = 0.0, balance: bool = False) -> DataFrame:
-    """Plackett-Luce likelihood of the labelled lines standing first, in label order."""
+def line_listwise(rows: DataFrame, by: list[str], smoothing: float = 0.05, gamma: float = 0.0,
+                  balance: bool = False) -> DataFrame:
+    """Softmax cross-entropy over a record's lines with its labels as targets."""
+    return _averaged(_labelled(rows, 2).withColumn("_x", let(_packed(), _listwise(smoothing, gamma, balance))), by)
+
+
+def _listmle(gamma: float, balance: bool):
     def per_row(p):
         ranked = F.concat(_at(p["e"], p["b"]), _others(p["e"], p["b"]))
 
@@ -153,15 +185,19 @@ def line_listmle(rows: DataFrame, by: list[str], gamma: float = 0.0, balance: bo
             return F.transform(p["b"], lambda _x, i: F.get(r, i) - log_sum_exp(F.slice(r, i + 1, F.size(r))))
 
         return let(let(ranked, steps), lambda lp: F.struct(
-            _mean(F.transform(lp, lambda x: _focal(-x, x, gamma))).alias("loss"),
+            _balanced(_mean(F.transform(lp, lambda x: _focal(-x, x, gamma))), p["b"], balance).alias("loss"),
             _mean(F.transform(lp, lambda x: F.exp(x))).alias("conf")))
 
-    packed = F.struct(_e().alias("e"), F.col("_b").alias("b"))
-    return _finish(_labelled(rows, 2).withColumn("_x", let(packed, per_row)), by, balance)
+    return per_row
+
+
+def line_listmle(rows: DataFrame, by: list[str], gamma: float = 0.0, balance: bool = False) -> DataFrame:
+    """Plackett-Luce likelihood of the labelled lines standing first, in label order."""
+    return _averaged(_labelled(rows, 2).withColumn("_x", let(_packed(), _listmle(gamma, balance))), by)
 
 
-def _contrast(rows: DataFrame, by: list[str], pick, pair, weight) -> DataFrame:
-    """Expected pair loss of labelled lines against picked other lines, per record, then weighted."""
+def _contrast(pick, pair, weight):
+    """Expected pair loss of a record's labelled lines against picked other lines, its weight; NULL without other lines."""
     def per_row(p):
         both = F.struct(_at(p["e"], p["b"]).alias("b"), pick(_others(p["e"], p["b"])).alias("o"))
         return let(both, lambda s: F.when(F.size(s["o"]) > 0, F.struct(
@@ -170,24 +206,34 @@ def _contrast(rows: DataFrame, by: list[str], pick, pair, weight) -> DataFrame:
             (_mean(s["b"]) - _mean(s["o"])).alias("diff"),
             weight(F.size(s["b"]), F.size(_others(p["e"], p["b"]))).alias("w"))))
 
-    packed = F.struct(_e().alias("e"), F.col("_b").alias("b"))
-    x = _labelled(rows, 1).select(*by, let(packed, per_row).alias("_x"))
-    return x.groupBy(*by).agg(
-        (F.sum(F.col("_x.loss") * F.col("_x.w")) / F.sum("_x.w")).alias("loss"),
-        F.sum("_x.w").alias("n"), F.avg("_x.diff").alias("diff"))
+    return per_row
+
+
+def _weighted(rows: DataFrame, by: list[str], x: str = "_x") -> DataFrame:
+    return rows.groupBy(*by).agg(
+        (F.sum(F.col(f"{x}.loss") * F.col(f"{x}.w")) / F.sum(f"{x}.w")).alias("loss"),
+        F.sum(f"{x}.w").alias("n"), F.avg(f"{x}.diff").alias("diff"))
+
+
+def _hinge(margin: float, pairs_per_impl: int = 4):
+    return _contrast(lambda o: o, lambda b, o: F.greatest(F.lit(0.0), margin + o - b),
+                     lambda nb, no: F.least(F.lit(pairs_per_impl), nb * no))
 
 
 def line_hinge(rows: DataFrame, by: list[str], margin: float = 1.0, pairs_per_impl: int = 4) -> DataFrame:
     """Expected hinge over uniformly drawn (labelled, other) pairs; a record weighs as many
     pairs as would be drawn from it."""
-    return _contrast(rows, by, lambda o: o, lambda b, o: F.greatest(F.lit(0.0), margin + o - b),
-                     lambda nb, no: F.least(F.lit(pairs_per_impl), nb * no))
+    return _weighted(_labelled(rows, 1).select(*by, let(_packed(), _hinge(margin, pairs_per_impl)).alias("_x")), by)
+
+
+def _semi_hard(margin: float, k: int):
+    return _contrast(lambda o: F.slice(F.sort_array(o, asc=False), 1, k),
+                     lambda b, o: softplus(margin + o - b), lambda nb, no: nb)
 
 
 def line_semi_hard(rows: DataFrame, by: list[str], margin: float = 1.0, k: int = 3) -> DataFrame:
     """Expected logistic pair loss against one of the k highest other lines."""
-    return _contrast(rows, by, lambda o: F.slice(F.sort_array(o, asc=False), 1, k),
-                     lambda b, o: softplus(margin + o - b), lambda nb, no: nb)
+    return _weighted(_labelled(rows, 1).select(*by, let(_packed(), _semi_hard(margin, k)).alias("_x")), by)
 
 
 def line_bce(rows: DataFrame, by: list[str], pos_weight: float = 10.0) -> DataFrame:
@@ -214,19 +260,30 @@ def hybrid(rows: DataFrame, by: list[str], w_scalar: float, w_list: float, w_pai
            smoothing: float = 0.05, k: int = 3, scalar: str = "logistic", listwise: str = "listnet",
            gamma: float = 0.0, balance: bool = False, weak_weight: float = 0.2) -> DataFrame:
     """Weighted sum of a scalar, a listwise and a semi-hard pair loss."""
+    listed = _listmle(gamma, balance) if listwise == "listmle" else _listwise(smoothing, gamma, balance)
+    seen = _with_lines(rows, by, list=(2, listed), pair=(1, _semi_hard(margin, k)))
     parts = {
-        "scalar": {"hinge": lambda: pair_hinge(rows, by), "epa": lambda: pair_epa(rows, by, weak_weight=weak_weight),
-                   "logistic": lambda: pair_logistic(rows, by)}[scalar](),
-        "list": line_listmle(rows, by, gamma, balance) if listwise == "listmle" else line_listwise(
-            rows, by, smoothing, gamma, balance),
-        "pair": line_semi_hard(rows, by, margin, k)}
-    return _combine(rows, by, parts, {"scalar": w_scalar, "list": w_list, "pair": w_pair})
+        "scalar": {"hinge": lambda: _pair_hinge(seen, by), "epa": lambda: pair_epa(seen, by, weak_weight=weak_weight),
+                   "logistic": lambda: _pair_logistic(seen, by)}[scalar](),
+        "list": _averaged(seen.filter("list IS NOT NULL"), by, "list"), "pair": _weighted(seen.filter("pair IS NOT NULL"), by, "pair")}
+    return _combine(seen, by, parts, {"scalar": w_scalar, "list": w_list, "pair": w_pair})
 
 
 def contrastive(rows: DataFrame, by: list[str], w_spec: float, w_line: float, margin: float = 1.0) -> DataFrame:
     """Weighted sum of the group softmax loss and the line hinge."""
-    parts = {"spec": spec_infonce(rows, by), "line": line_hinge(rows, by, margin)}
-    return _combine(rows, by, parts, {"spec": w_spec, "line": w_line})
+    seen = _with_lines(rows, by, line=(1, _hinge(margin)))
+    parts = {"spec": _spec_infonce(seen, by), "line": _weighted(seen.filter("line IS NOT NULL"), by, "line")}
+    return _combine(seen, by, parts, {"spec": w_spec, "line": w_line})
+
+
+def _with_lines(rows: DataFrame, by: list[str], **losses) -> DataFrame:
+    """Every record once, with its line losses, named (least lines, loss); NULL where a record has no labels or too few lines."""
+    n = F.size(_e())
+    labels = F.when((F.col("status") == "FAIL") & (F.size("buggy_line_indices") > 0), R.in_range(F.col("buggy_line_indices"), n))
+    packed = F.struct(_e().alias("e"), labels.alias("b"))
+    found = let(packed, lambda p: F.when(F.size(p["b"]) > 0, F.struct(*[
+        F.when(F.size(p["e"]) >= least, loss(p)).alias(name) for name, (least, loss) in losses.items()])))
+    return _once(rows, by, found.alias("_x")).select(*by, *_WHOLE, *[F.col(f"_x.{name}") for name in losses])
 
 
 def _combine(rows: DataFrame, by: list[str], parts: dict, weights: dict) -> DataFrame:

@@ -95,3 +95,22 @@ def test_exact_p_by_k_keeps_its_size(spark):
 
     out = G.significance_by_k(side([2.0, 1.0]), side([1.0, 2.0]).withColumn("run", F.lit("b")), ks=(1,), iters=1).first()
     assert abs(out["log10_p_exact_top1"] + 1199 * 0.30102999566398) < 1e-6
+
+
+def test_combined_losses_score_once(records):
+    """The parts of a combined loss read narrow rows that were written once, not the energies again."""
+    from lineaudit.operators import losses as L
+
+    rows = records(("s", "FAIL", 2, [2, 1], [0]), ("s", "PASS", 1, [1, 0], []), ("s", "FAIL", 3, [1, 3, 2], [0, 2]),
+                   ("t", "FAIL", 1, [1], [0]), ("t", "PASS", 0, [], None), ("u", "FAIL", 4, [0, 4], [1])).withColumn("run", F.lit("r"))
+    by = ["run"]
+    parts = {"scalar": L.pair_hinge(rows, by), "list": L.line_listmle(rows, by, 2.0, True), "pair": L.line_semi_hard(rows, by, 1.0, 3),
+             "spec": L.spec_infonce(rows, by), "line": L.line_hinge(rows, by)}
+    want = {k: (v.first()["loss"], v.first()["n"]) for k, v in parts.items()}
+    hybrid = L.hybrid(rows, by, 1.0, 0.5, 0.25, scalar="hinge", listwise="listmle", gamma=2.0, balance=True)
+    contrastive = L.contrastive(rows, by, 1.0, 0.5)
+    for out in (hybrid, contrastive, L.pair_logistic(rows, by), L.spec_infonce(rows, by)):
+        assert "per_line_energies" not in _plan(out)
+    got = hybrid.first().asDict() | contrastive.first().asDict()
+    assert {k: (got[f"{k}_loss"], got[f"{k}_n"]) for k in want} == want
+    assert got["n_rows"] == 6
