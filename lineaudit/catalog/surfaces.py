@@ -439,9 +439,9 @@ def streamed_last_records(spark, d):
     """The same from a stream of four micro-batches, a file for each core, through keyed state and the batch-wise sink."""
     source, made, marks = scratch(spark, "events"), scratch(spark, "latest"), scratch(spark, "marks")
     events = bridge.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    files = spark.sparkContext.defaultParallelism
-    events.repartitionByRange(4 * files, "ts", "event_id").write.parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
+    events.repartitionByRange(4 * spark.sparkContext.defaultParallelism, "ts", "event_id").write.parquet(source)
+    files = len(spark.read.schema(events.schema).parquet(source).inputFiles())
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, -(-files // 4))).parquet(source)
     SR.upsert(SR.latest_updates(stream, "user_id", "event_id", "ts", "365 days"), made, marks).awaitTermination()
     return SR.read_latest(spark, made, "user_id", "event_id").select("user_id", "event_id", "event_type", "value")
 
