@@ -222,12 +222,14 @@ def latex_table(spark, d):
 
 
 _KS = (1, 3, 5)
+#: Resamples behind the interval of `significance_by_k`.
+_ITERS = 500
 
 
-def _resampled(rows: str) -> str:
+def _resampled(rows: str, iters: int = 20) -> str:
     """Resampled AUROC ``ra(run, side, rep, auc)`` of ``rows(run, impl_id, y, side, score)``."""
     return f"""
-ru as (select *, {draw_sql('impl_id', 'rep')} as u from {rows}, (select unnest(range(20)) as rep)),
+ru as (select *, {draw_sql('impl_id', 'rep')} as u from {rows}, (select unnest(range({iters})) as rep)),
 rs as (select run, side, rep, score, coalesce(sum(c) filter (where y), 0) as p, coalesce(sum(c) filter (where not y), 0) as n
        from (select *, {COUNT_SQL} as c from ru) where c > 0 group by all),
 rq as (select *, coalesce(sum(n) over (partition by run, side, rep order by score rows between unbounded preceding and 1 preceding), 0) as below from rs),
@@ -237,7 +239,7 @@ ra as (select run, side, rep, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) as
 @query("significance_by_k", _pairs(str(list(_KS))) + f", {_DELONG}," + """
 bs as (select run, impl_id, y, s.side, s.score from (
          select b.run, impl_id, t.status = 'FAIL' as y, unnest([{'side': 'a', 'score': t.whole}, {'side': 'b', 'score': b.whole}]) as s
-         from rec t join rec b using (impl_id) where t.run = 'random' and b.run <> 'random' and t.status <> 'UNKNOWN')),""" + _resampled("bs") + f""",
+         from rec t join rec b using (impl_id) where t.run = 'random' and b.run <> 'random' and t.status <> 'UNKNOWN')),""" + _resampled("bs", _ITERS) + f""",
 ci as (select run, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from (
          select run, rep, max(auc) filter (where side = 'a') - max(auc) filter (where side = 'b') as d from ra group by all) group by run),
 w as (select run, k, n_paired, tt, bb, {_P_EXACT} as pe, case when nd < 25 then {_P_EXACT} else {_erfc('cx')} end as pm
@@ -250,7 +252,7 @@ select w.run, max(n_paired) as n_paired, """ + ", ".join(
   round(any_value({_erfc('az')}), 6) as p, round(any_value(lo), 6) as diff_lo, round(any_value(hi), 6) as diff_hi
 from w join (select *, abs(auc_a - auc_b) / sqrt(var) / sqrt(2) as az from dl) using (run) join ci using (run) group by w.run""")
 def significance_by_k(spark, d):
-    out = G.significance_by_k(*_target_and_baselines(spark, d), ks=_KS, iters=20)
+    out = G.significance_by_k(*_target_and_baselines(spark, d), ks=_KS, iters=_ITERS)
     # The logarithm of a p-value that is itself below the smallest double.
     out = out.drop(*[f"p_exact_top{k}" for k in _KS])
     return r6(out, *[c for c in out.columns if c not in ("run", "n_paired", "n_pos", "n_neg")])

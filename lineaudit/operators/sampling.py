@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections.abc import Iterator
@@ -78,8 +79,9 @@ def poisson_weights(key: Column, iters: int, seed: int) -> Column:
         digest_unit(key, r, F.lit(seed)), count))
 
 
-#: Numbers a task holds before it passes its sums on.
+#: Numbers a task holds before it passes its sums on, and those of the weights it draws or adds up at a time.
 _HELD = 4_000_000
+_DRAWN = 1_000_000
 
 
 def weighted_sums(rows: DataFrame, keys: list[str], parts: list[str], weights: str, iters: int) -> DataFrame:
@@ -132,38 +134,116 @@ def bootstrap_means(rows: DataFrame, value: str, key: str, by: list[str], iters:
     return each.groupBy(*by, "rep").agg(F.try_divide(F.sum("_s._v"), F.sum("_s._one")).alias("mean"))
 
 
+def _draws(keys: list[str | None], iters: int, seed: int) -> np.ndarray:
+    """``poisson_weights`` of many keys, one row per key."""
+    tails = [f"{r}|{seed}".encode() for r in range(iters)]
+    out = np.empty((len(keys), iters), dtype=np.int8)
+    cuts = poisson_cuts()
+    for i, key in enumerate(keys):
+        # A missing part leaves its bar out, too.
+        head = b"" if key is None else key.encode() + b"|"
+        words = np.frombuffer(b"".join([hashlib.sha1(head + t).digest()[:4] for t in tails]), ">u4")
+        out[i] = np.searchsorted(cuts, words / 4294967296.0, side="right")
+    return out
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs; none if all are 0."""
+    most = int(counts.max(initial=0))
+    return counts.astype(np.min_scalar_type(most)).tobytes() if most else b""
+
+
+def _unpacked(packed: list[bytes], iters: int) -> np.ndarray:
+    out = np.zeros((len(packed), iters))
+    for i, b in enumerate(packed):
+        if b:
+            out[i] = np.frombuffer(b, f"u{len(b) // iters}")
+    return out
+
+
+def _score_cells(rows: DataFrame, keys: list[str], key: str, iters: int, seed: int) -> DataFrame:
+    """Weights of the positive and the other rows (``y``) of each of ``keys``, one count per resample, packed as ``p`` and ``n``.
+
+    Weights are drawn once per ``key`` and batch of rows, so rows should come clustered by it, and travel as bytes. Keys
+    have one row per task, or several if a task meets more than fit its memory.
+    """
+    fields = {f.name: f for f in rows.schema.fields}
+    packed = [T_.StructField(c, T_.BinaryType()) for c in ("p", "n")]
+    schema = T_.StructType([*(T_.StructField(k, fields[k].dataType) for k in keys), *packed])
+    arrow = [to_arrow_type(fields[k].dataType) for k in keys]
+
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            cols = [pa.array(c, t) for c, t in zip(zip(*held), arrow)]
+            both = [pa.array([_packed(total[i]) for total in held.values()], pa.binary()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*cols, *both], names=[*keys, "p", "n"])
+
+        for batch in chunks:
+            for lo in range(0, batch.num_rows, _DRAWN // iters + 1):
+                chunk = batch.slice(lo, _DRAWN // iters + 1)
+                drawn = chunk.column(key).dictionary_encode()
+                # The last row is that of a missing key.
+                names = drawn.dictionary.to_pylist() + [None] * (drawn.null_count > 0)
+                w = _draws(names, iters, seed)
+                at = drawn.indices.fill_null(len(names) - 1).to_pylist()
+                for i, y, named in zip(at, chunk.column("y").to_pylist(), zip(*(chunk.column(k).to_pylist() for k in keys))):
+                    total = held.get(named)
+                    if total is None:
+                        if (len(held) + 1) * 2 * iters > _HELD and held:
+                            yield out()
+                            held.clear()
+                        total = held[named] = np.zeros((2, iters), dtype=np.int64)
+                    total[0 if y else 1] += w[i]
+        if held:
+            yield out()
+
+    return rows.select(*keys, "y", key).mapInArrow(run, schema)
+
+
 def bootstrap_auroc(rows: DataFrame, scores: list[str], positive: Column, key: str, by: list[str], iters: int,
                     seed: int = 0) -> DataFrame:
     """Resampled AUROC of each score, all scores of a row resampled together (by, score, rep, auc).
 
-    The order of the scores is cut into buckets once, for all resamples. Tasks add the weight arrays of equal scores;
-    a bucket then runs over its distinct scores with arrays, and buckets follow each other by their totals. A missing
-    score ranks below all others. Resamples without both classes have no area.
+    The order of the scores is cut into buckets once, for all resamples. Tasks add the weights of equal scores;
+    a bucket then runs over its distinct scores with arrays, some at a time, and buckets follow each other by their totals.
+    A missing score ranks below all others. Resamples without both classes have no area.
     """
-    narrow = stable(rows.withColumn("_y", positive).filter("_y IS NOT NULL").select(
-        *by, F.col("_y").cast("double").alias("p"), (1.0 - F.col("_y").cast("double")).alias("n"), F.col(key).alias("_key"),
-        *[F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)]))
+    # Clustered by key: its weights are drawn once for all groups and scores.
+    narrow = stable(rows.withColumn("y", positive).filter("y IS NOT NULL").select(
+        *by, "y", F.col(key).cast("string").alias("_key"), *[F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(scores)])
+        .repartition("_key").sortWithinPartitions("_key"))
     pairs = F.inline(F.array(*[F.struct(F.lit(s).alias("score"), F.col(f"_s{i}").alias("_s")) for i, s in enumerate(scores)]))
-    drawn = narrow.select(*by, "p", "n", poisson_weights(F.col("_key"), iters, seed).cast("array<tinyint>").alias("_w"), *[f"_s{i}" for i in range(len(scores))])
     keys = [*by, "score"]
-    cut = with_buckets(drawn.select(*by, "p", "n", "_w", pairs), keys, ["_s"], sample_from=narrow.select(*by, "_key", pairs))
-    cells = weighted_sums(cut, [*keys, "_bucket", "_s"], ["p", "n"], "_w", iters)
+    cut = with_buckets(narrow.select(*by, "y", "_key", pairs), keys, ["_s"])
+    cells = _score_cells(cut, [*keys, "_bucket", "_s"], "_key", iters, seed)
     kept = [f for f in cells.schema.fields if f.name in keys]
     totals = [T_.StructField(c, T_.ArrayType(T_.DoubleType())) for c in ("p", "n", "wins")]
     types = [to_arrow_type(f.dataType) for f in kept]
 
     def scan(group: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         s, missing = table.column("_s").to_numpy(), table.column("_s").is_null().to_numpy()
-        p, n = (table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, iters) for c in ("p", "n"))
         order = np.lexsort((s, ~missing))
-        s, missing, p, n = s[order], missing[order], p[order], n[order]
+        s, missing = s[order], missing[order]
         # Rows of one score, from several tasks, count as one: they tie.
         new = np.concatenate([[True], ((s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))) | (missing[1:] != missing[:-1])])
-        p, n = np.add.reduceat(p, np.flatnonzero(new)), np.add.reduceat(n, np.flatnonzero(new))
-        wins = (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+        p_all, n_all, wins, tied = np.zeros(iters), np.zeros(iters), np.zeros(iters), np.zeros((2, 1, iters))
+        for lo in range(0, len(order), _DRAWN // iters + 1):
+            some = order[lo:lo + _DRAWN // iters + 1]
+            starts = np.flatnonzero(new[lo:lo + len(some)])
+            # The score that the last rows left open goes on, or is a score of its own.
+            starts = np.concatenate([[0], starts + 1])
+            p, n = (np.add.reduceat(np.concatenate([tied[i], _unpacked(table.column(c).take(pa.array(some)).to_pylist(), iters)]), starts)
+                    for i, c in enumerate(("p", "n")))
+            tied = np.stack([p[-1:], n[-1:]])
+            p, n = p[:-1], n[:-1]
+            wins += (p * (n_all + np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+            p_all, n_all = p_all + p.sum(axis=0), n_all + n.sum(axis=0)
+        p, n = tied[:, 0]
+        wins, p_all, n_all = wins + p * (n_all + n / 2), p_all + p, n_all + n
         named = {f.name: pa.array([v.as_py()], t) for f, t, v in zip(kept, types, group)}
-        return pa.table({**named, "_bucket": pa.array([group[len(kept)].as_py()], pa.int32()), "p": pa.array([p.sum(axis=0)]), "n": pa.array([n.sum(axis=0)]), "wins": pa.array([wins])})
+        return pa.table({**named, "_bucket": pa.array([group[len(kept)].as_py()], pa.int32()), "p": pa.array([p_all]), "n": pa.array([n_all]), "wins": pa.array([wins])})
 
     buckets = cells.groupBy(*keys, "_bucket").applyInArrow(scan, T_.StructType([*kept, T_.StructField("_bucket", T_.IntegerType()), *totals]))
     # One row per bucket and group from here on; arrays become rows only now.

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -114,3 +115,47 @@ def test_combined_losses_score_once(records):
     got = hybrid.first().asDict() | contrastive.first().asDict()
     assert {k: (got[f"{k}_loss"], got[f"{k}_n"]) for k in want} == want
     assert got["n_rows"] == 6
+
+
+def test_significance_interval_has_the_operators_resamples(monkeypatch):
+    """The registered query draws as often as the operator does by itself, and its SQL as often."""
+    import inspect
+
+    from lineaudit.catalog import comparisons
+    from lineaudit.operators import significance as G
+
+    iters = inspect.signature(G.significance_by_k).parameters["iters"].default
+    seen = {}
+
+    def caught(*args, **kwargs):
+        seen.update(kwargs)
+        raise InterruptedError
+
+    monkeypatch.setattr(comparisons, "_target_and_baselines", lambda spark, d: (None, None))
+    monkeypatch.setattr(comparisons.G, "significance_by_k", caught)
+    with pytest.raises(InterruptedError):
+        comparisons.QUERIES["significance_by_k"](None, "")
+    assert seen["iters"] == iters == 500
+    assert f"unnest(range({iters})) as rep" in comparisons.ORACLE["significance_by_k"]
+
+
+def test_resampled_areas_some_rows_at_a_time(spark, monkeypatch):
+    """Equal scores reach over the blocks that a task draws and adds up, and the weights travel packed."""
+    import numpy as np
+
+    from lineaudit.operators import metrics as M
+    from lineaudit.operators import sampling as Z
+
+    rows = [(f"k{i}" if i % 17 else None, float(i % 5), float(i % 3), "FAIL" if i % 4 else "PASS") for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, status string").repartition(3)
+    found = []
+    for drawn, held in ((Z._DRAWN, Z._HELD), (6, 12), (1, 1)):
+        monkeypatch.setattr(Z, "_DRAWN", drawn)
+        monkeypatch.setattr(Z, "_HELD", held)
+        out = Z.bootstrap_auroc(df, ["a", "b"], M.fail_label(), "id", [], 6)
+        found.append({(r["score"], r["rep"]): r["auc"] for r in out.collect()})
+    assert len(found[0]) == 12 and found[0] == found[1] == found[2]
+    for counts in ([0, 0], [1, 255], [0, 256], [70_000, 3]):
+        packed = Z._packed(np.array(counts))
+        assert Z._unpacked([packed], 2).tolist() == [counts]
+    assert len(Z._packed(np.array([3, 1] * 250))) == 500
