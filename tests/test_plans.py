@@ -405,3 +405,50 @@ def test_both_sides_of_an_audit_are_read_once(spark, tmp_path):
     sites = [row[4].splitlines()[b] for row in new if row[2] == "FAIL" for b in row[5] if b < 5]
     assert r["n"] == 30 and r["n_sites"] == len(sites) and r["sites_exact"] == sum(x in lines and not x.startswith("//") for x in sites)
     assert L.leak_audit(train.limit(0), held).first()["sites_exact"] == 0 and L.leak_audit(train, held.limit(0)).first()["n"] == 0
+
+
+def test_sibling_tiles_read_candidates_some_at_a_time(spark, tmp_path, monkeypatch):
+    """Lines are not copied for the candidates' tiles; blocks that sizes rule out change nothing; own lines do not count."""
+    import pyarrow as pa
+
+    _, df = _impls(spark)
+    plan = B.diff_from_sibling(df, tile=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence") == 1 and plan.count("files#") > 0
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    cands = [(t, rng.choice([None, "p0", "p1"]), False) for t in dict.fromkeys(texts[:40])]
+    spark.createDataFrame([("s", *c) for c in cands] + [("t", texts[50], None, True)], "spec_id string, norm string, only_impl string, many boolean") \
+        .coalesce(1).write.parquet(str(tmp_path / "c"))
+    lines = [(rng.choice(["p0", "f1", None]), "s", t, i) for i, t in enumerate(texts[20:])]
+    lines = [(i, s, "PASS" if i == "p0" else "FAIL", n, t) for i, s, t, n in lines]
+    table = pa.table(dict(zip(["impl_id", "spec_id", "status", "sent_idx", "norm"], map(list, zip(*lines)))))
+    spec = pa.table({"r_spec": ["s"], "files": [[p.name for p in (tmp_path / "c").glob("*.parquet")]]})
+
+    def grams(s):
+        return {s[i:i + 2] for i in range(len(s) - 1)} if len(s) > 1 else {s}
+
+    want = {}
+    for impl, _, status, n, t in lines:
+        own = [c for c in cands if c[1] == impl and impl is not None]
+        held = t in {c[0] for c in cands} and not (status == "PASS" and t in {c[0] for c in own})
+        want[n] = 0.0 if held else 1 - max(len(grams(t) & grams(c[0])) / len(grams(t) | grams(c[0])) for c in cands if c not in own)
+    for chunk, cells in ((B.CHUNK, B.CELLS), (3, 1)):
+        monkeypatch.setattr(B, "CHUNK", chunk)
+        monkeypatch.setattr(B, "CELLS", cells)
+        got = B._tile_energies((tmp_path / "c").as_uri())(table, spec)
+        assert {r["sent_idx"]: r["energy"] for r in got.to_pylist()} == pytest.approx(want)
+
+
+def test_sibling_rows_of_repeated_and_missing_ids(spark):
+    """Compared rows of one id, status and position are one row; lines held by others, and rows without siblings, stay as they are."""
+    rows = [("a", "s", "x", "PASS", "", "let x\nlet yy", []), ("a", "s", "x", "PASS", "", "let x\nlet yy", []),
+            ("b", "s", "x", "FAIL", "", "let z", []), ("b", "s", "x", "FAIL", "", "let z", []), (None, "s", "x", "PASS", "", "let q", []),
+            ("c", "s", "x", "FAIL", "", "let x", []), ("c", "s", "x", "FAIL", "", "let x", []), ("a", "s", "x", "FAIL", "", "let y\nlet x", []),
+            ("d", None, "x", "PASS", "", "let x", []), ("e", "s", "x", None, "", "let x", [])]
+    columns = ["impl_id", "status", "sent_idx", "energy", "has_pass_sibling"]
+    got = sorted(map(str, B.diff_from_sibling(spark.createDataFrame(rows, IMPL)).select(*columns).toLocalIterator()))
+    want = [("a", "FAIL", 0, 0.4, True), ("a", "FAIL", 1, 0.0, True), *[("a", "PASS", i, 0.0, False) for i in (0, 0, 1, 1)],
+            ("b", "FAIL", 0, 0.4, True), *[("c", "FAIL", 0, 0.0, True)] * 2, ("d", "PASS", 0, 0.0, False),
+            ("e", None, 0, 0.0, False), (None, "PASS", 0, 0.0, False)]
+    assert got == sorted(f"Row({', '.join(f'{c}={v!r}' for c, v in zip(columns, w))})" for w in want)
