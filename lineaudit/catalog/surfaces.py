@@ -308,9 +308,8 @@ def payload_files(spark, d):
     recs = stable(bridge.records(spark, d, "random"))
     impls = recs.select("impl_id", "spec_id", "status", "whole_impl_energy")
     folder = scratch(spark, "payloads")
-    W.write_payloads(W.impl_payloads(impls, D.line_points(recs)), folder)
-    files = spark.read.format("binaryFile").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.from_json(F.decode("content", "UTF-8"), """
+    manifest = W.write_payloads(W.impl_payloads(impls, D.line_points(recs)), folder)
+    files = W.read_payloads(manifest, folder).select("file_name", F.from_json(F.decode("content", "UTF-8"), """
         impl struct<impl_id: string, spec_id: string, status: string, whole_impl_energy: double>,
         lines array<struct<line_idx: int, line_text: string, energy: double, is_buggy: boolean>>""").alias("p"))
     text = F.array_join(F.transform("p.lines", lambda x: F.concat_ws(":", x["line_idx"], x["is_buggy"], x["line_text"])), "\n")

@@ -189,6 +189,11 @@ def write_payloads(payloads: DataFrame, folder: str) -> DataFrame:
     return payloads.select("impl_id", "file_name")
 
 
+def read_payloads(manifest: DataFrame, folder: str) -> DataFrame:
+    """(file_name, content) of the files that ``write_payloads`` has written."""
+    return named_files.read(manifest, folder)
+
+
 def summary_json(row: DataFrame) -> DataFrame:
     """A one-row frame as one JSON text."""
     return row.select(F.to_json(F.struct("*")).alias("summary"))

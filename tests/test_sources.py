@@ -312,3 +312,53 @@ def test_csv_numbers_round_by_binary_value(spark):
         values.append(rng.gauss(0, 1) * 10 ** rng.randint(-20, 20))
     rows = csv_table(spark.createDataFrame(list(enumerate(values)), "i int, v double")).collect()
     assert [(r["i"], r["v"]) for r in rows if r["v"] != f"{values[r['i']]:.6g}"] == []
+
+
+def test_named_files_are_listed_and_read_some_at_a_time(spark, tmp_path, monkeypatch):
+    """The driver lists no more names at once than a staging subfolder has; files are opened by name, each once."""
+    from lineaudit.sources import named_files
+
+    folder = tmp_path / "files"
+    monkeypatch.setattr(named_files, "LISTED", 4)
+    opened, seen = named_files.opened, []
+
+    class Listed:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def get_file_info(self, what):
+            found = self.system.get_file_info(what)
+            seen.append(len(found) if isinstance(found, list) else 1)
+            return found
+
+    def watched(uri):
+        system, root = opened(uri)
+        return Listed(system), root
+
+    monkeypatch.setattr(named_files, "opened", watched)
+    writer = named_files._Writer(str(folder), False)
+    rows = [{"file_name": f"f{i}.json", "payload": f"{i}"} for i in range(30)] + [{"file_name": "f1.json", "payload": "last"}]
+    writer.commit([writer.write(iter(rows[:21])), None, writer.write(iter(())), writer.write(iter(rows[21:]))])
+    want = {r["file_name"]: r["payload"] for r in rows}
+    assert {p.name: p.read_text() for p in folder.iterdir()} == want and max(seen) <= 4
+
+    names = spark.createDataFrame([(n,) for n in want] * 2, "file_name string")
+    back = named_files.read(names, str(folder))
+    assert sorted((r["file_name"], r["content"].decode()) for r in back.collect()) == sorted(want.items())
+    assert "FileScan" not in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payload_files_are_not_listed_by_the_driver(spark, tmp_path):
+    """The query reads its files back without a table of all of them in the driver."""
+    from lineaudit.catalog import surfaces
+
+    root = tmp_path / "sf"
+    spark.createDataFrame([(i, f"line {i}\nother {i}", "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string") \
+        .coalesce(1).write.parquet(str(root / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int").coalesce(1).write.parquet(str(root / "labels.parquet"))
+    out = surfaces.QUERIES["payload_files"](spark, str(root))
+    assert "binaryFile" not in out._jdf.queryExecution().optimizedPlan().toString() and not list(out.inputFiles())
+    assert out.select("file_name").distinct().count() == out.count() > 0
