@@ -20,7 +20,7 @@ from lineaudit.plans.lines import explode_records, implode_records
 from lineaudit.plans.ordered import order_statistics
 from lineaudit.sources import sinks as W
 from lineaudit.sources.records import last_per_key
-from lineaudit.session import scratch, stable
+from lineaudit.session import scratch, stable, written
 from lineaudit.streaming import records as SR
 
 QUERIES, ORACLE = {}, {}
@@ -305,7 +305,7 @@ select impl_id, spec_id, status, replace(replace(impl_id, '/', '__'), chr(92), '
   round(sum(energy), 6) as energy, round(max(energy), 6) as whole from scored group by impl_id, spec_id, status""")
 def payload_files(spark, d):
     """Written to files and read back from them."""
-    recs = stable(bridge.records(spark, d, "random"))
+    recs = written(bridge.records(spark, d, "random"), scratch(spark, "scored"))
     impls = recs.select("impl_id", "spec_id", "status", "whole_impl_energy")
     folder = scratch(spark, "payloads")
     manifest = W.write_payloads(W.impl_payloads(impls, D.line_points(recs)), folder)
